@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleweave.llm import bpe, chat, decontam, langid, linededup, simhash, toxicity, winnow
+from titleweave.llm import bpe, chat, decontam, langid, linededup, simhash, tokenfile, toxicity, winnow
 from titleweave.llm.common import table
 from titleweave.llm.linededup import RUN
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_benchmark_decontamination, op5_bpe_round_trip, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op4_benchmark_decontamination, op5_bpe_round_trip, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_line_dedup, op10_language_id)}
 
 
 #: A-Z and a-z of the oracles: DuckDB's lower() would change other letters too.
