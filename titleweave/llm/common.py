@@ -48,6 +48,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts that no table needs any more, rather than when a collector happens to run."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a table from materialize() that nothing reads any more."""
     path = getattr(df, "_titleweave_path", None)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleweave.llm import bpe, chat, decontam, langid, linededup, simhash, tokenfile, toxicity, winnow
+from titleweave.llm import bpe, chat, decontam, langid, linededup, simhash, substring, tokenfile, toxicity, winnow
 from titleweave.llm.common import table
 from titleweave.llm.linededup import RUN
 
@@ -19,6 +19,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,13 +55,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op4_benchmark_decontamination, op5_bpe_round_trip, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_output, op3_substring_dedup, op4_benchmark_decontamination, op5_bpe_round_trip, op6_toxicity, op7_document_fingerprints, op8_chat_formatting, op9_line_dedup, op10_language_id)}
 
 
 #: A-Z and a-z of the oracles: DuckDB's lower() would change other letters too.
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+OP3 = """
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+g as (select rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') g from d, unnest(range(1, greatest(len(w) - 11, 1))) u(i)),
+m as (select g, min(doc_id) f from g group by g having count(*) > 1),
+gone as (select distinct rid, unnest(range(i, i + 13)) i from g join m using (g) where doc_id > f),
+x as (select rid, count(*) n from gone group by rid),
+l as (select rid, unnest(w) word, generate_subscripts(w, 1) i from d),
+kept as (select rid, string_agg(word, ' ' order by i) t from l anti join gone using (rid, i) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join x using (rid) left join kept using (rid)
+"""
+
 OP4 = f"""
 with d as (select doc_id, row_number() over () rid, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_ALNUM}') w from documents),
 b as (select coalesce(cast(item_id as varchar), '') item, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_ALNUM}') w from benchmark),
@@ -104,4 +120,4 @@ from d left join kept using (rid) left join n using (rid) left join x using (rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4, "op8_chat_formatting": OP8, "op9_line_dedup": OP9}
+    return {"op3_substring_dedup": OP3, "op4_benchmark_decontamination": OP4, "op8_chat_formatting": OP8, "op9_line_dedup": OP9}
