@@ -50,6 +50,11 @@ def hashes(marks: Column) -> Column:
     return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, PLACE_BITS)))
 
 
+def short_hashes(marks: Column) -> Column:
+    """The set of 32 bits of each hash, half the size of hashes()."""
+    return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, PLACE_BITS).bitwiseAND(0xFFFFFFFF).bitwiseXOR(1 << 31) - (1 << 31)).cast("array<int>"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two hash sets; 1 for two empty ones."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
@@ -89,13 +94,13 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     linked = followers(base.groupBy("doc_id").agg(F.max(quarter).alias("share")))
-    marked = append_marks(base, "text", "marks")
-    known = marked.join(linked.withColumnRenamed("doc_id", "key"), F.col("doc_id").eqNullSafe(F.col("key"))).drop("key")
-    lent = known.select(F.col("prev_id").alias("to_id"), F.struct(F.expr("substring(text, 1, prev_share)").alias("head"), hashes(F.col("marks")).alias("hashes")).alias("lent"))
+    known = base.join(linked.withColumnRenamed("doc_id", "key"), F.col("doc_id").eqNullSafe(F.col("key"))).drop("key")
+    marked = append_marks(known, "text", "marks")
+    lent = marked.select(F.col("prev_id").alias("to_id"), F.struct(F.expr("substring(text, 1, prev_share)").alias("head"), short_hashes(F.col("marks")).alias("hashes")).alias("lent"))
     first = lent.groupBy("to_id").agg(F.min("lent").alias("lent"))
-    met = known.select("doc_id", "text", "marks").join(first, F.col("doc_id").eqNullSafe(F.col("to_id")))
+    met = known.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("to_id")))
     n = F.length("text")
-    changed = met.select("doc_id", "marks", n.cast("long").alias("n_chars"), F.col("lent.hashes").alias("next_hashes"), F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(lent.head, 1, cast(floor(length(text) / 4) as int)))").alias("edited"))
+    changed = append_marks(met, "text", "marks").select("doc_id", "marks", n.cast("long").alias("n_chars"), F.col("lent.hashes").alias("next_hashes"), F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(lent.head, 1, cast(floor(length(text) / 4) as int)))").alias("edited"))
     both = append_marks(changed, "edited", "edited_marks")
     sets = both.withColumn("own", hashes(F.col("marks")))
-    return sets.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _name(F.col("marks")).alias("fingerprint"), _name(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("own"), hashes(F.col("edited_marks"))).alias("near_edited"), likeness(F.col("own"), F.col("next_hashes")).alias("near_next"))
+    return sets.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _name(F.col("marks")).alias("fingerprint"), _name(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("own"), hashes(F.col("edited_marks"))).alias("near_edited"), likeness(short_hashes(F.col("marks")), F.col("next_hashes")).alias("near_next"))
