@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes of text that one Python step holds at a time. A longer single text is a step of its own.
-STEP_ROWS, STEP_BYTES = 2000, 8 << 20
+STEP_ROWS, STEP_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
