@@ -199,14 +199,16 @@ def links(fps: DataFrame, n: int, co: np.ndarray, cell_limit: int = CELL_LIMIT)
                         who = some[t[:, i] == r]
                         if len(who):
                             ball = masks(len(bits), r)
-                            made.append((np.full(len(who) * len(ball), i, np.int32), (cell_of(who, bits)[:, None] ^ ball[None, :]).ravel(), np.repeat(who.view(np.int64), len(ball))))
+                            made.append((np.full(len(who) * len(ball), i, np.int32), (cell_of(who, bits)[:, None] ^ ball[None, :]).ravel(), np.repeat(who.view(np.int64), len(ball)), np.tile(ball == 0, len(who))))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=["part", "cell", "asks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=["part", "cell", "asks", "own"])
 
-    asked = materialize(known.mapInArrow(probes, "part int, cell long, asks long").join(sizes, ["part", "cell"]), "probes")
+    # a fingerprint alone in its own cell finds nothing there
+    asked = materialize(known.mapInArrow(probes, "part int, cell long, asks long, own boolean").join(sizes, ["part", "cell"]).filter("not own or size > 1"), "probes")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("asks"))) <= RADIUS
-    cold = asked.filter(F.col("size").between(2, cell_limit)).select("part", "cell", "asks")
-    small = index.join(sizes.filter(F.col("size").between(2, cell_limit)), ["part", "cell"]).select("part", "cell", "fp")
+    cold = asked.filter(F.col("size") <= cell_limit).select("part", "cell", "asks")
+    wanted = cold.select("part", "cell").distinct()
+    small = index.join(wanted, ["part", "cell"]).select("part", "cell", "fp")
     probed = cold.join(small, ["part", "cell"]).filter((F.col("fp") != F.col("asks")) & near).select(F.col("asks").alias("u"), F.col("fp").alias("v"))
     hot = asked.filter(F.col("size") > cell_limit).select("asks").distinct()
     points = F.array_append(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("asks").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), F.col("asks"))
