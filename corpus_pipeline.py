@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleweave.llm import bpe, decontam, langid, linededup, simhash
-from titleweave.llm.common import materialize, release, table
+from titleweave.llm.common import materialize, release, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; so do documents that had a text and have none left. n_chars follows the text."""
-    had = docs.withColumn("__had", F.coalesce(F.length("text") > 0, F.lit(False)))
-    cut = linededup.dedup_lines(had).filter(~F.col("__had") | (F.length("text") > 0)).drop("__had")
-    return _counted(cut, docs)
+    had = unused(docs, "__had")
+    cut = linededup.dedup_lines(docs.withColumn(had, F.coalesce(F.length("text") > 0, F.lit(False))))
+    return _counted(cut.filter(~F.col(had) | (F.length("text") > 0)).drop(had), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

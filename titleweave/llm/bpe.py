@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -17,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, texts_in
+from titleweave.llm.common import append_columns, held, texts_in
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a Python worker; longer ones than CACHED_CHARS are merged each time.
-CACHE_SIZE, CACHED_CHARS = 500_000, 64
+CACHE_SIZE, CACHED_CHARS = 250_000, 64
 
 
 def default_vocabulary() -> str:
@@ -121,9 +120,8 @@ class Codec(dict):
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(vocabulary: str) -> Codec:
-    return Codec(vocabulary)
+    return held("bpe", vocabulary, lambda: Codec(vocabulary))
 
 
 def _vocabulary(docs: DataFrame, path: str | None):

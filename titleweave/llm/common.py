@@ -15,6 +15,35 @@ from pyspark.sql.pandas.types import to_arrow_type
 STEP_ROWS, STEP_BYTES = 1000, 2 << 20
 
 
+_held: tuple = ()
+
+
+def held(kind: str, key, build: Callable):
+    """build(), kept in a Python worker for tasks to come. A worker keeps one such thing: another one takes its place, so
+    memory doesn't add up from stage to stage.
+    """
+    global _held
+    if _held[:2] != (kind, key):
+        _held = ()
+        _held = (kind, key, build())
+    return _held[2]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df as one column named row, so that no name beside it can clash."""
+    return df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, **changed) -> DataFrame:
+    return df.select([changed.get(c, F.col("row").getField(c)).alias(c) for c in like.columns])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

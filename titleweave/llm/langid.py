@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, texts_in
+from titleweave.llm.common import append_columns, held, texts_in, unused
 
 #: Bounds of the learning sample: documents per language (expected number, chosen by a hash of doc_id), their length.
 DOCS_PER_LANG, LEARN_CHARS = 800, 200_000
@@ -23,7 +23,7 @@ ROUNDS, SMOOTHING = 4, 0.05
 #: A longer run of letters is scored in stretches of so many. Longest piece tried. Probability of a letter with no piece.
 STRETCH, PIECE, UNSEEN = 24, 8, 1e-7
 START = "▁"
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 UNDETERMINED = "und"
 
 
@@ -189,9 +189,8 @@ def learn(counts: list[tuple[str, str, int]], pieces: list[str]) -> bytes:
     return pickle.dumps((pieces, langs, table))
 
 
-@lru_cache(2)
 def loaded(model: bytes) -> Model:
-    return Model(*pickle.loads(model))
+    return held("langid", model, lambda: Model(*pickle.loads(model)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, held_out_remainder: int | None = 1) -> bytes:
@@ -228,10 +227,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def append_language(docs: DataFrame, model: bytes, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with the predicted language and its score. Null texts and texts without a letter get UNDETERMINED and 0."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages; doesn't grow with the rows
+    told = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages; doesn't grow with the rows
 
     def make():
-        m = loaded(held.value)
+        m = loaded(told.value)
 
         def run(texts: pa.Array) -> list:
             lang, score = m.predict([x.decode("utf-8", "replace") if x else None for x in texts.to_pylist()])
@@ -255,5 +254,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def reject_unknown(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> DataFrame:
     """docs without those of undetermined language, or whose best language has a posterior under least_score. Columns stay."""
     model = fit(docs, id_col, text_col, lang_col, path)
-    found = append_language(docs, model, text_col, "__lang", "__lang_score")
-    return found.filter((F.col("__lang") != UNDETERMINED) & (F.col("__lang_score") >= least_score)).drop("__lang", "__lang_score")
+    lang, score = unused(docs, "__lang"), unused(docs, "__lang_score")
+    found = append_language(docs, model, text_col, lang, score)
+    return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least_score)).drop(lang, score)

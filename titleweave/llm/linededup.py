@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleweave.llm.common import materialize
+from titleweave.llm.common import materialize, packed, unpacked
 
 RUN = 2
 BLANK = r"^[ \t\r]*$"
@@ -48,30 +48,31 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(first, ["run_key_1", "run_key_2"]).filter(F.struct("doc_id", "j") > F.col("first")).select("doc_id", "text_key", "from", "to")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """docs with later repeated runs of lines deleted from the text, and the blank lines within those; columns stay.
 
     Lines are parted by newlines and compared as they are, all of them; blank ones (spaces, tabs, returns) don't count.
     Null texts stay null; a text with all lines deleted is empty; repeated rows share a place, so none is later than the
-    other. counts: besides, n_lines and n_deleted (0 for null) as columns __n_lines, __n_deleted.
+    other.
     """
-    gone = later_runs(docs, id_col, text_col, run).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("from", "to")).alias("__gone"))
-    text = F.col(f"`{text_col}`")
-    joined = docs.withColumn("__own_key", _row_key(text.cast("string"))).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left")
-    cut = joined.withColumn("__lines", F.split(text.cast("string"), "\n", -1))
-    cut = cut.withColumn("__gone", F.array_distinct(F.flatten(F.transform("__gone", lambda r: F.sequence(r["from"], r["to"])))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
-    made = cut.withColumn("__text", F.when(F.col("__gone").isNull() | (F.size("__lines") < 1), text).otherwise(kept))
-    out = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    if counts:
-        out += [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_deleted")]
-    return made.select(out)
+    made = _cut(docs, id_col, text_col, run)
+    return unpacked(made, docs, **{text_col: F.col("text")})
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+    """(row, text, n_lines, n_deleted): each row as a struct, and what is left of its text."""
+    gone = later_runs(docs, id_col, text_col, run).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
+    text = F.col("row").getField(text_col).cast("string")
+    own = packed(docs).withColumn("id", F.col("row").getField(id_col)).withColumn("key", _row_key(text))
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").select("row", F.array_distinct(F.flatten(F.transform("gone", lambda r: F.sequence(r["from"], r["to"])))).alias("gone"))
+    cut = joined.withColumn("lines", F.split(text, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    n = F.when(text.isNull(), 0).otherwise(F.size("lines"))
+    return cut.select("row", F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(doc_id, n_lines, n_deleted, kept_sha256), one row per row of docs; null counts as a text without lines."""
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    out = dedup_lines(own, run=run, counts=True)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines"))
-    return out.select("doc_id", n.cast("long").alias("n_lines"), F.col("__n_deleted").cast("long").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    made = _cut(docs, id_col, text_col, run)
+    return made.select(F.col("row").getField(id_col).alias("doc_id"), "n_lines", F.when(F.col("n_deleted") < 0, 0).otherwise(F.col("n_deleted")).cast("long").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """XXH64 by word."""
 
-    def __init__(self, size: int = 500_000):
+    def __init__(self, size: int = 250_000):
         from xxhash import xxh64_intdigest
 
         super().__init__()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, materialize, texts_in
+from titleweave.llm.common import append_columns, materialize, packed, texts_in, unpacked
 from titleweave.llm.components import components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
@@ -241,7 +241,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row without a doc_id can't be named as a member of a group, and stays.
     """
     found = near_duplicates(docs, id_col, text_col)
-    named = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep_id")).distinct()
-    order = Window.partitionBy("__keep_id").orderBy(F.col(f"`{text_col}`"))
-    kept = docs.join(named, F.col(f"`{id_col}`") == F.col("__keep_id")).withColumn("__keep_n", F.row_number().over(order)).filter("__keep_n = 1").select([F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = packed(docs).withColumn("doc_id", F.col("row").getField(id_col))
+    order = Window.partitionBy("doc_id").orderBy(F.col("row").getField(text_col))
+    kept = rows.join(named, "doc_id").withColumn("n", F.row_number().over(order)).filter("n = 1")
+    return unpacked(kept, docs).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -19,20 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import discard, materialize, release, steps
+from titleweave.llm.common import discard, held, materialize, packed, release, steps
 from titleweave.llm.fmindex import FMIndex
 from titleweave.llm.segments import SPAN, Hashes, cut
 
 SHARD_WORDS, HOT_SEGMENTS = 250_000, 1000
 LEAST_ID = -(1 << 63)
-_hashes: Hashes | None = None
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    global _hashes
-    if _hashes is None:
-        _hashes = Hashes()
-    return _hashes.of(words)
+    return held("hashes", None, Hashes).of(words)
 
 
 def _segments(own: DataFrame, contents: bool) -> DataFrame:
@@ -144,11 +140,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __spans: array of the word ranges to remove, null where there are none."""
-    spans = repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("twin").alias("__twin"), F.col("spans").alias("__spans"))
-    text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.withColumn("__own_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID))).withColumn("__own_twin", F.hash(text))
-    return keyed.join(spans, (F.col("__own_id") == F.col("__id")) & (F.col("__own_twin") == F.col("__twin")), "left").drop("__own_id", "__own_twin", "__id", "__twin")
+    """(row, spans): each row of docs as a struct, and the ranges of its words to remove, null where there are none."""
+    spans = repeats(docs, id_col, text_col)
+    keyed = packed(docs).select("row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.hash(F.col("row").getField(text_col).cast("string")).alias("twin"))
+    return keyed.join(spans, ["id", "twin"], "left").select("row", "spans")
 
 
 def kept_words(words: list[bytes], spans: list | None) -> list[bytes]:
@@ -163,7 +158,8 @@ def kept_words(words: list[bytes], spans: list | None) -> list[bytes]:
 
 
 def _over_spans(df: DataFrame, fn, schema: T.StructType, text_col: str, keep: list[str]) -> DataFrame:
-    source = df.select([F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`").cast("string").alias("__text"), "__spans"])
+    row = F.col("row")
+    source = df.select([row.getField(c).alias(f"c{i}") for i, c in enumerate(keep)] + [row.getField(text_col).cast("string").alias("text"), "spans"])
     n = len(keep)
 
     def run(batches):

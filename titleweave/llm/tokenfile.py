@@ -7,7 +7,6 @@ are ordered by (shard, chunk).
 
 from __future__ import annotations
 
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -15,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from titleweave.llm.common import fresh_path, texts_in
+from titleweave.llm.common import fresh_path, held, texts_in
 from titleweave.llm.rangecoder import BLOCK, LANES, compress, decompress
 
 END = 2
 #: Ids that make a chunk full; a longer document is a chunk by itself.
 CHUNK = BLOCK * LANES
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 
 
 def default_vocabulary() -> str:
@@ -61,9 +60,8 @@ class Words(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in words]
 
 
-@lru_cache(2)
 def words_of(vocabulary: str) -> Words:
-    return Words(vocabulary)
+    return held("tokens", vocabulary, lambda: Words(vocabulary))
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int | None = END) -> None:
@@ -73,7 +71,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        held = spark.sparkContext.broadcast(f.read())
+        told = spark.sparkContext.broadcast(f.read())
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_first()
     dealt = texts_in(docs, id_col, text_col).repartitionByRange(shards, order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
@@ -83,7 +81,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, chunk = words_of(held.value), TaskContext.get().partitionId(), 0
+        encoder, shard, chunk = words_of(told.value), TaskContext.get().partitionId(), 0
         names, sizes, parts, total = [], [], [], 0
         last = np.array([] if end is None else [end], "<u4")
 

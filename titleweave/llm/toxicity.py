@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import pickle
 from array import array
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -17,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, texts_in
+from titleweave.llm.common import append_columns, held, texts_in
 
 #: Bounds of the learning sample: labelled documents (expected number, chosen by a hash of doc_id), their length.
 LEARN_DOCS, LEARN_CHARS = 6000, 200_000
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
-EPOCHS, RATE, DECAY, LEAST_DOCS = 80, 0.1, 1e-4, 4
+#: A bucket counts from LEAST_DOCS documents of the sample on, from 1 in 75 of a small one: rarer ones are learnt by heart.
+EPOCHS, RATE, DECAY, LEAST_DOCS = 120, 0.1, 1e-4, 40
 THRESHOLD = 0.3
-CACHE_SIZE = 500_000
+CACHE_SIZE = 250_000
 PUNCTUATION = ".,;:!?\"'()[]{}|<>%&$*-"
 
 
@@ -69,7 +69,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     counts = np.array([n for own in docs for n in own.values()], np.float32)
     spread = np.bincount(words, minlength=n_words).astype(np.float32)  # documents of a word
     seen = np.bincount(bucket_of, spread[word_of], BUCKETS)
-    fits = seen[bucket_of] >= LEAST_DOCS
+    fits = seen[bucket_of] >= min(LEAST_DOCS, max(2, len(docs) // 75))
     word_of, bucket_of = word_of[fits], bucket_of[fits]
     live, column = np.unique(bucket_of, return_inverse=True)
     total = np.bincount(used, counts * sizes[words], len(docs)).astype(np.float32)
@@ -140,9 +140,8 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(sum(sums) / sum(sizes) + self.bias, -30, 30))))
 
 
-@lru_cache(2)
 def scorer(model: bytes) -> Scorer:
-    return Scorer(model)
+    return held("toxicity", model, lambda: Scorer(model))
 
 
 def fold(doc_id):
@@ -167,10 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def append_score(docs: DataFrame, model: bytes, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with the probability of the label. Null and blank texts get the prior."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    told = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def make():
-        s = scorer(held.value)
+        s = scorer(told.value)
         return lambda texts: [pa.array([s.score(x.decode("utf-8", "replace") if x else None) for x in texts.to_pylist()], pa.float64())]
 
     return append_columns(docs, make, [(name, T.DoubleType())], text_col, keep)
