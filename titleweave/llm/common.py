@@ -80,9 +80,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and broadcasts that no table needs any more, rather than when a collector happens to run."""
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1.5)  # the bridge lets go of the driver's objects about once a second
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def discard(df: DataFrame | None) -> None:

@@ -67,8 +67,11 @@ class FMIndex:
         self.last = Wavelet(text[self.order - 1], sigma)
         self.n = len(text)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row, backward from its last symbol: the interval of the longest ending of it that occurs, and its length."""
+    def search(self, patterns: np.ndarray, until_alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row, backward from its last symbol: the interval of the longest ending of it that occurs, and its length.
+
+        until_alone: an ending that occurs once is not extended.
+        """
         rows, width = patterns.shape
         a, b = np.zeros(rows, np.int64), np.full(rows, self.n)
         length, live = np.zeros(rows, np.int64), np.arange(rows)
@@ -83,6 +86,8 @@ class FMIndex:
             live, x, y = live[found], x[found], y[found]
             a[live], b[live] = x, y
             length[live] += 1
+            if until_alone:
+                live = live[y - x > 1]
             if not len(live):
                 break
         return a, b, length

@@ -86,12 +86,15 @@ def _owners(shard: pa.Table) -> pa.Table:
     owner = np.full(len(segment), np.iinfo(np.int64).max)
     for k in range(0, len(segment), 1 << 15):
         some = slice(k, k + (1 << 15))
-        a, b, length = index.search(text[(begin[segment[some]] + off[some])[:, None] + np.arange(SPAN)])
-        starts, which, = np.unique(a, return_inverse=True)
-        ends = np.zeros(len(starts), np.int64)
-        ends[which] = b
-        least = np.minimum.reduceat(np.append(owner_of, np.iinfo(np.int64).max), np.stack([starts, ends], 1).ravel())[::2]
-        owner[some] = np.where(length >= SPAN, least[which], owner[some])
+        # every window occurs where it was taken from; one with an ending that occurs nowhere else has no other owner
+        a, b, length = index.search(text[(begin[segment[some]] + off[some])[:, None] + np.arange(SPAN)], until_alone=True)
+        found = ids[segment[some]].copy()
+        shared = np.flatnonzero((length >= SPAN) & (b - a > 1))
+        if len(shared):
+            starts, at, which = np.unique(a[shared], return_index=True, return_inverse=True)
+            least = np.minimum.reduceat(np.append(owner_of, np.iinfo(np.int64).max), np.stack([starts, b[shared][at]], 1).ravel())[::2]
+            found[shared] = least[which]
+        owner[some] = found
     most = shard["most"].to_numpy()[segment]
     new = np.ones(len(segment), bool)
     new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
