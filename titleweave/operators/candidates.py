@@ -37,7 +37,11 @@ def build_index(truth: DataFrame) -> Index:
     heaviest = weights.agg(F.max("w")).first()[0] or 0
     # n-grams that all titles have weigh nothing and need not be looked up
     weighed = distinct.select("uid", "top_id", F.explode_outer("n_grams").alias("g")).filter("g is not null").join(weights.filter("w > 0"), "g")
-    titles = weighed.groupBy("uid").agg(F.first("top_id").alias("top_id"), F.sum("w").alias("tsum"), F.collect_list(F.struct("g", "w")).alias("grams")).persist()
+    titles = weighed.groupBy("uid").agg(F.first("top_id").alias("top_id"), F.sum("w").alias("tsum"), F.collect_list(F.struct("g", "w")).alias("grams"))
+    # few bytes, much work: a fixed number of parts, which adaptive execution doesn't join to fewer
+    spark = truth.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    titles = titles.repartition(parts, "uid").persist()
     return Index(titles, named.select("uid", "title_id"), weights, heaviest, n)
 
 
