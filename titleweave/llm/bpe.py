@@ -21,7 +21,7 @@ from titleweave.llm.common import append_columns, held, texts_in
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a Python worker; longer ones than CACHED_CHARS are merged each time.
-CACHE_SIZE, CACHED_CHARS = 250_000, 64
+CACHE_SIZE, CACHED_CHARS = 200_000, 64
 
 
 def default_vocabulary() -> str:

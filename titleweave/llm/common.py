@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes of text that one Python step holds at a time. A longer single text is a step of its own.
-STEP_ROWS, STEP_BYTES = 1000, 2 << 20
+STEP_ROWS, STEP_BYTES = 500, 1 << 20
 
 
 _held: tuple = ()
@@ -29,6 +29,17 @@ def held(kind: str, key, build: Callable):
     return _held[2]
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, for a worker outlives its tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def packed(df: DataFrame) -> DataFrame:
     """df as one column named row, so that no name beside it can clash."""
     return df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -140,5 +151,6 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]]
                 columns = [batch.column(i) for i in range(len(names))]
                 columns += [x if isinstance(x, pa.Array) and x.type == t else (x.cast(t) if isinstance(x, pa.Array) else pa.array(x, type=t)) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=out_names)
+            trim()
 
     return source.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ ROUNDS, SMOOTHING = 4, 0.05
 #: A longer run of letters is scored in stretches of so many. Longest piece tried. Probability of a letter with no piece.
 STRETCH, PIECE, UNSEEN = 24, 8, 1e-7
 START = "▁"
-CACHE_SIZE = 200_000
+CACHE_SIZE = 120_000
 UNDETERMINED = "und"
 
 
@@ -92,8 +92,8 @@ def by_length(words: list[str]):
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         where = np.flatnonzero(lengths == n)
-        for k in range(0, len(where), 8192):
-            some = where[k : k + 8192]
+        for k in range(0, len(where), 2048):
+            some = where[k : k + 2048]
             rows = np.array([[ord(START), *map(ord, words[i])] for i in some.tolist()], np.uint64)
             yield some, rows
 
