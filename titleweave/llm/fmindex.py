@@ -45,16 +45,20 @@ class Wavelet:
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by the depth (or more) symbols that follow, by prefix doubling, the text taken as a ring."""
-    n = len(text)
-    rank, have = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    n, rank, have = len(text), text.astype(np.int64), 1
+    order = np.argsort(rank, kind="stable") if depth <= 1 else None
     while have < depth:
-        key = rank * (rank.max() + 1) + np.roll(rank, -have)
+        base = int(rank.max()) + 1
+        key = rank * base + np.roll(rank, -have)
+        times = 2
+        while base ** (times + 1) < 1 << 62 and have * times < depth:  # as many stretches as a key has room for
+            key = key * base + np.roll(rank, -have * times)
+            times += 1
         order = np.argsort(key, kind="stable")
         own = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
-        have *= 2
+        have *= times
     return order
 
 

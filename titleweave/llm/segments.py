@@ -7,6 +7,8 @@ stands, its segment has the same key.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 SPAN, GRAM = 13, 4
@@ -35,14 +37,16 @@ class Hashes(dict):
         out = self[word] = self.hash(word)
         return out
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, texts: list[list[bytes]], n: int) -> np.ndarray:
+        """Of the n words of texts, end to end."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.uint64, n)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     out = h[: len(h) - n + 1].copy()
     for j in range(1, n):
-        out = mix(out) + h[j : len(h) - n + 1 + j]
+        out *= np.uint64(BASE)
+        out += h[j : len(h) - n + 1 + j]
     return mix(out)
 
 

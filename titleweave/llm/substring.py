@@ -12,6 +12,7 @@ windows, whose first owners are found by grouping equal windows.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ SHARD_WORDS, HOT_SEGMENTS = 250_000, 1000
 LEAST_ID = -(1 << 63)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return held("hashes", None, Hashes).of(words)
+def _word_hashes(texts: list[list[bytes]], n: int) -> np.ndarray:
+    return held("hashes", None, Hashes).of(texts, n)
 
 
 def _segments(own: DataFrame, contents: bool) -> DataFrame:
@@ -39,7 +40,8 @@ def _segments(own: DataFrame, contents: bool) -> DataFrame:
         for whole in batches:
             for b in steps(whole, 2):
                 words = [x.split() if x else [] for x in b.column(2).cast(pa.binary()).to_pylist()]
-                doc, start, n, key, content = cut(_word_hashes([w for x in words for w in x]), np.cumsum([len(x) for x in words]), SPAN, contents=contents)
+                ends = np.cumsum([len(x) for x in words])
+                doc, start, n, key, content = cut(_word_hashes(words, ends[-1]), ends, SPAN, contents=contents)
                 columns = [key, b.column(0).to_numpy()[doc]]
                 if contents:
                     columns += [b.column(1).to_numpy()[doc], start.astype(np.int32), n.astype(np.int32), content]
@@ -73,9 +75,12 @@ def _fetch(docs: DataFrame) -> DataFrame:
 def _owners(shard: pa.Table) -> pa.Table:
     """First owners of a shard's windows, by backward search: runs (key, content, n, off, len, owner) with owner < most."""
     number: dict[bytes, int] = {}
-    words = [[number.setdefault(w, len(number) + 1) for w in x.split(b" ")] for x in shard["words"].to_pylist()]
+    words = [x.split(b" ") for x in shard["words"].to_pylist()]
     sizes = np.array([len(x) + 1 for x in words])
-    text = np.fromiter((w for x in words for w in (*x, 0)), np.int64, sizes.sum())
+    text = np.zeros(sizes.sum(), np.int64)
+    inside = np.ones(len(text), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    text[inside] = [number.setdefault(w, len(number) + 1) for w in chain.from_iterable(words)]
     index = FMIndex(text, len(number) + 1, SPAN)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     ids = shard["id"].to_numpy()
