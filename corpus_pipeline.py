@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleweave.llm import bpe, decontam, langid, linededup, simhash
-from titleweave.llm.common import materialize, release, table, unused
+from titleweave.llm.common import materialize, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +66,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         docs = out if k == len(STAGES) - 1 else materialize(out, f"stage-{k + 1}")
-        release(spark)
     return docs

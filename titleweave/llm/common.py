@@ -78,27 +78,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/titleweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go as soon as it is over; nothing else reads them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._titleweave_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files and broadcasts that no table needs any more, rather than when a collector happens to run."""
-    import gc
-    import time
-
-    gc.collect()
-    time.sleep(1.5)  # the bridge lets go of the driver's objects about once a second
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a table from materialize() that nothing reads any more."""
     path = getattr(df, "_titleweave_path", None)

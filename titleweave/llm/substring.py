@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import discard, held, materialize, packed, release, steps
+from titleweave.llm.common import discard, held, materialize, packed, steps
 from titleweave.llm.fmindex import FMIndex
 from titleweave.llm.segments import SPAN, Hashes, cut
 
@@ -123,7 +123,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = _numbered(docs, id_col, text_col)
     shared = _segments(own, False).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
     found = materialize(_segments(own, True).join(shared, "key", "left_semi"), "segments")
-    release(spark)
     distinct = found.groupBy("key", "content", "n").agg(F.min(F.struct("id", "twin", "start")).alias("rep"), F.max("id").alias("most"))
     distinct = materialize(distinct.select("key", "content", "n", "rep.*", "most"), "distinct")
     many = distinct.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.col("n") + SPAN).alias("words"))
@@ -132,7 +131,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = told.filter((F.col("many") == 1) & (F.col("id") < F.col("most"))).select("key", "content", "n", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("id").alias("owner"))
     wanted = told.filter("many > 1").groupBy("id", "twin").agg(F.collect_list(F.struct("key", "content", "n", "start", "id", "most", (F.col("many") > HOT_SEGMENTS).alias("hot"))).alias("wanted"))
     fetched = materialize(_fetch(own.dropDuplicates(["id", "twin"]).join(wanted, ["id", "twin"]).select("text", "wanted")), "fetched")
-    release(spark)
     total = many.filter(f"many between 2 and {HOT_SEGMENTS}").agg(F.sum("words")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     dealt = fetched.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
@@ -142,7 +140,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     apart = windows.join(firsts, "words").filter("owner < most").select("key", "content", "n", "off", "len", "owner")
     runs = materialize(searched.unionByName(apart).unionByName(alone), "owners")
     discard(fetched)
-    release(spark)
+    discard(distinct)
     hits = found.join(runs, ["key", "content", "n"]).filter("owner < id")
     return hits.groupBy("id", "twin").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("from"), (F.col("start") + F.col("off") + F.col("len") + (SPAN - 1)).alias("to"))).alias("spans"))
 
