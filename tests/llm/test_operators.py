@@ -197,6 +197,17 @@ def test_substring_dedup_on_random_repeats(spark):
     assert sorted(got) == sorted(brute_substrings(rows))
 
 
+def test_word_hashes():
+    from titleweave.llm.segments import CHUNK, LONG, word_hashes
+
+    texts = [b"a" * CHUNK + b" b " + b"c" * LONG + b"\x0b" + b"c" * (LONG + 1), None, b"", b" \x0c ", b"b\x00 \x00b b", b"x yx " * CHUNK, b"a" * CHUNK, b"ab ba " + "\u00e9 x\u00a0y".encode()]
+    words = [w for x in texts for w in (x or b"").split()]
+    found, ends = word_hashes(texts)
+    assert ends.tolist() == np.cumsum([len((x or b"").split()) for x in texts]).tolist()
+    assert len(found) == len(words) and len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist(), strict=True)))
+    assert [len(x) for x in word_hashes([])] == [0, 0]
+
+
 def test_fm_index():
     from titleweave.llm.fmindex import FMIndex
 

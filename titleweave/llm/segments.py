@@ -7,9 +7,10 @@ stands, its segment has the same key.
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 SPAN, GRAM = 13, 4
 #: Odd 64-bit base of the content hash of a segment.
@@ -22,24 +23,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Hashes(dict):
-    """XXH64 by word."""
+#: Bytes that end a word; a number for each byte.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+#: Bytes hashed at a time; a word of more than LONG bytes is hashed by itself.
+CHUNK, LONG = 1 << 16, 64
 
-    def __init__(self, size: int = 250_000):
-        from xxhash import xxh64_intdigest
 
-        super().__init__()
-        self.size, self.hash = size, xxh64_intdigest
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, end to end, and where each text's words end.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.size:
-            self.clear()
-        out = self[word] = self.hash(word)
-        return out
-
-    def of(self, texts: list[list[bytes]], n: int) -> np.ndarray:
-        """Of the n words of texts, end to end."""
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.uint64, n)
+    A word's hash is a polynomial of its bytes' numbers, taken from sums over all bytes of a chunk; a long word's is XXH64.
+    """
+    data = np.frombuffer(b" ".join([b"", *(x or b"" for x in texts), b""]), np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    stops = np.minimum(ends, starts + LONG)
+    top, out, k = _chunk_powers(), np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        a, n = starts[k], np.searchsorted(starts, starts[k] + CHUNK)
+        own = LETTER[data[a : stops[n - 1]]] * top[: stops[n - 1] - a]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+        out[k:n] = (total[stops[k:n] - a] - total[starts[k:n] - a]) * top[CHUNK - (starts[k:n] - a)]
+        k = n
+    out = mix(out)
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out, np.searchsorted(starts, np.cumsum([len(x or b"") + 1 for x in texts]))
+
+
+@lru_cache(maxsize=1)
+def _chunk_powers() -> np.ndarray:
+    return powers(CHUNK + LONG + 1)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -50,7 +66,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def powers(n: int, size: int = 64) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """BASE to the 0th ... (n-1)th, modulo 2**64."""
     out = np.full(n, np.uint64(BASE))
     if n:

@@ -20,18 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import discard, held, materialize, packed, steps
+from titleweave.llm.common import discard, materialize, packed, steps
 from titleweave.llm.fmindex import FMIndex
-from titleweave.llm.segments import SPAN, Hashes, cut
+from titleweave.llm.segments import SPAN, cut, word_hashes
 
 SHARD_WORDS, HOT_SEGMENTS = 250_000, 1000
 LEAST_ID = -(1 << 63)
 
 
-def _word_hashes(texts: list[list[bytes]], n: int) -> np.ndarray:
-    return held("hashes", None, Hashes).of(texts, n)
-
-
 def _segments(own: DataFrame, contents: bool) -> DataFrame:
     """(key, id[, twin, start, n, content]) of every segment of own(id, twin, text)."""
     names = ["key", "id"] + ["twin", "start", "n", "content"] * contents
@@ -39,9 +35,8 @@ def _segments(own: DataFrame, contents: bool) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in steps(whole, 2):
-                words = [x.split() if x else [] for x in b.column(2).cast(pa.binary()).to_pylist()]
-                ends = np.cumsum([len(x) for x in words])
-                doc, start, n, key, content = cut(_word_hashes(words, ends[-1]), ends, SPAN, contents=contents)
+                hashes, ends = word_hashes(b.column(2).cast(pa.binary()).to_pylist())
+                doc, start, n, key, content = cut(hashes, ends, SPAN, contents=contents)
                 columns = [key, b.column(0).to_numpy()[doc]]
                 if contents:
                     columns += [b.column(1).to_numpy()[doc], start.astype(np.int32), n.astype(np.int32), content]
