@@ -326,6 +326,19 @@ def test_misspellings_share_vectors():
     assert s.score("idiott") > 0.5 > s.score("weather")
 
 
+def test_long_tokens_count_whole():
+    texts = ["you are an idiot and a fool"] * 30 + ["the weather is fine and dry today"] * 30
+    s = toxicity.Scorer(toxicity.train(texts, [1] * 30 + [0] * 30))
+    calm = "weather_" * 20
+    for bad in (calm + "idiot_" * 20 + calm, calm + "fool-" * 20 + calm):
+        assert s.score(bad) > s.score(calm + "today_" * 20 + calm)
+    for n in (64, 65, toxicity.STRETCH - 1, toxicity.STRETCH + 1, 2 * toxicity.STRETCH, 50_000):
+        word = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(n))
+        parts = list(toxicity.bags(word))
+        assert sorted(b for part in parts for b in part) == sorted(toxicity.bag(word))
+        assert len(toxicity.bag(word)) == 1 + sum(n + 2 - k + 1 for k in toxicity.GRAMS)
+
+
 # 7 fingerprints
 
 

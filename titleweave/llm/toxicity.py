@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pickle
 from array import array
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -25,6 +26,8 @@ BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
 EPOCHS, RATE, DECAY, LEAST_DOCS = 120, 0.1, 1e-4, 40
 THRESHOLD = 0.3
 CACHE_SIZE = 250_000
+#: Characters of a long word whose grams are held at a time, and of the longest word that is kept in the cache.
+STRETCH, CACHED = 1 << 14, 64
 PUNCTUATION = ".,;:!?\"'()[]{}|<>%&$*-"
 
 
@@ -33,13 +36,22 @@ def normal(token: str) -> str:
 
 
 def bag(word: str) -> list[int]:
-    """Buckets of the word itself and its character n-grams. Only the first and last 32 characters of a longer word."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
+    """Buckets of the word itself and its character n-grams, whatever its length."""
     edged = f"<{word}>"
     return [crc32(edged.encode()) % BUCKETS] + [crc32(edged[i : i + n].encode(), n) % BUCKETS for n in GRAMS for i in range(len(edged) - n + 1)]
 
 
+def bags(word: str) -> Iterator[list[int]]:
+    """bag() in parts of bounded size: each gram starts in one stretch of STRETCH characters."""
+    if len(word) <= STRETCH:
+        yield bag(word)
+        return
+    edged = f"<{word}>"
+    yield [crc32(edged.encode()) % BUCKETS]
+    for k in range(0, len(edged), STRETCH):
+        yield [crc32(edged[i : i + n].encode(), n) % BUCKETS for n in GRAMS for i in range(k, min(k + STRETCH, len(edged) - n + 1))]
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> bytes:
     """A pickled (per-bucket logit, bias): embeddings and softmax learnt together by Adam on all rows at once.
 
@@ -55,9 +67,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         docs.append(own)
     flat, sizes = array("i"), np.zeros(len(known), np.int64)
     for k, w in enumerate(known):
-        own_bag = bag(w)
-        sizes[k] = len(own_bag)
-        flat.extend(own_bag)
+        for part in bags(w):
+            sizes[k] += len(part)
+            flat.extend(part)
     n_words = len(known)
     y = np.array(labels, np.float32)
     if not known or not 0 < y.sum() < len(y):
@@ -124,9 +136,12 @@ class Scorer(dict):
         self.table = table.tolist()
 
     def __missing__(self, token: str) -> tuple[float, int]:
-        own = bag(normal(token))
-        out = (sum(map(self.table.__getitem__, own)), len(own))
-        if len(token) <= 64:
+        total, size = 0, 0
+        for own in bags(normal(token)):
+            total += sum(map(self.table.__getitem__, own))
+            size += len(own)
+        out = (total, size)
+        if len(token) <= CACHED:
             if len(self) >= CACHE_SIZE:
                 self.clear()
             self[token] = out
