@@ -390,6 +390,24 @@ def test_winnowing_equals_brute_force(spark):
         assert len(grams) >= len({h for h, _ in got[i]})
 
 
+def test_texts_without_blanks_share_marks_at_any_offset(spark):
+    r = random.Random(11)
+    some = lambda n, at: "".join(chr(at + r.randrange(3000)) for _ in range(n))
+    rows = []
+    for at in (0x4E00, 0x1F300):
+        passage = some(60, at)
+        rows += [passage] + [some(20 + k, at) + passage + some(9, at) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x["doc_id"]: set(x["h"]) for x in winnow.append_marks(df, "text", "marks").withColumn("h", winnow.hashes(F.col("marks"))).collect()}
+    for i in range(len(rows)):
+        own = got[i - i % 5]
+        assert len(own & got[i]) >= len(own) - 2 > 5
+    whole = rows[0] * 5
+    moved = spark.createDataFrame([(0, whole), (1, "x" + whole)], "doc_id long, text string")
+    a, b = (set(x["h"]) for x in winnow.append_marks(moved, "text", "marks").withColumn("h", winnow.hashes(F.col("marks"))).orderBy("doc_id").collect())
+    assert len(a & b) >= 0.8 * len(a | b)
+
+
 # 8 chat
 
 

@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is read as pieces: its runs of non-blanks (ASCII white space parts them) in stretches of PIECE code points. Each K
-consecutive pieces are hashed; of each WINDOW consecutive hashes the least is kept, the rightmost of equal ones, with its
+A text is read as pieces: its runs of non-blanks (ASCII white space parts them) in stretches of PIECE code points, and those
+of over LONG_RUN code points, as of texts without blanks, one by one, so that a passage in them has the same pieces wherever it
+stands. Each K consecutive pieces are hashed; of each WINDOW consecutive hashes the least is kept, the rightmost of equal ones, with its
 position. Two texts that share WINDOW + K - 1 consecutive pieces share a mark.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from titleweave.llm.common import materialize
 
 PIECE, K, WINDOW = 4, 4, 8
+#: Longest run that is cut from its beginning: an ordinary word.
+LONG_RUN = 16
 #: A mark is one long: the hash's low HASH_BITS, then the position counted down, so that the least mark is the rightmost.
 HASH_BITS, PLACE_BITS = 36, 27
 LAST = (1 << PLACE_BITS) - 1
@@ -25,9 +28,12 @@ def append_marks(df: DataFrame, text_col: str, out: str) -> DataFrame:
     Fewer than K pieces have one hash over all of them; fewer than WINDOW hashes are one window. No prefix, no cap but
     the 2**27 pieces whose positions a mark has room for.
     """
-    p, h = f"__{out}_pieces", f"__{out}_hashes"
+    r, p, h = f"__{out}_runs", f"__{out}_pieces", f"__{out}_hashes"
     pack = lambda x, i: F.shiftleft(x.bitwiseAND((1 << HASH_BITS) - 1), PLACE_BITS) + (F.lit(LAST) - i).cast("long")
-    cut = df.withColumn(p, F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
+    runs = df.withColumn(r, F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(rf"\S{{{LONG_RUN + 1},}}|\S{{1,{PIECE}}}"), F.lit(0)))
+    is_long = lambda x: F.length(x) > PIECE
+    points = F.flatten(F.transform(r, lambda x: F.when(is_long(x), F.regexp_extract_all(x, F.lit(r"\S"), F.lit(0))).otherwise(F.array(x))))
+    cut = runs.withColumn(p, F.when(F.exists(r, is_long), points).otherwise(F.col(r))).drop(r)
     n = F.size(p)
     grams = F.transform(F.sequence(F.lit(0), n - K), lambda i: pack(F.xxhash64(*[F.get(p, i + j) for j in range(K)]), i))
     some = F.when(n >= K, grams).when(n > 0, F.array(pack(F.xxhash64(F.col(p)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
