@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 
 from titleweave.llm.common import append_columns, held, texts_in
 
-#: Bounds of the learning sample: labelled documents (expected number, chosen by a hash of doc_id), their length.
-LEARN_DOCS, LEARN_CHARS = 6000, 200_000
+#: Bounds of the learning sample, chosen by a hash of doc_id: expected numbers of labelled documents and of their bytes.
+LEARN_DOCS, LEARN_BYTES = 6000, 64 << 20
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
-#: A bucket counts from LEAST_DOCS documents of the sample on, from 1 in 75 of a small one: rarer ones are learnt by heart.
-EPOCHS, RATE, DECAY, LEAST_DOCS = 120, 0.1, 1e-4, 40
+#: One rate for all embeddings keeps rare subwords, which see few gradients, near where they began.
+EPOCHS, RATE, DECAY = 300, 0.003, 1e-4
+#: Of the average, whose size is that of one bucket among thousands.
+SCALE = np.float32(30)
 THRESHOLD = 0.3
 CACHE_SIZE = 250_000
 #: Characters of a long word whose grams are held at a time, and of the longest word that is kept in the cache.
@@ -52,10 +54,18 @@ def bags(word: str) -> Iterator[list[int]]:
         yield [crc32(edged[i : i + n].encode(), n) % BUCKETS for n in GRAMS for i in range(k, min(k + STRETCH, len(edged) - n + 1))]
 
 
+def start(live: int, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """Embeddings, softmax weights and bias before the first step."""
+    random = np.random.default_rng(seed)
+    return {"e": random.normal(0, 0.1, (DIM, live)).astype(np.float32), "w": random.normal(0, 1, DIM).astype(np.float32), "b": np.full(1, np.log(rate / (1 - rate)), np.float32)}
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> bytes:
-    """A pickled (per-bucket logit, bias): embeddings and softmax learnt together by Adam on all rows at once.
+    """A pickled (per-bucket logit, bias): embeddings and softmax learnt together on all rows at once, by Adam with one
+    second moment for each of the three.
 
-    As the layers above the embeddings are linear, each bucket's embedding times the softmax weights is one number.
+    As the layers above the embeddings are linear, each bucket's embedding times the softmax weights is one number, and
+    all gradients follow from one number for each bucket. Every subword of the sample is learnt, however rare.
     """
     known: dict[str, int] = {}
     docs = []
@@ -65,66 +75,43 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             k = known.setdefault(normal(token), len(known))
             own[k] = own.get(k, 0) + 1
         docs.append(own)
+    y = np.array(labels, np.float32)
+    if not known or not 0 < y.sum() < len(y):
+        rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+        return pickle.dumps((np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate)))))
     flat, sizes = array("i"), np.zeros(len(known), np.int64)
     for k, w in enumerate(known):
         for part in bags(w):
             sizes[k] += len(part)
             flat.extend(part)
-    n_words = len(known)
-    y = np.array(labels, np.float32)
-    if not known or not 0 < y.sum() < len(y):
-        rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        return pickle.dumps((np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate)))))
-    word_of, bucket_of = np.repeat(np.arange(n_words), sizes), np.frombuffer(flat, np.int32)
+    live, column = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
     used = np.array([d for d, own in enumerate(docs) for _ in own], np.int64)
     words = np.array([k for own in docs for k in own], np.int64)
     counts = np.array([n for own in docs for n in own.values()], np.float32)
-    spread = np.bincount(words, minlength=n_words).astype(np.float32)  # documents of a word
-    seen = np.bincount(bucket_of, spread[word_of], BUCKETS)
-    fits = seen[bucket_of] >= min(LEAST_DOCS, max(2, len(docs) // 75))
-    word_of, bucket_of = word_of[fits], bucket_of[fits]
-    live, column = np.unique(bucket_of, return_inverse=True)
-    total = np.bincount(used, counts * sizes[words], len(docs)).astype(np.float32)
-    weight = counts / total[used]
-    random = np.random.default_rng(seed)
-    scale = np.float32(30)  # of the average, whose size is that of one bucket among thousands
-    e, w, b = random.normal(0, 0.1, (DIM, len(live))).astype(np.float32), random.normal(0, 1, DIM).astype(np.float32), np.float32(np.log(y.mean() / (1 - y.mean())))
-    by_word = np.searchsorted(word_of, np.arange(n_words + 1))
-    filled = np.flatnonzero(np.diff(by_word))
-    by_column = np.argsort(column, kind="stable")
-    column_at, word_by_column = np.searchsorted(column[by_column], np.arange(len(live))), word_of[by_column]
+    weight = counts / np.bincount(used, counts * sizes[words], len(docs)).astype(np.float32)[used]
+    # the same sums by word, document and bucket again and again: each as one run of a sorted array
+    word_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     docs_with = np.flatnonzero([len(x) > 0 for x in docs])
     used_at = np.searchsorted(used, docs_with)
     order = np.argsort(words, kind="stable")
-    word_at, used_by_word, weight_by_word = np.searchsorted(words[order], np.arange(n_words)), used[order], weight[order]
-    state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("e", e), ("w", w), ("b", b))}
+    seen_at, used_by_word, weight_by_word = np.searchsorted(words[order], np.arange(len(known))), used[order], weight[order]
+    by_column = np.argsort(column, kind="stable")
+    column_at, word_by_column = np.searchsorted(column[by_column], np.arange(len(live))), np.repeat(np.arange(len(known)), sizes)[by_column]
+    state = start(len(live), float(y.mean()), seed)
+    e, w, b = state["e"], state["w"], state["b"]
+    first, second = {k: np.zeros_like(v) for k, v in state.items()}, dict.fromkeys(state, 0.0)
     for step in range(1, epochs + 1):
-        h = np.zeros((DIM, len(docs)), np.float32)
-        for k in range(DIM):
-            v = np.zeros(n_words, np.float32)
-            v[filled] = np.add.reduceat(e[k][column], by_word[filled])
-            h[k, docs_with] = np.add.reduceat(v[words] * weight, used_at)
-        d = (1 / (1 + np.exp(-np.clip(w @ h * scale + b, -30, 30))) - y) / len(y)
-        ge = DECAY * e / len(live)
-        gv = np.add.reduceat(d[used_by_word] * weight_by_word, word_at) * scale
-        own = np.add.reduceat(gv[word_by_column], column_at)
-        for k in range(DIM):
-            ge[k] += own * w[k]
-        grads = {"e": ge, "w": h @ d * scale, "b": np.float32(d.sum())}
-        for k, g in grads.items():
-            m, s = state[k]
-            m[...] = 0.9 * m + 0.1 * g
-            s[...] = 0.999 * s + 0.001 * g * g
-            move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-            if k == "e":
-                e -= move
-            elif k == "w":
-                w -= move
-            else:
-                b = np.float32(b - move)
+        logit = np.full(len(docs), b[0])
+        logit[docs_with] += np.add.reduceat(np.add.reduceat((w @ e * SCALE)[column], word_at)[words] * weight, used_at)
+        d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+        by_bucket = np.add.reduceat((np.add.reduceat(d[used_by_word] * weight_by_word, seen_at) * SCALE)[word_by_column], column_at)
+        for k, g in (("e", np.outer(w, by_bucket) + DECAY * e / len(live)), ("w", e @ by_bucket), ("b", d.sum(keepdims=True))):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * float(np.mean(g * g))
+            state[k] -= (RATE / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)) * first[k]
     table = np.zeros(BUCKETS, np.float32)
-    table[live] = w @ e * scale
-    return pickle.dumps((table, float(b)))
+    table[live] = w @ e * SCALE
+    return pickle.dumps((table, float(b[0])))
 
 
 class Scorer(dict):
@@ -164,17 +151,18 @@ def fold(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", use_fold: bool = True) -> bytes:
-    """Learn from a bounded sample of labelled rows (LEARN_DOCS, LEARN_CHARS) outside the held-out fold.
+    """Learn from a bounded sample of labelled rows (LEARN_DOCS, LEARN_BYTES) outside the held-out fold, whole texts.
 
     Of several labels of a document the largest counts; null labels and texts are left out.
     """
     told = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     if use_fold:
         told = told.filter(~fold(F.col("doc_id")))
-    share = min(1.0, LEARN_DOCS / max(told.count(), 1))
+    own = texts_in(docs, id_col, text_col).filter("text is not null")
+    n, size = own.select("doc_id", F.octet_length("text").cast("long").alias("size")).join(told, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = min(1.0, LEARN_DOCS / max(n, 1), LEARN_BYTES / max(size, 1))
     sample = told.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    own = texts_in(docs, id_col, text_col).filter(F.col("text").isNotNull() & (F.length("text") <= LEARN_CHARS))
-    found = own.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").toArrow()  # LEARN_DOCS rows or so
+    found = own.join(sample, "doc_id").select("doc_id", "text", "label").toArrow()  # LEARN_BYTES or so
     rows = sorted(zip(found["doc_id"].to_pylist(), found["text"].cast(pa.binary()).to_pylist(), found["label"].to_pylist(), strict=True))
     return train([x[1].decode("utf-8", "replace") for x in rows], [int(x[2] > 0) for x in rows])
 
