@@ -17,32 +17,35 @@ from pyspark.sql import types as T
 
 from titleweave.llm.common import append_columns, held, texts_in, unused
 
-#: Bounds of the learning sample: documents per language (expected number, chosen by a hash of doc_id), their length.
-DOCS_PER_LANG, LEARN_CHARS = 800, 200_000
+#: Bounds of the learning sample, chosen by a hash of doc_id: expected numbers of a language's documents and of their
+#: bytes; languages, the most frequent first.
+DOCS_PER_LANG, LEARN_BYTES, LANGS = 800, 16 << 20, 200
 ROUNDS, SMOOTHING = 4, 0.05
-#: A longer run of letters is scored in stretches of so many. Longest piece tried. Probability of a letter with no piece.
-STRETCH, PIECE, UNSEEN = 24, 8, 1e-7
+#: Probability of a letter with no piece.
+UNSEEN = 1e-7
 START = "▁"
-CACHE_SIZE = 120_000
+#: Words remembered by a Python worker; longer ones than CACHED letters are scored each time. Letters of words of one length
+#: that are looked up at a time.
+CACHE_SIZE, CACHED, LETTERS = 120_000, 64, 1 << 15
 UNDETERMINED = "und"
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Lower-case pieces of letters, of PIECE characters at most, with START kept where a piece begins a word."""
+    """All lower-case pieces of letters, with START kept where a piece begins a word."""
     import public_tokenizers
     import regex
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     fits = regex.compile(START + r"?\p{L}+|" + START).fullmatch
-    return sorted({p for p in (model.id_to_piece(i).lower() for i in range(model.get_piece_size())) if len(p) <= PIECE and fits(p)})
+    return sorted({p for p in (model.id_to_piece(i).lower() for i in range(model.get_piece_size())) if fits(p)})
 
 
 class Pieces:
     """Finds pieces by a rolling hash of their characters in a two-level table."""
 
     def __init__(self, names: list[str]):
-        self.n, keys = len(names), np.zeros(len(names), np.uint64)
+        self.n, self.longest, keys = len(names), max(map(len, names), default=1), np.zeros(len(names), np.uint64)
         for i, name in enumerate(names):
             keys[i] = self.key(np.array([[ord(c) for c in name]], np.uint64))[0]
         if len(np.unique(keys)) < len(keys):
@@ -75,25 +78,32 @@ class Pieces:
             todo = todo[at[todo] < end[todo]]
         return out
 
-    def lattice(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For words of one length, the piece on each (from, to); single letters always have one, n standing for none."""
-        length, out = words.shape[1], {}
-        for j in range(1, length + 1):
-            for i in range(max(0, j - PIECE), j):
-                found = self.find(words[:, i:j])
-                if j - i == 1:
-                    found[found < 0] = self.n
-                out[i, j] = found
+    def ending(self, words: np.ndarray, j: int) -> list[np.ndarray]:
+        """For words of one length, the pieces of 1, 2, ... characters that end at j; single letters always have one, n
+        standing for none.
+        """
+        out = [self.find(words[:, j - d : j]) for d in range(1, min(self.longest, j) + 1)]
+        out[0][out[0] < 0] = self.n
+        return out
+
+    def windows(self, word: np.ndarray) -> np.ndarray:
+        """ending() of all places of one word, a row for each; -1 where there is none."""
+        out = np.full((len(word), self.longest), -1, np.int64)
+        for d in range(1, min(self.longest, len(word)) + 1):
+            for k in range(0, len(word) - d + 1, LETTERS):
+                part = word[k : k + LETTERS + d - 1]
+                out[k + d - 1 : k + len(part), d - 1] = self.find(np.lib.stride_tricks.sliding_window_view(part, d))
+        out[out[:, 0] < 0, 0] = self.n
         return out
 
 
 def by_length(words: list[str]):
-    """Index and code point rows (START first) of words by length, in blocks."""
+    """Index and code point rows (START first) of words by length, in blocks of LETTERS letters or so."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
-        where = np.flatnonzero(lengths == n)
-        for k in range(0, len(where), 2048):
-            some = where[k : k + 2048]
+        where, size = np.flatnonzero(lengths == n), max(1, LETTERS // int(n))
+        for k in range(0, len(where), size):
+            some = where[k : k + size]
             rows = np.array([[ord(START), *map(ord, words[i])] for i in some.tolist()], np.uint64)
             yield some, rows
 
@@ -105,12 +115,20 @@ class Model:
         self.logs = np.zeros((0, len(langs)))
 
     def forward(self, rows: np.ndarray) -> np.ndarray:
-        lattice, n = self.pieces.lattice(rows), rows.shape[1]
-        alpha = np.zeros((n + 1, len(rows), len(self.langs)))
-        alpha[0] = 1
-        for (i, j), found in lattice.items():
-            alpha[j] += alpha[i] * self.table[found]
-        return np.log(np.maximum(alpha[n], 1e-300))
+        """Logarithms of the probabilities of words of one length: sums over all segmentations, place by place, kept for
+        the longest piece's length and scaled as they go, so that no length is too long.
+        """
+        if len(rows) == 1 and rows.shape[1] > CACHED:
+            return running_sums(self.pieces.windows(rows[0]), self.table)[-1:]
+        last: list[np.ndarray] = [np.ones((len(rows), len(self.langs)))]  # the sum up to the place before, and those before it
+        logs = np.zeros((len(rows), len(self.langs)))
+        for j in range(1, rows.shape[1] + 1):
+            now = sum(a * self.table[found] for a, found in zip(last, self.pieces.ending(rows, j), strict=False))
+            last = [now, *last[: self.pieces.longest - 1]]
+            if j % 8 == 0:
+                logs += np.log(now)
+                last = [a / now for a in last]
+        return logs + np.log(last[0])
 
     def word_logs(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
@@ -121,22 +139,29 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its posterior (even prior) of each text; UNDETERMINED and 0 without a letter."""
         find, known = letters(), self.known
-        words = [stretches(find(t.lower())) if t else [] for t in texts]
+        words = [find(t.lower()) if t else [] for t in texts]
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        new = list({w for own in words for w in own if w not in known})
+        every = set().union(*words)
+        long = [w for w in every if len(w) > CACHED]
+        new = every - known.keys() - set(long)
         if len(known) + len(new) > CACHE_SIZE:
             known.clear()
-            new, self.logs = list({w for own in words for w in own}), np.zeros((0, len(self.langs)))
+            new, self.logs = every - set(long), np.zeros((0, len(self.langs)))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.logs = np.concatenate([self.logs, self.word_logs(new)])
+            self.logs = np.concatenate([self.logs, self.word_logs(list(new))])
+        apart = dict(zip(long, self.word_logs(long), strict=True))
         lang, score = [], np.zeros(len(texts))
         for i, own in enumerate(words):
             if not own:
                 lang.append(UNDETERMINED)
                 continue
-            total = self.logs[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(0)
+            total = np.zeros(len(self.langs))
+            if apart:
+                total += sum((apart[w] for w in own if w in apart), np.zeros(len(self.langs)))
+                own = [w for w in own if w not in apart]
+            total += self.logs[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(0)
             best = int(total.argmax())
             lang.append(self.langs[best])
             score[i] = 1 / np.exp(total - total[best]).sum()
@@ -150,14 +175,64 @@ def letters():
     return regex.compile(r"\p{L}+").findall
 
 
-def stretches(words: list[str]) -> list[str]:
-    if any(len(w) > STRETCH for w in words):
-        return [w[k : k + STRETCH] for w in words for k in range(0, len(w), STRETCH)]
-    return words
+def _sum_logs(terms: list[np.ndarray]) -> np.ndarray:
+    top = np.maximum.reduce(terms)
+    return top + np.log(sum(np.exp(x - top) for x in terms))
+
+
+def running_sums(found: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For one long word, logarithms of the sums over all segmentations of its beginnings. found: see Pieces.windows."""
+    last, sums = np.zeros((found.shape[1], table.shape[1])), np.ones((len(found) + 1, table.shape[1]))
+    last[0] = 1
+    for j in range(len(found)):
+        now = (last * table[found[j]]).sum(0)
+        sums[j + 1] = now
+        last[1:] = last[:-1]
+        last[0] = now
+        last /= now
+    return np.cumsum(np.log(sums), 0)
+
+
+def expected_in_one(own: np.ndarray, found: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """expected() of one long word."""
+    n, longest = found.shape
+    alpha = running_sums(found, table)
+    mirrored = np.full_like(found, -1)  # from the word's end: the pieces that begin where those of found end
+    for d in range(1, min(longest, n) + 1):
+        mirrored[d - 1 :, d - 1] = found[d - 1 :, d - 1][::-1]
+    beta = running_sums(mirrored, table)[::-1]
+    seen = np.zeros_like(table)
+    for d in range(1, min(longest, n) + 1):
+        at = np.flatnonzero(found[:, d - 1] >= 0)
+        piece = found[at, d - 1]
+        mass = np.exp(alpha[at + 1 - d] + beta[at + 1] - alpha[n]) * table[piece] * own
+        for c in range(table.shape[1]):
+            seen[:, c] += np.bincount(piece, mass[:, c], len(table))
+    return seen
+
+
+def expected(own: np.ndarray, endings: list[list[np.ndarray]], logs: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words (own: how often each stands, by language): forward and backward sums over
+    all segmentations, as logarithms.
+    """
+    n = len(endings)
+    alpha, beta = [np.zeros(own.shape)], [np.zeros(own.shape)] * (n + 1)
+    for j in range(1, n + 1):
+        alpha.append(_sum_logs([alpha[j - d] + logs[found] for d, found in enumerate(endings[j - 1], 1)]))
+    for i in reversed(range(n)):
+        beta[i] = _sum_logs([beta[i + d] + logs[endings[i + d - 1][d - 1]] for d in range(1, n - i + 1) if d <= len(endings[i + d - 1])])
+    pieces, mass = [], []
+    for j in range(1, n + 1):
+        for d, found in enumerate(endings[j - 1], 1):
+            some = np.flatnonzero(found >= 0)
+            pieces.append(found[some])
+            mass.append(np.exp(alpha[j - d][some] + logs[found[some]] + beta[j][some] - alpha[n][some]) * own[some])
+    at, mass = np.concatenate(pieces), np.concatenate(mass)
+    return np.stack([np.bincount(at, mass[:, c], len(logs)) for c in range(own.shape[1])], 1)
 
 
 def learn(counts: list[tuple[str, str, int]], pieces: list[str]) -> bytes:
-    """A pickled (pieces, langs, table) from (lang, word, count) rows."""
+    """A pickled (pieces, langs, table) from (lang, word, count) rows, by ROUNDS of expectation maximisation."""
     langs, words = sorted({x[0] for x in counts}), sorted({x[1] for x in counts})
     at_lang, at_word = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
     weight = np.zeros((len(words), len(langs)))
@@ -167,21 +242,14 @@ def learn(counts: list[tuple[str, str, int]], pieces: list[str]) -> bytes:
     table = np.full((n + 2, k), 1 / max(n, 1))
     table[n], table[n + 1] = UNSEEN, 0  # found -1 reads the last row: no such piece
     index = Pieces(pieces)
-    blocks = [(weight[where], index.lattice(rows), rows.shape[1]) for where, rows in by_length(words)]
+    short, long = [w for w in words if len(w) <= CACHED], [w for w in words if len(w) > CACHED]
+    at_short = np.array([at_word[w] for w in short], np.int64)
+    blocks = [(weight[at_short[where]], [[x.astype(np.int32) for x in index.ending(rows, j)] for j in range(1, rows.shape[1] + 1)]) for where, rows in by_length(short)]
+    wide = [(weight[at_word[w]], index.windows(np.array([ord(START), *map(ord, w)], np.uint64)).astype(np.int32)) for w in long]
     for _ in range(ROUNDS if langs else 0):
-        seen = np.zeros((n + 2, k))
-        for own, lattice, length in blocks:
-            alpha, beta = np.zeros((length + 1, *own.shape)), np.zeros((length + 1, *own.shape))
-            alpha[0], beta[length] = 1, 1
-            for (i, j), found in lattice.items():
-                alpha[j] += alpha[i] * table[found]
-            for (i, j), found in sorted(lattice.items(), key=lambda x: -x[0][1]):
-                beta[i] += beta[j] * table[found]
-            scale = own / np.maximum(alpha[length], 1e-300)
-            for (i, j), found in lattice.items():
-                mass = alpha[i] * table[found] * beta[j] * scale
-                for c in range(k):
-                    seen[:, c] += np.bincount(np.where(found < 0, n + 1, found), mass[:, c], n + 2)
+        with np.errstate(divide="ignore"):
+            logs = np.log(table)
+        seen = sum(expected(own, endings, logs) for own, endings in blocks) + sum(expected_in_one(own, found, table) for own, found in wide)
         base = seen[:n].sum(1, keepdims=True)
         table[:n] = seen[:n] + SMOOTHING + base / max(base.sum(), 1) * 100
         table[:n] /= table[:n].sum(0)
@@ -194,21 +262,23 @@ def loaded(model: bytes) -> Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None, held_out_remainder: int | None = 1) -> bytes:
-    """Learn from a bounded sample of the rows with a language (see DOCS_PER_LANG, LEARN_CHARS), outside the held-out fold.
+    """Learn from a bounded sample of the rows with a language (DOCS_PER_LANG, LEARN_BYTES, LANGS), outside the held-out
+    fold, whole texts.
 
-    Which rows: those whose hash of doc_id lies under DOCS_PER_LANG / (rows of the language). No such rows give a model
-    that answers UNDETERMINED.
+    Which rows: those whose hash of doc_id lies under a share that its language's numbers of rows and bytes set. No such
+    rows give a model that answers UNDETERMINED.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
     if held_out_remainder is not None:
         own = own.filter(F.coalesce(F.crc32(F.coalesce("id", F.lit("")).cast("binary")), F.lit(0)) % 3 != held_out_remainder)
-    share = {r["lang"]: min(1.0, DOCS_PER_LANG / r["n"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    share = {r["lang"]: min(1.0, DOCS_PER_LANG / r["n"], LEARN_BYTES / max(r["size"], 1)) for r in sizes.orderBy(F.col("n").desc(), "lang").limit(LANGS).collect()}
     if not share:
         return learn([], vocabulary(path))
     part = F.lit(0.0)
     for lang, x in share.items():
         part = F.when(F.col("lang") == lang, F.lit(x)).otherwise(part)
-    sample = own.filter((F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) < part * (1 << 20)) & (F.length("text") <= LEARN_CHARS))
+    sample = own.filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 20)) < part * (1 << 20))
 
     def words(batches):
         from collections import Counter
@@ -217,7 +287,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             seen: Counter = Counter()
             for text, lang in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in stretches(find(text.decode("utf-8", "replace").lower())))
+                seen.update((lang, w) for w in find(text.decode("utf-8", "replace").lower()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
