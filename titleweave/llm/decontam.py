@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, materialize, texts_in
+from titleweave.llm.common import append_columns, held, materialize, texts_in, unpacked
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -122,8 +123,16 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[last:]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words int, hits (merged word ranges) and items (ids as strings, sorted): which benchmark windows occur.
+@F.pandas_udf(FOUND)
+def union(a, b):
+    import pandas as pd
+
+    return pd.Series([[{"from": p, "to": q} for p, q in merged([(r["from"], r["to"]) for r in [*x, *y]])] for x, y in zip(a, b, strict=True)])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, text, n_words int, hits, items): each row of docs as a struct without its text, the text, the merged word ranges that benchmark
+    windows cover and the ids of their items as strings, sorted.
 
     Null texts have no words. A null item_id counts as the empty string. An empty benchmark hits nothing.
     """
@@ -132,42 +141,35 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    out = docs
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    out = docs.select(F.struct(others or [F.lit(True)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    fields = [("n_words", T.IntegerType()), ("hits", FOUND), ("items", T.ArrayType(T.StringType()))]
     for k in range(blocks):
         own = [(r["item"], bytes(r["text"])) for r in items.filter(block == k).collect()]  # block_bytes or so
-        held = spark.sparkContext.broadcast(own)
+        told, name = spark.sparkContext.broadcast(own), uuid.uuid4().hex
 
-        def make(held=held):
-            windows: list[Windows] = []
+        def make(told=told, name=name):
+            w = held("decontam", name, lambda: Windows(told.value))
 
             def run(texts: pa.Array) -> list:
-                if not windows:
-                    windows.append(Windows(held.value))
-                w = windows[0]
                 found = w.scan(texts.to_pylist())
                 return [[x[0] for x in found], pa.array([[{"from": a, "to": b} for a, b in x[1]] for x in found], ARROW_FOUND), [sorted({w.names[i] for i in x[2]}) for x in found]]
 
             return run
 
-        suffix = "" if blocks == 1 else f"_{k}"
-        fields = [(f"n_words{suffix}", T.IntegerType()), (f"hits{suffix}", FOUND), (f"items{suffix}", T.ArrayType(T.StringType()))]
-        out = append_columns(out, make, fields, text_col)
-        if blocks > 1:
-            last = f"_{k - 1}"
-            if k:
-
-                @F.pandas_udf(FOUND)
-                def union(a, b):
-                    import pandas as pd
+        out = append_columns(out.withColumnsRenamed({"hits": "hits_before", "items": "items_before"}), make, fields)
+        if k:
+            out = out.withColumns({"hits": union("hits", "hits_before"), "items": F.array_sort(F.array_union("items", "items_before"))}).drop("hits_before", "items_before")
+        if k < blocks - 1:
+            out = materialize(out, "decontam")
+    return out
 
-                    return pd.Series([[{"from": p, "to": q} for p, q in merged([(r["from"], r["to"]) for r in [*x, *y]])] for x, y in zip(a, b, strict=True)])
 
-                out = out.withColumn(f"hits{suffix}", union(f"hits{suffix}", f"hits{last}")).withColumn(f"items{suffix}", F.array_sort(F.array_union(f"items{suffix}", f"items{last}"))).drop(f"n_words{last}", f"hits{last}", f"items{last}")
-            if k == blocks - 1:
-                out = out.drop("n_words", "hits", "items").withColumnsRenamed({f"{c}{suffix}": c for c in ("n_words", "hits", "items")})
-            else:
-                out = materialize(out, "decontam")
-    return out
+def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs with n_words, hits and items (see scan), which take the place of columns of those names."""
+    new = ["n_words", "hits", "items"]
+    found = scan(docs, benchmark, text_col, **options)
+    return found.select([(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in new] + new)
 
 
 N_HIT = "cast(aggregate(hits, 0L, (s, x) -> s + x.to - x.from) as long)"
@@ -175,7 +177,7 @@ N_HIT = "cast(aggregate(hits, 0L, (s, x) -> s + x.to - x.from) as long)"
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of docs; other columns aren't read."""
-    found = find(texts_in(docs, id_col, text_col), benchmark, "text", **options)
+    found = scan(texts_in(docs, id_col, text_col), benchmark, "text", **options).withColumn("doc_id", F.col("row.doc_id"))
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.expr(N_HIT).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.expr(f"{N_HIT} > 0 and 20 * {N_HIT} >= n_words").alias("contaminated"))
 
 
@@ -184,10 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
 
     Contaminated: at least 1 in 20 words is hit. A text without hits, null included, is untouched.
     """
-    renamed = {"n_words", "hits", "items"} & set(docs.columns)
-    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in renamed})
-    text_at = f"__own_{text_col}" if text_col in renamed else text_col
-    found = find(safe, benchmark, text_at, **options)
+    found = scan(docs, benchmark, text_col, **options).filter(F.expr(f"not ({N_HIT} > 0 and 20 * {N_HIT} >= n_words)"))
 
     @F.pandas_udf("string")
     def cut(text, hits):
@@ -195,8 +194,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
 
         return pd.Series([t if t is None or not len(h) else without(t.encode(), [(r["from"], r["to"]) for r in h]).decode("utf-8", "replace") for t, h in zip(text, hits, strict=True)])
 
-    kept = found.filter(F.expr(f"not ({N_HIT} > 0 and 20 * {N_HIT} >= n_words)"))
-    return kept.withColumn(text_at, F.when(F.size("hits") > 0, cut(text_at, "hits")).otherwise(F.col(text_at))).drop("n_words", "hits", "items").withColumnsRenamed({f"__own_{c}": c for c in renamed}).select([F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(found, docs, **{text_col: F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))})
 
 
 def digest(items: list[str]) -> str:
