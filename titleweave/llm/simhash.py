@@ -4,9 +4,10 @@ Fingerprints of whole texts are compared through parts of correlated bits. Each
 threshold per part (-1 skips the part; they sum to radius - parts + 1), allocated by dynamic programming on estimated
 candidate counts, and probes the cells of that radius. Candidates are verified on all 64 bits.
 
-A cell with more than CELL_LIMIT fingerprints is not expanded into pairs: a fingerprint that would probe one is linked
-through its closed ball of radius 1 instead. Two fingerprints differ in at most 2 bits exactly if those balls meet, and a
-meeting point has 65 members at most, so that way is whole too and linear in the fingerprints.
+A cell with more than CELL_LIMIT fingerprints is not expanded into pairs: for a fingerprint that would probe one, the links
+don't come from probing but from its closed ball of radius 1. Two fingerprints differ in at most 2 bits exactly if those balls
+meet, and a meeting point has 65 members at most, so that way is whole too and linear in the fingerprints. The limit follows from
+the ball's 65 points, not from any data.
 """
 
 from __future__ import annotations
@@ -64,12 +65,13 @@ def simhash_batch(texts: list[bytes | None]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row, fp the fingerprint as a signed LONG."""
+    """(doc_id, text_key, fp): one row per input row, fp the fingerprint as a signed LONG, text_key a hash of the text."""
 
     def make():
         return lambda texts: [pa.array(simhash_batch(texts.to_pylist()).view(np.int64))]
 
-    return append_columns(texts_in(docs, id_col, text_col), make, [("fp", T.LongType())], keep=["doc_id"])
+    own = texts_in(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return append_columns(own, make, [("fp", T.LongType())], keep=["doc_id", "text_key"])
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -217,6 +219,19 @@ def links(fps: DataFrame, n: int, co: np.ndarray, cell_limit: int = CELL_LIMIT)
     return probed.unionByName(met.filter("u <> v"))
 
 
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, fp, component_id, root), one row per input row: root is the component's least fingerprint."""
+    own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    n = distinct.count()
+    node = components(links(distinct, n, bit_counts(distinct))) if n > 1 else distinct.sparkSession.createDataFrame([], "node long, root long")
+    known = node.join(distinct, node.node == distinct.fp).select("node", "root", "first_id")
+    least = known.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    renamed = known.join(least, "root").select(F.col("node").alias("fp"), "root", "least_id")
+    member = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return own.join(member, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
@@ -224,25 +239,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint 0 and link like any other; a null doc_id is never a least one; repeated rows each give a row; no rows
     give no rows. Other columns are not read.
     """
-    own = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    n = distinct.count()
-    node = components(links(distinct, n, bit_counts(distinct))) if n > 1 else distinct.sparkSession.createDataFrame([], "node long, root long")
-    known = node.join(distinct, node.node == distinct.fp).select("node", "root", "first_id")
-    least = known.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    renamed = known.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    member = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return own.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = members(docs, id_col, text_col)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the least doc_id (of repeated rows, one). Columns stay.
+    """docs with one row of each group of near duplicates: that of the least (doc_id, fingerprint, hash of the text). Columns
+    stay.
 
-    A row without a doc_id can't be named as a member of a group, and stays.
+    Rows of one doc_id whose texts are unlike belong to groups of their own, and each group keeps one. A row without a
+    doc_id can't be named as a member of a group, and stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = packed(docs).withColumn("doc_id", F.col("row").getField(id_col))
-    order = Window.partitionBy("doc_id").orderBy(F.col("row").getField(text_col))
-    kept = rows.join(named, "doc_id").withColumn("n", F.row_number().over(order)).filter("n = 1")
+    found = members(docs, id_col, text_col).filter("doc_id is not null")
+    named = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_key")).alias("least")).select("least.doc_id", "least.text_key")
+    rows = packed(docs).withColumns({"doc_id": F.col("row").getField(id_col), "text_key": F.xxhash64(F.col("row").getField(text_col).cast("string"))})
+    order = Window.partitionBy("doc_id", "text_key").orderBy(F.lit(1))
+    kept = rows.join(named, ["doc_id", "text_key"]).withColumn("n", F.row_number().over(order)).filter("n = 1")
     return unpacked(kept, docs).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
