@@ -97,6 +97,13 @@ def test_near_duplicates(docs, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(x) for x in {c for i, _, c in want if i is not None}] + ["None", "None"])
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(7, PASSAGE), (7, LONG), (7, LONG), (8, PASSAGE + " more"), (9, LONG), (None, LONG)]
+    kept = simhash.keep_one(make(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"] == LONG) == [("7", LONG), ("None", LONG)]
+    assert (7, PASSAGE) in {(r["doc_id"], r["text"]) for r in kept}
+
+
 @pytest.mark.parametrize("cell_limit", [1, 8, 10_000])
 def test_links_connect_what_brute_force_does(spark, cell_limit):
     r = random.Random(6)
@@ -264,6 +271,17 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert all(kept[i] == t for i, t in awkward() if i in untouched and i not in (None, 112, 113))
 
 
+def test_decontamination_with_clashing_names_in_blocks(spark):
+    names = ["doc_id", "text", "n_words_0", "hits_before", "items", "row", "__own_hits", "hits"]
+    df = spark.createDataFrame([(1, "x " + PASSAGE, 1, 2, 3, 4, 5, 6), (2, " ".join(f"w{i}" for i in range(400)) + " " + PASSAGE, 1, 2, 3, 4, 5, 6), (3, None, 1, 2, 3, 4, 5, 6)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names[2:]))
+    bench = spark.createDataFrame([(i, PASSAGE + f" {i}") for i in range(9)], "item_id long, text string")
+    for block_bytes in (700, 1 << 20):
+        clean = decontam.clean(df, bench, block_bytes=block_bytes)
+        assert clean.columns == names
+        assert {r["doc_id"]: (r["n_words_0"], r["hits"], r["row"]) for r in clean.collect()} == {2: (1, 6, 4), 3: (1, 6, 4)}
+        assert "n_words_0" in decontam.find(df, bench, block_bytes=block_bytes).columns
+
+
 # 5 BPE
 
 
@@ -326,6 +344,52 @@ def test_misspellings_share_vectors():
     assert s.score("idiott") > 0.5 > s.score("weather")
 
 
+def test_training_steps_and_scores_equal_brute_force():
+    import math
+    import pickle
+
+    texts = ["You are an IDIOT, and a fool!", "fine weather today", "idiot idiot", "", "(the) weather is... fine " + "x_" * 50, "a fool"]
+    labels = [1, 0, 1, 0, 0, 1]
+
+    def grams(text):
+        out = []
+        for token in text.lower().split():
+            edged = f"<{token.strip(toxicity.PUNCTUATION) or token}>"
+            out.append(crc32(edged.encode()) % toxicity.BUCKETS)
+            out += [crc32(edged[i : i + n].encode(), n) % toxicity.BUCKETS for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
+        return out
+
+    bags = [grams(t) for t in texts]
+    live = sorted({b for own in bags for b in own})
+    state = {k: v.astype(float) for k, v in toxicity.start(len(live), 0.5, 7).items()}
+    first, second = {k: np.zeros_like(v) for k, v in state.items()}, dict.fromkeys(state, 0.0)
+    for step in (1, 2, 3):
+        grad = {k: np.zeros_like(v) for k, v in state.items()}
+        for own, y in zip(bags, labels, strict=True):
+            at = [live.index(b) for b in own]
+            mean = state["e"][:, at].mean(1) if at else np.zeros(toxicity.DIM)
+            d = (1 / (1 + math.exp(-(state["w"] @ mean * 30 + state["b"][0]))) - y) / len(texts)
+            grad["w"] += d * 30 * mean
+            grad["b"] += d
+            for i in at:
+                grad["e"][:, i] += d * 30 * state["w"] / len(at)
+        grad["e"] += toxicity.DECAY * state["e"] / len(live)
+        for k, g in grad.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * (g * g).mean()
+            state[k] -= toxicity.RATE * (first[k] / (1 - 0.9**step)) / (math.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    model = toxicity.train(texts, labels, 3)
+    table, bias = pickle.loads(model)
+    want = state["w"] @ state["e"] * 30
+    assert table[live] == pytest.approx(want, rel=1e-3, abs=1e-5) and bias == pytest.approx(state["b"][0], abs=1e-5)
+    assert not np.delete(table, live).any()
+    scorer = toxicity.Scorer(model)
+    for t in [*texts, "unseen idiots " * 400, "weather" * 10_000, None, " \n"]:
+        own = grams(text_of(t))
+        mean = float(np.mean(table[own].astype(float))) if own else 0.0
+        assert scorer.score(t) == pytest.approx(1 / (1 + math.exp(-(mean + bias))), rel=1e-6)
+
+
 def test_long_tokens_count_whole():
     texts = ["you are an idiot and a fool"] * 30 + ["the weather is fine and dry today"] * 30
     s = toxicity.Scorer(toxicity.train(texts, [1] * 30 + [0] * 30))
@@ -473,30 +537,67 @@ def test_line_dedup(spark, docs, empty, run):
 # 10 language
 
 
-def brute_word(word, table, names):
-    """The probability of a word by adding up all its segmentations."""
-    word = langid.START + word
+def brute_forward(word, table, names):
+    """The probabilities of a word's beginnings by adding up all segmentations."""
     p = [1.0] + [0.0] * len(word)
     for j in range(1, len(word) + 1):
-        for i in range(max(0, j - langid.PIECE), j):
+        for i in range(j):
             k = names.get(word[i:j])
             p[j] += p[i] * (table[k] if k is not None else langid.UNSEEN if j - i == 1 else 0)
-    return p[-1]
+    return p
+
+
+def test_no_piece_of_letters_is_left_out():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    assert set(langid.vocabulary()) == {p for p in pieces if p == langid.START or p.removeprefix(langid.START).isalpha()}
+    assert max(map(len, langid.vocabulary())) == 16
 
 
 def test_language_model_equals_brute_force():
+    import math
+
     pieces = langid.vocabulary()
     model = langid.learn([("en", "the", 5), ("en", "weather", 2), ("fr", "le", 5), ("fr", "temps", 2), ("fr", "čšž", 1)], pieces)
     m = langid.loaded(model)
     names = {x: i for i, x in enumerate(pieces)}
-    words = ["the", "weather", "temps", "xyzzy", "č", "ж", "a" * langid.STRETCH]
-    got = np.exp(m.word_logs(words))
-    for w, row in zip(words, got, strict=True):
+    r = random.Random(13)
+    words = ["the", "weather", "temps", "xyzzy", "č", "ж", "internationalisation", "a" * 24, "a" * 25, "weather" * 5]
+    words += ["".join(r.choice("aehrtwč") for _ in range(n)) for n in (langid.CACHED, langid.CACHED + 1, 90)]
+    for w, row in zip(words, m.word_logs(words), strict=True):
         for k in range(2):
-            assert row[k] == pytest.approx(brute_word(w, m.table[:, k], names), rel=1e-9)
+            assert row[k] == pytest.approx(math.log(brute_forward(langid.START + w, m.table[:, k], names)[-1]), rel=1e-9)
     assert m.table[: len(pieces)].sum(0) == pytest.approx([1, 1])
     lang, score = m.predict(["The weather", "le temps", "123 !", None, ""])
     assert lang == ["en", "fr", "und", "und", "und"] and score[:2].min() > 0.5 and score[2:].max() == 0
+    # whole texts: the sum over their words, whatever their length
+    texts = ["the weather " + "the" * 40 + " le", "temps " * 50, "x" * 3000]
+    lang, score = m.predict(texts)
+    for t, own, x in zip(texts, lang, score, strict=True):
+        total = m.word_logs(t.split()).sum(0)
+        assert own == m.langs[int(total.argmax())] and x == pytest.approx(1 / np.exp(total - total.max()).sum())
+    assert np.isfinite(m.word_logs(["the" * 20_000, "ж" * 70_000])).all()
+
+
+def test_one_round_of_learning_equals_brute_force(monkeypatch):
+    pieces = ["a", "ab", "b", "abc", "▁a", "▁", "c", "bc"]
+    words = {"abc": 3, "ab": 2, "abcabc": 1, "xa": 4, "abcab" * 30: 2}
+    monkeypatch.setattr(langid, "ROUNDS", 1)
+    names, n = {x: i for i, x in enumerate(pieces)}, len(pieces)
+    table, seen = [1 / n] * n, [0.0] * n
+    for w, count in words.items():
+        w = langid.START + w
+        f, g = brute_forward(w, table, names), brute_forward(w[::-1], table, {x[::-1]: i for x, i in names.items()})
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in names:
+                    seen[names[w[i:j]]] += count * f[i] * table[names[w[i:j]]] * g[len(w) - j] / f[-1]
+    want = [x + langid.SMOOTHING + x / max(sum(seen), 1) * 100 for x in seen]
+    got = langid.loaded(langid.learn([("xx", w, c) for w, c in words.items()], pieces)).table[:n, 0]
+    assert got == pytest.approx([x / sum(want) for x in want], rel=1e-9)
 
 
 def test_language_id(spark, docs, empty):

@@ -60,18 +60,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one and
+    a cluster, whose executors wouldn't see that, an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            return jsc.get()
+    if found:
+        return found
+    jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not jsc.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        found = tempfile.mkdtemp(prefix="titleweave-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="titleweave-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -20,7 +20,8 @@ from titleweave.llm.rangecoder import BLOCK, LANES, compress, decompress
 END = 2
 #: Ids that make a chunk full; a longer document is a chunk by itself.
 CHUNK = BLOCK * LANES
-CACHE_SIZE = 200_000
+#: Words remembered by a Python worker; longer ones than CACHED bytes are encoded each time.
+CACHE_SIZE, CACHED = 200_000, 64
 
 
 def default_vocabulary() -> str:
@@ -32,8 +33,8 @@ def default_vocabulary() -> str:
 class Words(dict):
     """Ids (as little-endian unsigned 32-bit bytes) by word, made by the tokenizers library.
 
-    Its normaliser makes white space one blank and its pre-tokenizer drops blanks, so no token crosses ASCII white space
-    and a text's ids are those of its words in turn.
+    The vocabulary's pre-tokenizer must drop white space, so that no token crosses it and a text's ids are those of its words in
+    turn; a vocabulary of which that isn't true is refused.
     """
 
     def __init__(self, vocabulary: str):
@@ -46,18 +47,31 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if ids(" a \t\n b\x0b\x0c\r") != ids("a") + ids("b"):
+            raise ValueError("the vocabulary's tokens cross white space")
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         words = [x.split() if x else [] for x in texts]
-        new = list(set().union(*words) - self.keys())
+        every = set().union(*words)
+        long = {w for w in every if len(w) > CACHED}
+        new = every - self.keys() - long
         if len(self) + len(new) > CACHE_SIZE:
             self.clear()
-            new = list(set().union(*words))
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
+            new = every - long
+        self.learn(list(new))
+        self.learn(list(long))
+        try:
+            return [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in words]
+        finally:
+            for w in long:
+                del self[w]
+
+    def learn(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 10_000):
+            some = words[k : k + 10_000]
             for word, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self[word] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in words]
 
 
 def words_of(vocabulary: str) -> Words:
