@@ -43,55 +43,62 @@ class Wavelet:
         return both[len(i) :] - both[: len(i)]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by the depth (or more) symbols that follow, by prefix doubling, the text taken as a ring."""
-    n, rank, have = len(text), text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable") if depth <= 1 else None
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ordered by the depth symbols that follow, by prefix doubling, the text taken as a ring; and at each place of
+    that order the number of its class, positions whose depth symbols are alike being one class.
+    """
+    n, have = len(text), 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     while have < depth:
-        base = int(rank.max()) + 1
-        key = rank * base + np.roll(rank, -have)
-        times = 2
-        while base ** (times + 1) < 1 << 62 and have * times < depth:  # as many stretches as a key has room for
-            key = key * base + np.roll(rank, -have * times)
-            times += 1
+        base, key, reach = int(rank.max()) + 1, rank, have
+        room = base
+        while reach < depth and room * base < 1 << 62:  # as many stretches as a key has room for, the last ending at depth
+            step = min(reach, depth - have)
+            key = key * base + np.roll(rank, -step)
+            reach, room = step + have, room * base
         order = np.argsort(key, kind="stable")
         own = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
-        have *= times
-    return order
+        have = reach
+    order = np.argsort(rank, kind="stable")
+    return order, rank[order]
 
 
 class FMIndex:
-    """Finds patterns of up to depth symbols in text, whose symbols are 0 (a separator) to sigma - 1."""
+    """Finds stretches of depth symbols in text, whose symbols are 0 (a separator) to sigma - 1."""
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.order = suffix_order(text, depth)
+        self.order, self.classes = suffix_order(text, depth)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.last = Wavelet(text[self.order - 1], sigma)
-        self.n = len(text)
+        self.n, self.depth = len(text), depth
 
-    def search(self, patterns: np.ndarray, until_alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row, backward from its last symbol: the interval of the longest ending of it that occurs, and its length.
+    def extend(self, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of matches with intervals a to b, after a symbol c is put before each."""
+        both = self.last.rank(np.concatenate([c, c]), np.concatenate([a, b]))
+        return self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
 
-        until_alone: an ending that occurs once is not extended.
+    def stream(self, texts: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Matching statistics of streamed texts (end to end; where each begins, its size) against the threshold depth: at
+        each place the class of the depth symbols from there, -1 where the longest match from there is shorter.
+
+        Every text is read backward; a match grows to the left as long as it occurs. Where it can't, no stretch over both
+        of its ends occurs, so the search goes on with the last end that is still possible.
         """
-        rows, width = patterns.shape
-        a, b = np.zeros(rows, np.int64), np.full(rows, self.n)
-        length, live = np.zeros(rows, np.int64), np.arange(rows)
-        for j in reversed(range(width)):
-            c = patterns[live, j]
-            if j == width - 1:
-                x, y = self.first[c], self.first[c + 1]
-            else:
-                both = self.last.rank(np.concatenate([c, c]), np.concatenate([a[live], b[live]]))
-                x, y = self.first[c] + both[: len(live)], self.first[c] + both[len(live) :]
-            found = x < y
-            live, x, y = live[found], x[found], y[found]
-            a[live], b[live] = x, y
-            length[live] += 1
-            if until_alone:
-                live = live[y - x > 1]
-            if not len(live):
-                break
-        return a, b, length
+        out = np.full(len(texts), -1, np.int64)
+        lane = np.flatnonzero(size >= self.depth)
+        end, at = size[lane], size[lane]
+        a, b = np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
+        while len(lane):
+            x, y = self.extend(texts[begin[lane] + at - 1], a, b)
+            grown = x < y
+            end = np.where(grown, end, np.minimum(end - 1, at - 1 + self.depth))
+            at = np.where(grown, at - 1, end)
+            a, b = np.where(grown, x, 0), np.where(grown, y, self.n)
+            hit = np.flatnonzero(grown & (end - at >= self.depth))
+            out[begin[lane[hit]] + at[hit]] = self.classes[a[hit]]
+            live = (at > 0) & (end >= self.depth)
+            if not live.all():
+                lane, end, at, a, b = lane[live], end[live], at[live], a[live], b[live]
+        return out

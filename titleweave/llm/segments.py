@@ -13,6 +13,8 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 SPAN, GRAM = 13, 4
+#: Windows of the longest segment; a longer run, as of one word again and again, is cut, all parts having its key.
+MOST = 256
 #: Odd 64-bit base of the content hash of a segment.
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -101,6 +103,10 @@ def cut(h: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM, con
     new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate([first, [len(at)]]))
+    if len(n) and n.max() > MOST:
+        parts = -(-n // MOST)
+        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, n = np.repeat(first, parts) + inside * MOST, np.minimum(np.repeat(n, parts) - inside * MOST, MOST)
     where = at[first]
     owner = doc[where]
     if not contents:

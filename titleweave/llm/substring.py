@@ -1,12 +1,12 @@
 """Substring dedup: words covered by windows that also start in a document with a smaller id are removed.
 
 Documents are cut into segments (see segments.py) whose keys more than one document has. Distinct segments, each read once
-from its first document, are dealt to shards by key; a shard's segments make up a compressed FM-index, and every window of
-them is streamed through it by backward search. A window with a full match gets its first owner, the least id in its
-interval. The shards' answers then go back to all documents that have the segment.
+from its first document, are dealt to shards by key. A shard's segments make up a compressed FM-index and are streamed through
+it: where the longest match is a window or more, all places of the window are at hand, and its first owner is the least id
+among them. The shards' answers then go back to all documents that have the segment.
 
-A key with more than HOT_SEGMENTS distinct segments would make one shard large: its segments are taken apart into
-windows, whose first owners are found by grouping equal windows.
+A key with more than HOT_SEGMENTS distinct segments would make one shard large: its segments are taken apart into windows,
+and distinct windows are dealt, indexed and searched like the segments of other keys.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _segments(own: DataFrame, contents: bool) -> DataFrame:
                     columns += [b.column(1).to_numpy()[doc], start.astype(np.int32), n.astype(np.int32), content]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return own.mapInArrow(run, "key long, id long" + ", twin int, start int, n int, content long" * contents)
+    return own.mapInArrow(run, "key long, id long" + ", twin long, start int, n int, content long" * contents)
 
 
 def _fetch(docs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def _fetch(docs: DataFrame) -> DataFrame:
 
 
 def _owners(shard: pa.Table) -> pa.Table:
-    """First owners of a shard's windows, by backward search: runs (key, content, n, off, len, owner) with owner < most."""
+    """First owners of a shard's windows: runs (key, content, n, hot, off, len, owner) of those with owner < most."""
     number: dict[bytes, int] = {}
     words = [x.split(b" ") for x in shard["words"].to_pylist()]
     sizes = np.array([len(x) + 1 for x in words])
@@ -77,39 +77,28 @@ def _owners(shard: pa.Table) -> pa.Table:
     inside[np.cumsum(sizes) - 1] = False
     text[inside] = [number.setdefault(w, len(number) + 1) for w in chain.from_iterable(words)]
     index = FMIndex(text, len(number) + 1, SPAN)
+    segment = np.repeat(np.arange(len(words)), sizes)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ids = shard["id"].to_numpy()
-    owner_of = np.repeat(ids, sizes)[index.order]
-    counts = sizes - SPAN
-    segment = np.repeat(np.arange(len(words)), counts)
-    off = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-    owner = np.full(len(segment), np.iinfo(np.int64).max)
-    for k in range(0, len(segment), 1 << 15):
-        some = slice(k, k + (1 << 15))
-        # every window occurs where it was taken from; one with an ending that occurs nowhere else has no other owner
-        a, b, length = index.search(text[(begin[segment[some]] + off[some])[:, None] + np.arange(SPAN)], until_alone=True)
-        found = ids[segment[some]].copy()
-        shared = np.flatnonzero((length >= SPAN) & (b - a > 1))
-        if len(shared):
-            starts, at, which = np.unique(a[shared], return_index=True, return_inverse=True)
-            least = np.minimum.reduceat(np.append(owner_of, np.iinfo(np.int64).max), np.stack([starts, b[shared][at]], 1).ravel())[::2]
-            found[shared] = least[which]
-        owner[some] = found
-    most = shard["most"].to_numpy()[segment]
-    new = np.ones(len(segment), bool)
-    new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
+    found = index.stream(text, begin, sizes - 1)
+    starts = np.flatnonzero(np.diff(index.classes, prepend=-1))
+    least = np.minimum.reduceat(shard["id"].to_numpy()[segment[index.order]], starts)
+    at = np.flatnonzero(found >= 0)
+    owner, segment = least[found[at]], segment[at]
+    off = at - begin[segment]
+    new = np.ones(len(at), bool)
+    new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1]) | (off[1:] != off[:-1] + 1)
     first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(segment)))
-    use = owner[first] < most[first]
+    length = np.diff(np.append(first, len(at)))
+    use = owner[first] < shard["most"].to_numpy()[segment[first]]
     first, length = first[use], length[use]
     take = lambda c: pa.array(shard[c].to_numpy()[segment[first]])
-    return pa.table([take("key"), take("content"), take("n"), pa.array(off[first].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(owner[first])], names=["key", "content", "n", "off", "len", "owner"])
+    return pa.table([take("key"), take("content"), take("n"), take("hot"), pa.array(off[first].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(owner[first])], names=["key", "content", "n", "hot", "off", "len", "owner"])
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, twin, text) for the search; twin tells texts apart that share an id, null ids being the least."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID)).alias("id"), F.hash(text).alias("twin"), text.alias("text")).filter("text is not null")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text")).filter("text is not null")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,22 +109,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = materialize(_segments(own, True).join(shared, "key", "left_semi"), "segments")
     distinct = found.groupBy("key", "content", "n").agg(F.min(F.struct("id", "twin", "start")).alias("rep"), F.max("id").alias("most"))
     distinct = materialize(distinct.select("key", "content", "n", "rep.*", "most"), "distinct")
-    many = distinct.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.col("n") + SPAN).alias("words"))
-    # a key with one segment only: its windows stand in no other, so its first document owns them
-    told = distinct.join(many, "key")
-    alone = told.filter((F.col("many") == 1) & (F.col("id") < F.col("most"))).select("key", "content", "n", F.lit(0).alias("off"), F.col("n").alias("len"), F.col("id").alias("owner"))
-    wanted = told.filter("many > 1").groupBy("id", "twin").agg(F.collect_list(F.struct("key", "content", "n", "start", "id", "most", (F.col("many") > HOT_SEGMENTS).alias("hot"))).alias("wanted"))
-    fetched = materialize(_fetch(own.dropDuplicates(["id", "twin"]).join(wanted, ["id", "twin"]).select("text", "wanted")), "fetched")
-    total = many.filter(f"many between 2 and {HOT_SEGMENTS}").agg(F.sum("words")).first()[0] or 0
+    many = distinct.groupBy("key").agg(F.count("*").alias("many"), F.sum(F.col("n") + SPAN).alias("words"), F.sum("n").alias("windows"))
+    is_hot = F.col("many") > HOT_SEGMENTS
+    wanted = distinct.join(many.select("key", is_hot.alias("hot")), "key").groupBy("id", "twin").agg(F.collect_list(F.struct("key", "content", "n", "start", "id", "most", "hot")).alias("wanted"))
+    fetched = materialize(_fetch(own.join(wanted, ["id", "twin"]).dropDuplicates(["id", "twin"]).select("text", "wanted")), "fetched")
+    total = many.agg(F.sum(F.when(is_hot, F.col("windows") * (SPAN + 1)).otherwise(F.col("words")))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    dealt = fetched.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
-    searched = dealt.groupBy("shard").applyInArrow(_owners, "key long, content long, n int, off int, len int, owner long")
-    windows = fetched.filter("hot").select("key", "content", "n", "off", "len", "id", "most", "words")
-    firsts = windows.groupBy("words").agg(F.min("id").alias("owner"), F.max("most").alias("top")).filter("owner < top").select("words", "owner")
-    apart = windows.join(firsts, "words").filter("owner < most").select("key", "content", "n", "off", "len", "owner")
-    runs = materialize(searched.unionByName(apart).unionByName(alone), "owners")
+    windows = fetched.filter("hot").withColumns({"one": F.xxhash64("words"), "two": F.xxhash64(F.lit(1), "words")})
+    apart = windows.groupBy("one", "two").agg(F.min("id").alias("id"), F.max("most").alias("most"), F.first("words").alias("words"))
+    pieces = fetched.filter("not hot").select("key", "content", "n", "hot", "id", "most", "words").unionByName(apart.select(F.col("one").alias("key"), F.col("two").alias("content"), F.lit(1).alias("n"), F.lit(True).alias("hot"), "id", "most", "words"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
+    owners = materialize(dealt.groupBy("shard").applyInArrow(_owners, "key long, content long, n int, hot boolean, off int, len int, owner long"), "owners")
+    back = windows.join(owners.filter("hot").select(F.col("key").alias("one"), F.col("content").alias("two"), "owner"), ["one", "two"]).filter("owner < most")
+    columns = ["key", "content", "n", "off", "len", "owner"]
+    runs = materialize(owners.filter("not hot").select(columns).unionByName(back.select(columns)), "runs")
     discard(fetched)
     discard(distinct)
+    discard(owners)
     hits = found.join(runs, ["key", "content", "n"]).filter("owner < id")
     return hits.groupBy("id", "twin").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("from"), (F.col("start") + F.col("off") + F.col("len") + (SPAN - 1)).alias("to"))).alias("spans"))
 
@@ -143,7 +133,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, spans): each row of docs as a struct, and the ranges of its words to remove, null where there are none."""
     spans = repeats(docs, id_col, text_col)
-    keyed = packed(docs).select("row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.hash(F.col("row").getField(text_col).cast("string")).alias("twin"))
+    keyed = packed(docs).select("row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(F.col("row").getField(text_col).cast("string")).alias("twin"))
     return keyed.join(spans, ["id", "twin"], "left").select("row", "spans")
 
 
