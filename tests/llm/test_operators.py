@@ -215,19 +215,48 @@ def test_word_hashes():
     assert [len(x) for x in word_hashes([])] == [0, 0]
 
 
-def test_fm_index():
+@pytest.mark.parametrize("depth", [1, 2, 5, 13])
+def test_fm_index_gives_matching_statistics(depth):
     from titleweave.llm.fmindex import FMIndex
 
     r = np.random.default_rng(3)
-    text = np.append(r.integers(0, 4, 400), 0)
-    index = FMIndex(text, 4, 13)
-    patterns = np.array([text[k : k + 13] for k in range(0, 380, 7)] + [r.integers(1, 4, 13) for _ in range(20)])
-    a, b, length = index.search(patterns)
-    ring = np.concatenate([text, text])
-    for p, x, y, n in zip(patterns, a, b, length, strict=True):
-        places = {k for k in range(len(text)) if (ring[k : k + n] == p[13 - n :]).all()}
-        assert set(index.order[x:y].tolist()) == places
-        assert n == 13 or not any((ring[k : k + n + 1] == p[12 - n :]).all() for k in range(len(text)))
+    for letters in (2, 4):
+        text = np.append(r.integers(0, letters, 400), 0)
+        index = FMIndex(text, letters, depth)
+        ring = np.concatenate([text, text])
+        stretch = lambda k: tuple(ring[k : k + depth])
+        assert [stretch(k) for k in index.order] == sorted(stretch(k) for k in range(len(text)))
+        members = {}
+        for k, c in zip(index.order, index.classes, strict=True):
+            members.setdefault(c, set()).add(k)
+        streams = [r.integers(0, letters, n) for n in (0, 1, depth - 1, depth, 40, 90)] + [text[50:120], np.concatenate([text[7:60], text[3:90], r.integers(0, letters, 20)])]
+        flat, size = np.concatenate(streams), np.array([len(x) for x in streams])
+        begin = np.cumsum(size) - size
+        got = index.stream(flat, begin, size)
+        for x, b in zip(streams, begin, strict=True):
+            for i in range(len(x)):
+                places = {k for k in range(len(text)) if stretch(k) == tuple(x[i : i + depth])} if i + depth <= len(x) else set()
+                assert members.get(got[b + i], set()) == places
+
+
+def test_substring_dedup_depends_on_the_index(spark, monkeypatch):
+    from titleweave.llm.fmindex import FMIndex
+
+    rows = [(1, PASSAGE), (2, "x " + PASSAGE), (3, LONG), (4, LONG)]
+    assert sum(r["n_removed"] for r in substring.report(make(spark, rows)).collect()) == 20 + 30_000
+    one = spark.createDataFrame([(1, 2, 20 - 12, False, 1, 2, PASSAGE.encode())], "key long, content long, n int, hot boolean, id long, most long, words binary").toArrow()
+    assert substring._owners(one).num_rows == 1
+    monkeypatch.setattr(FMIndex, "stream", lambda self, texts, begin, size: np.full(len(texts), -1))
+    assert substring._owners(one).num_rows == 0
+
+
+def test_long_segments_are_cut():
+    from titleweave.llm.segments import MOST, cut, word_hashes
+
+    h, ends = word_hashes([b"a " * 5000, b"b " + b"a " * 700])
+    doc, start, n, key, content = cut(h, ends)
+    assert n.max() == MOST and n[doc == 0].sum() == 5000 - 12 and n[doc == 1].sum() == 701 - 12
+    assert len(set(key[doc == 0].tolist())) == 1 and set(key[doc == 0].tolist()) <= set(key[doc == 1].tolist())
 
 
 # 4 decontamination
@@ -501,7 +530,7 @@ def test_chat_round_trip(spark):
 # 9 lines
 
 
-def brute_lines(rows, run=2):
+def brute_lines(rows, run=2, long=101):
     import re
 
     place = lambda i, j: ((i is not None, i or 0), j)
@@ -509,16 +538,17 @@ def brute_lines(rows, run=2):
     for i, t in rows:
         lines = [] if t is None else t.split("\n")
         solid = [k for k, x in enumerate(lines) if not re.fullmatch(r"[ \t\r]*", x)]
-        cut.append((lines, solid))
-        for j in range(len(solid) - run + 1):
-            g = tuple(lines[k] for k in solid[j : j + run])
+        runs = {(j, n) for j in range(len(solid)) for n in (1, run) if (n == run and j + run <= len(solid)) or (n == 1 and len(lines[solid[j]]) >= long)}
+        cut.append((lines, solid, runs))
+        for j, n in runs:
+            g = tuple(lines[k] for k in solid[j : j + n])
             first[g] = min(first.get(g, place(i, j)), place(i, j))
     out = []
-    for (i, _), (lines, solid) in zip(rows, cut, strict=True):
+    for (i, _), (lines, solid, runs) in zip(rows, cut, strict=True):
         gone = set()
-        for j in range(len(solid) - run + 1):
-            if first[tuple(lines[k] for k in solid[j : j + run])] < place(i, j):
-                gone |= set(range(solid[j], solid[j + run - 1] + 1))
+        for j, n in runs:
+            if first[tuple(lines[k] for k in solid[j : j + n])] < place(i, j):
+                gone |= set(range(solid[j], solid[j + n - 1] + 1))
         kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         out.append((i, len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
@@ -528,12 +558,38 @@ def brute_lines(rows, run=2):
 def test_line_dedup(spark, docs, empty, run):
     r = random.Random(12)
     rows = awkward() + [(200 + i, "\n".join(r.choice(["a", "b", "c", "", " ", "long line"]) for _ in range(r.randint(0, 12)))) for i in range(60)]
+    long = "a line of its own " * 6
+    rows += [(300, f"x\n{long}\ny"), (301, long), (302, f"z\n{long[:-9]}\nw"), (303, f"{long[:-9]}"), (304, f"{long}\n{long}"), (305, "é" * 100), (306, "é" * 100 + "\nv"), (307, "é" * 101), (308, "u\n" + "é" * 101)]
     got = [tuple(x) for x in linededup.report(make(spark, rows), run=run).collect()]
     assert sorted(got, key=str) == sorted(brute_lines(rows, run), key=str)
     assert linededup.report(empty).count() == 0
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_fingerprints_are_window_minima_and_carry_the_result(spark, monkeypatch):
+    r = random.Random(14)
+    rows = [(i, "\n".join(r.choice("abcdefgh") for _ in range(r.randint(0, 30)))) for i in range(30)]
+    df = make(spark, rows)
+    hashes = {x["c"]: x["h"] for x in spark.createDataFrame([(c,) for c in "abcdefgh"], "c string").withColumn("h", F.xxhash64("c")).collect()}
+    for run in (1, 2, 4):
+        got = {}
+        for x in linededup.fingerprints(df, run=run).collect():
+            got.setdefault(x["doc_id"], {})[x["j"]] = sorted(w["s"] for w in x["runs"])
+        for i, t in rows:
+            h = [hashes[c] for c in t.split("\n")] if t else []
+            want = {}
+            for s in range(len(h) - run + 1):
+                want.setdefault(max(range(s, s + run), key=lambda k: (-h[k], k)), []).append(s)
+            assert got.get(i, {}) == want
+    # nothing is deleted but through a shared fingerprint: where all lines' hashes count as one, or as none, the result is wrong
+    right = sorted(tuple(x) for x in linededup.report(df).collect())
+    assert right == sorted(brute_lines(rows))
+    real = linededup.fingerprints
+    for broken in (F.lit(0).cast("long"), F.xxhash64("doc_id", "j")):
+        monkeypatch.setattr(linededup, "fingerprints", lambda *a, broken=broken: real(*a).withColumns({"line_1": broken, "line_2": broken}))
+        assert sorted(tuple(x) for x in linededup.report(df).collect()) != right
+
+
 # 10 language
 
 

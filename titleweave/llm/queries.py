@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from titleweave.llm import bpe, chat, decontam, langid, linededup, simhash, substring, tokenfile, toxicity, winnow
 from titleweave.llm.common import table
-from titleweave.llm.linededup import RUN
+from titleweave.llm.linededup import LONG, RUN
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,8 @@ OP9 = f"""
 with d as (select row_number() over () rid, doc_id, text from documents),
 l as (select rid, doc_id, i - 1 i, line from (select rid, doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from d)),
 solid as (select *, row_number() over (partition by rid order by i) j from l where not regexp_matches(line, '^[ \\t\\r]*$')),
-w as (select rid, doc_id, j, i a, lead(i, {RUN - 1}) over o b, array_agg(line) over (partition by rid order by j rows between current row and {RUN - 1} following) g from solid window o as (partition by rid order by j)),
+w as (select rid, doc_id, j, i a, i b, [line] g from solid where length(line) >= {LONG}
+  union all select rid, doc_id, j, i a, lead(i, {RUN - 1}) over o b, array_agg(line) over (partition by rid order by j rows between current row and {RUN - 1} following) g from solid window o as (partition by rid order by j)),
 whole as (select * from w where b is not null),
 first as (select g, min((doc_id, j)) f from whole group by g),
 gone as (select distinct rid, unnest(range(a, b + 1)) i from whole join first using (g) where (doc_id, j) > f),
