@@ -29,11 +29,6 @@ def ascii_parts() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def opaque(x: Column) -> Column:
-    """x as it is, but evaluated once: a filter or lambda above would otherwise get a copy of the whole expression."""
-    return F.when(F.rand(0) < 2, x)
-
-
 def transform_title(title: Column, max_characters: int = DEFAULT.max_characters, least: int = DEFAULT.n_grams) -> Column:
     """Accents off, other non-ASCII dropped, lower case, hyphens to spaces, only letters, digits and white space, spaces
     collapsed and trimmed, cut, trimmed again. Texts shorter than least before the cut are padded with 0 on the left.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titleweave.config import DEFAULT, Config
-from titleweave.functions.normalize import number_after_hash, opaque, transform_title
+from titleweave.functions.normalize import number_after_hash, transform_title
 
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbn")
 #: Where each letter lies; m lies on n.
@@ -157,4 +157,4 @@ def misspelled(df: DataFrame, text_col: str, key_col: str, out: str, config: Con
 
     wrong = F.pandas_udf(made, T.StringType()).asNondeterministic()  # so called: never run twice for one row
     rough = df.withColumn("__rough", wrong(F.col(text_col), F.col(key_col).cast("string")))
-    return rough.withColumn(out, opaque(transform_title(F.col("__rough"), config.max_characters, config.n_grams))).drop("__rough")
+    return rough.withColumn(out, transform_title(F.col("__rough"), config.max_characters, config.n_grams)).drop("__rough")
