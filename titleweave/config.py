@@ -22,8 +22,6 @@ class Config:
     least_generated_length: int = 10
     seed: str = "7"
     delimiter: str = "|"
-    #: Queries whose grams are broadcast at a time, which bounds the broadcast whatever the number of queries.
-    query_block: int = 20_000
     #: Boosting rounds of the model.
     rounds: int = 30
     depth: int = 5

@@ -1,94 +1,227 @@
 """Candidate search: the best reference titles of each query by IDF-weighted Jaccard likeness of their n-grams.
 
-Equal titles are scored once on either side. Reference titles are dealt by title and carry their n-grams; queries come in
-blocks whose n-grams are broadcast, so a block's scores are summed where the titles lie, without a shuffle, and only the best
-k of each query and partition are exchanged for the last ranking.
+Equal titles are scored once on either side. Distinct reference titles are dealt in parts of a bounded size, queries in as many
+parts as keep all cores at work, and each pair of parts is a cell, a partition of one plan. A cell indexes its titles by n-gram and
+streams its queries: n-grams are taken in order of falling weight until those left can't lift an unseen title into the best k;
+titles seen whose bound reaches the k-th best score are verified, and the cell's best k go on.
+
+Scores are whole millionths, worked out on integers, so neither sums nor ranks depend on the order of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleweave.config import DEFAULT
 from titleweave.operators.frequency import SCALE, idf_weight
 
+#: Titles of a cell, and the most parts that queries are dealt in.
+CELL_TITLES, QUERY_PARTS = 50_000, 64
+#: Postings that are looked through before the first guess at the k-th best score.
+FIRST_LOOK = 4096
+
 
 @dataclass
 class Index:
-    titles: DataFrame  # (uid, top_id, tsum, grams array<struct<g, w>>), one row for each distinct title
+    titles: DataFrame  # (uid, top_id, title), one row for each distinct title
     members: DataFrame  # (uid, title_id)
-    weights: DataFrame  # (g, w)
-    heaviest: int
-    n: int
+    grams: np.ndarray  # n-grams as numbers, sorted; no more than the alphabet allows
+    weights: np.ndarray  # of each
+    size: int  # characters of an n-gram
+    n: int  # titles
+    distinct: int
 
-    def unpersist(self) -> None:
-        self.titles.unpersist()
 
+def _uid():
+    return F.xxhash64("transformed_title", F.length("transformed_title"))
 
-def build_index(truth: DataFrame) -> Index:
+
+def build_index(truth: DataFrame, size: int = DEFAULT.n_grams) -> Index:
     """Everything that a search needs of a reference table; it may be kept for many searches."""
-    named = truth.filter("transformed_title is not null").select("title_id", "transformed_title", "n_grams", F.xxhash64("transformed_title", F.length("transformed_title")).alias("uid"))
+    if size > 5:
+        raise ValueError("an n-gram has 5 characters at most")
+    named = truth.filter("transformed_title is not null").select("title_id", "transformed_title", "n_grams", _uid().alias("uid"))
     distinct = named.groupBy("transformed_title", "uid").agg(F.max("title_id").alias("top_id"), F.count("*").alias("many"), F.first("n_grams").alias("n_grams"))
-    n = named.count()
-    weights = distinct.select(F.explode_outer("n_grams").alias("g"), "many").filter("g is not null").groupBy("g").agg(F.sum("many").alias("df")).select("g", idf_weight(F.col("df"), max(n, 1)).alias("w"))
-    heaviest = weights.agg(F.max("w")).first()[0] or 0
-    # n-grams that all titles have weigh nothing and need not be looked up
-    weighed = distinct.select("uid", "top_id", F.explode_outer("n_grams").alias("g")).filter("g is not null").join(weights.filter("w > 0"), "g")
-    titles = weighed.groupBy("uid").agg(F.first("top_id").alias("top_id"), F.sum("w").alias("tsum"), F.collect_list(F.struct("g", "w")).alias("grams"))
-    # few bytes, much work: a fixed number of parts, which adaptive execution doesn't join to fewer
-    spark = truth.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    titles = titles.repartition(parts, "uid").persist()
-    return Index(titles, named.select("uid", "title_id"), weights, heaviest, n)
-
-
-def _distinct_queries(queries: DataFrame) -> DataFrame:
-    named = queries.filter("transformed_title is not null")
-    return named.select("transformed_title", "n_grams").dropDuplicates(["transformed_title"]).withColumn("qid", F.xxhash64("transformed_title", F.length("transformed_title")))
-
-
-def _block_scores(block: DataFrame, index: Index) -> DataFrame:
-    """(qid, uid, top_id, score) of all pairs in which something is shared."""
-    asked = block.select("qid", F.explode_outer("n_grams").alias("g")).filter("g is not null")
-    sums = asked.join(index.weights, "g", "left").groupBy("qid").agg(F.sum(F.coalesce("w", F.lit(index.heaviest))).alias("qsum"))
-    posted = index.titles.select("uid", "top_id", "tsum", F.inline("grams"))
-    shared = posted.join(F.broadcast(asked), "g").groupBy("uid", "qid").agg(F.sum("w").alias("shared"), F.first("top_id").alias("top_id"), F.first("tsum").alias("tsum"))
-    return shared.join(F.broadcast(sums), "qid").select("qid", "uid", "top_id", F.round(F.col("shared").cast("double") / (F.col("qsum") + F.col("tsum") - F.col("shared")), 6).alias("score"))
-
-
-def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
-    n = queries.count()
-    parts = max(1, -(-n // size))
-    return [queries.filter(F.pmod("qid", F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [queries]
-
-
-def jaccard_scores(queries: DataFrame, index: Index, query_block: int = DEFAULT.query_block) -> DataFrame:
+    counts = distinct.select(F.explode("n_grams").alias("g"), "many").groupBy("g").agg(F.sum("many").alias("df"))
+    n, kinds = distinct.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count("*")).first()
+    found = counts.select("g", idf_weight(F.col("df"), max(n, 1)).alias("w")).toArrow()
+    codes = np.array([int.from_bytes(g.encode(), "big") for g in found["g"].to_pylist()], np.int64)
+    order = np.argsort(codes)
+    return Index(distinct.select("uid", "top_id", F.col("transformed_title").alias("title")), named.select("uid", "title_id"), codes[order], found["w"].to_numpy()[order].astype(np.int64), size, n, kinds)
+
+
+def title_grams(titles: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of normalised titles: (title, n-gram as a number), sorted."""
+    data = np.frombuffer("".join(titles).encode("ascii"), np.uint8).astype(np.int64)
+    lengths = np.array([len(t) for t in titles], np.int64)
+    if len(data) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = sum(data[i : len(data) - size + 1 + i] << 8 * (size - 1 - i) for i in range(size))
+    owner = np.repeat(np.arange(len(titles)), lengths)
+    inside = owner[: len(code)] == owner[size - 1 :]
+    both = np.unique((owner[: len(code)][inside] << 8 * size) | code[inside])
+    return both >> 8 * size, both & ((1 << 8 * size) - 1)
+
+
+class Cell:
+    """The n-gram index of some titles, and the search of it."""
+
+    def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int):
+        self.grams, self.weights, self.size, self.top_ids = grams, weights, size, top_ids
+        self.heaviest = int(weights.max(initial=0))
+        owner, code = title_grams(titles, size)
+        gram = np.searchsorted(grams, code)
+        use = weights[gram] > 0  # n-grams that all titles have weigh nothing
+        owner, self.gram_of = owner[use], gram[use]
+        self.from_title = np.searchsorted(owner, np.arange(len(titles) + 1))
+        self.total = np.bincount(owner, weights[self.gram_of], len(titles)).astype(np.int64)
+        by_gram = np.argsort(self.gram_of, kind="stable")
+        self.posted, self.from_gram = owner[by_gram], np.searchsorted(self.gram_of[by_gram], np.arange(len(grams) + 1))
+        self.asked = np.zeros(len(grams), np.int64)
+        self.scored = 0  # pairs worked out whole
+
+    def score(self, shared: np.ndarray, total: np.ndarray, own: int) -> np.ndarray:
+        """Millionths, halves up."""
+        rest = np.maximum(own + total - shared, 1)
+        return (2 * SCALE * shared + rest) // (2 * rest)
+
+    def add(self, sums: np.ndarray, grams: np.ndarray) -> None:
+        parts = [self.posted[self.from_gram[g] : self.from_gram[g + 1]] for g in grams.tolist()]
+        if parts:
+            sums += np.bincount(np.concatenate(parts), np.repeat(self.weights[grams], [len(p) for p in parts]), len(sums)).astype(np.int64)
+
+    def verify(self, titles: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The weights that titles share with n-grams."""
+        self.asked[grams] = self.weights[grams]
+        sizes = self.from_title[titles + 1] - self.from_title[titles]
+        filled = np.flatnonzero(sizes)
+        begin = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) + np.repeat(self.from_title[titles] - begin, sizes)
+        out = np.zeros(len(titles), np.int64)
+        if len(filled):
+            out[filled] = np.add.reduceat(self.asked[self.gram_of[places]], begin[filled])
+        self.asked[grams] = 0
+        return out
+
+    def search(self, title: str, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The best k titles (all that share a weight where k is None) by score, then by the larger top_id; and the scores."""
+        code = title_grams([title], self.size)[1]
+        place = np.minimum(np.searchsorted(self.grams, code), max(len(self.grams) - 1, 0))
+        known = place[self.grams[place] == code] if len(self.grams) else place[:0]
+        own = int(self.weights[known].sum()) + (len(code) - len(known)) * self.heaviest
+        grams = known[self.weights[known] > 0]
+        grams = grams[np.argsort(-self.weights[grams], kind="stable")]
+        many = np.cumsum(self.from_gram[grams + 1] - self.from_gram[grams])
+        rest = np.append(0, np.cumsum(self.weights[grams][::-1]))[::-1]  # rest[i]: the weight from the i-th on
+        sums, done = np.zeros(len(self.total), np.int64), len(grams)
+        if k is not None and len(grams):
+            done = int(np.searchsorted(many, FIRST_LOOK)) + 1
+        self.add(sums, grams[:done])
+        seen = np.flatnonzero(sums)
+        if done < len(grams) and len(seen) >= k:
+            # k titles scored whole give a bound that the k-th best can't be under
+            guess = seen[np.argpartition(-self.score(sums[seen], self.total[seen], own), k - 1)[:k]]
+            least = int(self.score(self.verify(guess, grams), self.total[guess], own).min())
+            enough = int(np.argmax(SCALE * rest / max(own, 1) + 1 < least)) if least > 1 else len(grams)
+            if enough > done:
+                self.add(sums, grams[done:enough])
+                done, seen = enough, np.flatnonzero(sums)
+            best = np.minimum(sums[seen] + rest[done], self.total[seen])
+            seen = seen[self.score(best, self.total[seen], own) >= least]
+            if (self.from_title[seen + 1] - self.from_title[seen]).sum() < many[-1] - many[done - 1]:
+                sums = self.verify(seen, grams)
+            else:
+                self.add(sums, grams[done:])
+                sums = sums[seen]
+        else:
+            self.add(sums, grams[done:])
+            seen = np.flatnonzero(sums)
+            sums = sums[seen]
+        self.scored += len(seen)
+        score = self.score(sums, self.total[seen], own)
+        if k is not None:
+            if len(seen) > 4 * k:
+                near = score >= -np.partition(-score, k - 1)[k - 1]
+                seen, score = seen[near], score[near]
+            order = np.lexsort((-self.top_ids[seen], -score))[:k]
+            seen, score = seen[order], score[order]
+        return seen, score
+
+
+def _cells(queries: DataFrame, index: Index, k: int | None) -> DataFrame:
+    """(qid, title, uid, top_id, match, score) of distinct titles; of queries(qid, title). Best k of each query and part."""
+    spark = queries.sparkSession
+    parts = max(1, -(-index.distinct // CELL_TITLES))
+    columns = min(QUERY_PARTS, max(1, -(-2 * spark.sparkContext.defaultParallelism // parts)))
+    told = spark.sparkContext.broadcast((index.grams, index.weights))
+    size = index.size
+    part, column = F.pmod(F.xxhash64("uid", F.lit("part")), F.lit(parts)), F.pmod(F.xxhash64("qid", F.lit("column")), F.lit(columns))
+    reference = index.titles.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: (part * columns + c).cast("int"))).alias("cell"), F.lit(0).alias("kind"), F.col("uid").alias("id"), "top_id", "title")
+    asked = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: (column + columns * p).cast("int"))).alias("cell"), F.lit(1).alias("kind"), F.col("qid").alias("id"), F.lit(0).cast("long").alias("top_id"), "title")
+    dealt = reference.unionByName(asked).repartitionById(parts * columns, F.col("cell")).sortWithinPartitions("kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, tops, cell = [], [], [], None
+        for whole in batches:
+            kind = whole.column(1).to_numpy()
+            first = int(np.searchsorted(kind, 1))
+            if first:
+                names += whole.column(4).slice(0, first).to_pylist()
+                ids.append(whole.column(2).to_numpy()[:first])
+                tops.append(whole.column(3).to_numpy()[:first])
+            if first == len(kind) or not names:
+                continue
+            if cell is None:
+                uids, top_ids = np.concatenate(ids), np.concatenate(tops)
+                cell, titles = Cell(names, top_ids, *told.value, size), pa.array(names, pa.string())
+            for at in range(first, len(kind), 256):
+                some = whole.slice(at, 256)
+                found = [cell.search(t, k) for t in some.column(4).to_pylist()]
+                sizes = [len(x) for x, _ in found]
+                rows, score = np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found])
+                asked_at = pa.array(np.repeat(np.arange(len(some)), sizes))
+                yield pa.RecordBatch.from_arrays([some.column(2).take(asked_at), some.column(4).take(asked_at), pa.array(uids[rows]), pa.array(top_ids[rows]), titles.take(pa.array(rows)), pa.array(score / SCALE)], names=["qid", "title", "uid", "top_id", "match", "score"])
+
+    return dealt.mapInArrow(run, "qid long, title string, uid long, top_id long, match string, score double")
+
+
+def _named(queries: DataFrame) -> DataFrame:
+    return queries.filter("transformed_title is not null").select("test_index", _uid().alias("qid"))
+
+
+def _distinct(queries: DataFrame) -> DataFrame:
+    return queries.filter("transformed_title is not null").select(_uid().alias("qid"), F.col("transformed_title").alias("title")).distinct()
+
+
+def jaccard_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(test_index, title_id, score) of every pair that shares an n-gram with weight."""
-    named = queries.filter("transformed_title is not null").select("test_index", F.xxhash64("transformed_title", F.length("transformed_title")).alias("qid"))
-    out = None
-    for block in _blocks(_distinct_queries(queries), query_block):
-        scored = _block_scores(block, index)
-        out = scored if out is None else out.unionByName(scored)
-    return out.join(named, "qid").join(index.members, "uid").select("test_index", "title_id", "score")
+    scored = _cells(_distinct(queries), index, None).select("qid", "uid", "score")
+    return scored.join(_named(queries), "qid").join(index.members, "uid").select("test_index", "title_id", "score")
 
 
-def closest_matches(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting, query_block: int = DEFAULT.query_block) -> DataFrame:
-    """(test_index, title_id, score, rn): the best k by score, then by the larger title_id; fewer where fewer share anything.
+def closest_pairs(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting) -> DataFrame:
+    """(test_index, title_id, title, match, score, rn): the best k by score, then by the larger title_id, with both
+    normalised titles; fewer where fewer share anything.
 
-    The best k rows lie within the best k distinct titles, ranked by score and by their largest title_id.
+    The best k rows lie within the best k distinct titles, ranked by score and by their largest title_id, and within the k
+    largest title_ids of each.
     """
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("top_id").desc())
-    out = None
-    for block in _blocks(_distinct_queries(queries), query_block):
-        some = _block_scores(block, index).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-        out = some if out is None else out.unionByName(some)
+    last = Window.partitionBy("uid").orderBy(F.col("title_id").desc())
+    members = index.members.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k).drop("place")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("title_id").desc())
-    ranked = out.join(index.members, "uid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    named = queries.filter("transformed_title is not null").select("test_index", F.xxhash64("transformed_title", F.length("transformed_title")).alias("qid"))
-    return named.join(ranked, "qid").select("test_index", "title_id", "score", "rn")
+    ranked = _cells(_distinct(queries), index, k).join(members, "uid").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    return _named(queries).join(ranked, "qid").select("test_index", "title_id", "title", "match", "score", "rn")
+
+
+def closest_matches(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting) -> DataFrame:
+    """(test_index, title_id, score, rn): see closest_pairs."""
+    return closest_pairs(queries, index, k).select("test_index", "title_id", "score", "rn")
 
 
 def closest_matches_positional(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting, slack: float = 1 / SCALE) -> DataFrame:

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleweave.config import DEFAULT, Config
-from titleweave.functions.similarity import length_bound, near_exact_ratio
+from titleweave.functions.similarity import length_bound, with_near_ratio
+
+
+def with_exact(test: DataFrame, truth: DataFrame) -> DataFrame:
+    """test with title_id of the reference row of an equal normalised title, the largest of several; null where there is none."""
+    last = truth.filter("transformed_title is not null").groupBy("transformed_title").agg(F.max("title_id").alias("title_id"))
+    return test.join(last, "transformed_title", "left")
 
 
 def exact_matches(test: DataFrame, truth: DataFrame) -> DataFrame:
     """(test_index, title_id): equal normalised titles; of several reference rows the largest title_id. Null matches nothing."""
-    last = truth.filter("transformed_title is not null").groupBy("transformed_title").agg(F.max("title_id").alias("title_id"))
-    return test.join(last, "transformed_title").select("test_index", "title_id")
+    return with_exact(test, truth).filter("title_id is not null").select("test_index", "title_id")
 
 
 def remaining(test: DataFrame, matched: DataFrame) -> DataFrame:
@@ -34,22 +39,23 @@ def with_titles(pairs: DataFrame, test: DataFrame, truth: DataFrame) -> DataFram
 
 
 def near_ratio(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """pairs(title, match, ...) that may pass by their lengths, with their ratio, or where it falls short with sorted words."""
+    """pairs(title, match, ...) whose ratio, or where it falls short that of the sorted words, is over the threshold, with it.
+    Only pairs that may pass by their lengths are compared.
+    """
     possible = pairs.filter(length_bound(F.col("title"), F.col("match")) >= config.ratio_threshold)
-    return possible.withColumn("ratio", near_exact_ratio(F.col("title"), F.col("match"), config.ratio_threshold))
+    return with_near_ratio(possible, config.ratio_threshold)
 
 
 def near_exact_matches(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(test_index, title_id, ratio) of candidates with a ratio over the threshold, if one is the best alone."""
-    good = near_ratio(pairs, config).filter(F.col("ratio") > config.ratio_threshold)
+    good = near_ratio(pairs.select("test_index", "title_id", "title", "match"), config)
     return unique_argmax(good.select("test_index", "title_id", "ratio"), "test_index", "ratio")
 
 
 def final_output(test: DataFrame, *predictions: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(title_id, test_index) of every test row, the not-found value where no prediction has it."""
-    found = None
+    """(title_id, test_index) of every test row: the first prediction(test_index, title_id) that has it, or not found."""
+    out = test.select("test_index", F.lit(None).cast("long").alias("title_id"))
     for p in predictions:
-        own = p.select("title_id", "test_index")
-        found = own if found is None else found.unionByName(own)
-    missing = remaining(test, found).select(F.lit(config.not_found).cast("long").alias("title_id"), "test_index")
-    return found.unionByName(missing)
+        own = p.select("test_index", F.col("title_id").alias("__own"))
+        out = out.join(own, "test_index", "left").select("test_index", F.coalesce("title_id", "__own").alias("title_id"))
+    return out.select(F.coalesce("title_id", F.lit(config.not_found).cast("long")).alias("title_id"), "test_index")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +18,8 @@ from titleweave.operators.features import all_features, names, word_counts
 from titleweave.operators.misspell import misspelled
 
 MISSING = -1.0
+#: A fitted pipeline, or any function from the feature columns' DataFrame to the probability of a match.
+Model = PipelineModel | Callable[[DataFrame], Column]
 
 
 def sampled_neighbours(train: DataFrame, index: Index, config: Config = DEFAULT) -> DataFrame:
@@ -23,7 +27,7 @@ def sampled_neighbours(train: DataFrame, index: Index, config: Config = DEFAULT)
     in place of the last where there are enough without it.
     """
     rows = train.withColumnRenamed("title_id", "true_id").withColumnRenamed("train_index", "test_index")
-    near = closest_matches(rows, index, config.top_n_predicting, config.query_block)
+    near = closest_matches(rows, index, config.top_n_predicting)
     order = Window.partitionBy("test_index").orderBy(number_after_hash(config.seed, "neighbour", F.col("test_index"), F.col("title_id")), "title_id")
     some = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n_training)
     some = some.join(rows.select("test_index", "true_id"), "test_index")
@@ -122,7 +126,9 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
+def predict(model: Model, features: DataFrame) -> DataFrame:
     """features with prediction, the probability of a match."""
+    if not isinstance(model, PipelineModel):
+        return features.withColumn("prediction", model(features))
     out = model.transform(features)
     return out.withColumn("__p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("__p", "prediction")
