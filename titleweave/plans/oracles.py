@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from titleweave.config import DEFAULT
 from titleweave.operators.misspell import KEYBOARD, neighbour_strings
+from titleweave.plans.frozen import STUMPS
 
 SEED, TOP, BETA = DEFAULT.seed, DEFAULT.top_n_predicting, DEFAULT.false_positive_penalty
 
@@ -21,7 +22,7 @@ def roll(op: str, *keys: str) -> str:
     return f"cast('0x' || substr(md5({parts}), 1, 7) as bigint)"
 
 
-TITLES = f"titles as (select doc_id id, {cut('w', 80)} s from (select doc_id, {norm('split_part(text, chr(10), 1)')} w from documents where text is not null))"
+TITLES = f"titles as (select doc_id id, {cut('w', DEFAULT.max_characters)} s from (select doc_id, {norm('split_part(text, chr(10), 1)')} w from documents where text is not null))"
 T = "t as (select id title_id, s from titles where id % 10 <> 0)"
 Q = "q as (select id test_index, s from titles where id % 10 = 0)"
 GRAMS = """qg as (select distinct test_index, substr(s, i, 3) g from q, unnest(range(1, length(s) - 1)) u(i)),
@@ -37,17 +38,28 @@ sc as (select ov.test_index, ov.title_id, round(cast(shared as double) / (qsum +
 rk as (select *, row_number() over (partition by test_index order by score desc, title_id desc) rn from sc)"""
 WORDS = "tw as (select title_id, unnest(string_split(s, ' ')) word, generate_subscripts(string_split(s, ' '), 1) - 1 pos from t)"
 WDF = "wdf as (select word, count(distinct title_id) df from tw group by word)"
-BASE, PAIRED = f"with recursive {TITLES}, {T}, {Q}", f"{GRAMS}, {SCORES}, p3 as (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= 3)"
+BASE, PAIRED = f"with recursive {TITLES}, {T}, {Q}", f"{GRAMS}, {SCORES}, p3 as (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= {DEFAULT.top_n_training})"
+
+
+#: Bits of a limb of a state, which has as many limbs as a title of full length needs.
+LIMB, LIMBS = 100, 3
 
 
 def lcs(pairs: str, out: str) -> str:
-    """CTEs giving out(a, b, lcs) for pairs(a, b) distinct and not empty, bit by bit."""
-    return f"""{out}_p as (select row_number() over () id, a, b from (select distinct a, b from {pairs} where length(a) > 0 and length(b) > 0)),
-{out}_k as (select id, ch, bit_or(1::hugeint << (j - 1)::hugeint) m from (select id, j, substr(b, j, 1) ch from {out}_p, unnest(range(1, length(b) + 1)) u(j)) group by id, ch),
-{out}_r as (select id, a, length(b) n, 0 i, ((1::hugeint << length(b)::hugeint) - 1) v, ((1::hugeint << length(b)::hugeint) - 1) f from {out}_p
-  union all select r.id, a, n, i + 1, ((v + (v & coalesce(m, 0::hugeint))) | (v - (v & coalesce(m, 0::hugeint)))) & f, f
+    """CTEs giving out(a, b, lcs) for pairs(a, b) distinct and not empty, bit by bit, in limbs with carries."""
+    each = lambda form, sep=", ": sep.join(form.format(k=k, first=k * LIMB, last=k * LIMB + LIMB) for k in range(LIMBS))
+    full = "((1::hugeint << least(greatest(length(b) - {first}, 0), 100)::hugeint) - 1)"
+    total, carry = [], ""
+    for k in range(LIMBS):
+        total.append(f"(v{k} + (v{k} & coalesce(m{k}, 0::hugeint)){carry})")
+        carry = f" + ({total[k]} >> {LIMB}::hugeint)"
+    now = ", ".join(f"({total[k]} | (v{k} - (v{k} & coalesce(m{k}, 0::hugeint)))) & f{k}" for k in range(LIMBS))
+    return f"""{out}_p as materialized (select row_number() over () id, a, b from (select distinct a, b from {pairs} where length(a) > 0 and length(b) > 0)),
+{out}_k as materialized (select id, ch, {each("coalesce(bit_or(1::hugeint << ((j - 1) % 100)::hugeint) filter (j > {first} and j <= {last}), 0::hugeint) m{k}")} from (select id, j, substr(b, j, 1) ch from {out}_p, unnest(range(1, length(b) + 1)) u(j)) group by id, ch),
+{out}_r as (select id, a, length(b) n, 0 i, {each(full + " v{k}")}, {each(full + " f{k}")} from {out}_p
+  union all select r.id, a, n, i + 1, {now}, {each("f{k}")}
   from {out}_r r left join {out}_k mk on mk.id = r.id and mk.ch = substr(a, i + 1, 1) where i < length(a)),
-{out} as (select p.a, p.b, n - bit_count(v) lcs from {out}_r r join {out}_p p using (id) where i = length(r.a))"""
+{out} as (select p.a, p.b, n - {each("bit_count(v{k})", " - ")} lcs from {out}_r r join {out}_p p using (id) where i = length(r.a))"""
 
 
 def ratio(a: str, b: str, common: str) -> str:
@@ -107,8 +119,8 @@ when 1 then {edit('replace_letter', x, 'title_id')} else case {third} when 0 the
 
 
 LONG = f"lng as (select title_id, s from t where length(s) >= {DEFAULT.least_generated_length})"
-# the cascade's test rows: the test titles and misspellings of every seventh reference title
-CASCADE_Q = f"{LONG}, {generated('lng', 'gen')}, q as (select id test_index, s from titles where id % 10 = 0 union all select 1000000000 + title_id, made from gen where title_id % 7 = 0)"
+# the cascade's test rows: the test titles and misspellings of all long reference titles
+CASCADE_Q = f"{LONG}, {generated('lng', 'gen')}, q as (select id test_index, s from titles where id % 10 = 0 union all select 1000000000 + title_id, made from gen)"
 EXACT = "ex as (select test_index, m title_id from q join (select s, max(title_id) m from t group by s) using (s))"
 NEAR = f"""cand as (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= {TOP} and test_index not in (select test_index from ex) and {bound('q.s', 't.s')} >= {DEFAULT.ratio_threshold}),
 {lcs('cand', 'l1')}, plain as (select test_index, title_id, a, b, cast(round_even({ratio('cand.a', 'cand.b', 'lcs')}, 0) as integer) r from cand join l1 using (a, b)),
@@ -119,9 +131,9 @@ good as (select *, rank() over (partition by test_index order by r desc) k from
 nr as (select test_index, max(title_id) title_id, max(r) ratio from good where k = 1 group by test_index having count(*) = 1)"""
 FINAL = f"{BASE.replace(', ' + Q, '')}, {CASCADE_Q}, {GRAMS}, {SCORES}, {EXACT}, {NEAR}, fin as (select coalesce(ex.title_id, nr.title_id, -1) title_id, test_index from q left join ex using (test_index) left join nr using (test_index))"
 
-# training rows: misspellings of every fifth long reference title, and test titles that no reference title equals
+# training rows: misspellings of all long reference titles, and test titles that no reference title equals
 TRAIN = f"""{LONG}, {generated('lng', 'gen')},
-train as (select title_id train_index, made s, title_id true_id from gen where title_id % 5 = 0 union all
+train as (select title_id train_index, made s, title_id true_id from gen union all
   select 1000000000 + id, s, -1 from titles where id % 10 = 0 and s not in (select s from t)),
 q as (select train_index test_index, s, true_id from train)"""
 PAIRS = f"""nb as (select *, row_number() over (partition by test_index order by {roll('neighbour', 'test_index', 'title_id')}, title_id) place from rk where rn <= {TOP}),
@@ -132,6 +144,8 @@ pairs as (select case when near.true_id = -1 then 2 else 3 end kind, q.s title,
   from near join q using (test_index) join t on t.title_id = near.title_id
   union all select 1, made, s, title_id, 1 from gen)"""
 TRAINING = f"{BASE.replace(', ' + Q, '')}, {TRAIN}, {GRAMS}, {SCORES}, {PAIRS}"
+EVALUATED = f"""er as (select *, row_number() over (partition by kind order by {roll('evaluation', 'kind', 'title', 'truth_title', 'title_id')}, title, truth_title, title_id, target) k, count(*) over () n from pairs),
+ev as (select kind, title, truth_title, title_id, target, k <= case kind when 1 then floor(n * {DEFAULT.evaluation_generated}) when 2 then floor(n * {DEFAULT.evaluation_negative}) else floor(n * {DEFAULT.evaluation_positive}) end is_eval from er)"""
 SCORED = "sco as (select (o_orderkey % 97) / 97.0::double p, cast(o_orderstatus = 'F' as integer) y from orders)"
 
 ALPHABET = "- abcdefghijklmnopqrstuvwxyz0123456789"
@@ -181,7 +195,7 @@ be as (select test_index, title_id, whole, pos, case when r > 0 then part else '
     out |= {
         "generated_pairs": f"with {TITLES}, {T}, {LONG}, {generated('lng', 'gen')} select title_id, made title, s truth_title from gen",
         "training_pairs": f"{TRAINING} select kind, title, truth_title, title_id, target from pairs",
-        "evaluation_split": f"{TRAINING}, er as (select *, row_number() over (partition by kind order by {roll('evaluation', 'kind', 'title', 'truth_title', 'title_id')}, title, truth_title, title_id, target) k, count(*) over () n from pairs) select kind, title, truth_title, title_id, target, k <= case kind when 1 then floor(n * {DEFAULT.evaluation_generated}) when 2 then floor(n * {DEFAULT.evaluation_negative}) else floor(n * {DEFAULT.evaluation_positive}) end is_eval from er",
+        "evaluation_split": f"{TRAINING}, {EVALUATED} select kind, title, truth_title, title_id, target, is_eval from ev",
         "weighted_log_loss": f"with s as (select o_orderkey, (o_orderkey % 97) / 97.0::double p, cast(o_orderstatus = 'F' as integer) y from orders) select o_orderkey, round(p * ({BETA} + y - {BETA} * y) - y, 9) gradient, round(p * (1 - p) * ({BETA} + y - {BETA} * y), 9) hessian from s",
         "custom_error": f"with {SCORED} select sum(case when p <= 0.9 and y = 1 then 1.0::double when p > 0.9 and y = 0 then {BETA}::double else 0.0::double end) custom_error from sco",
         "class_ratio": f"with {SCORED} select count(*) filter (y = 0) / count(*) filter (y = 1)::double class_ratio from sco",
@@ -191,4 +205,38 @@ be as (select test_index, title_id, whole, pos, case when r > 0 then part else '
         "single_title_search": f"{BASE.replace(', ' + Q, '')}, q as (select 0 test_index, 'the and attion to thenedble the anea erinr thanea and more' s), {GRAMS}, {SCORES} select title_id, s \"match\", score prediction from rk join t using (title_id) where rn = 1",
         "delimited_round_trip": f"{b} select id test_index, title, s transformed_title from titles join (select doc_id id, split_part(text, chr(10), 1) title from documents) using (id) where id % 10 = 0",
     }
+    stumps = " + ".join(f"case when {f} >= {least} then {up}::double else {down}::double end" for f, least, up, down in STUMPS)
+    # all 66 features of pairs fp(test_index, title_id, a, b)
+    table = f"""{WORDS}, {WDF}, {{l1}}, wi as (select distinct a whole_a, word b, i, substr(replace(a, ' ', ''), i, length(word)) a from fp join tw using (title_id), unnest(range(1, length(replace(a, ' ', '')) + 1)) u(i) where pos < 15),
+{{l2}}, br as (select whole_a, wi.b word, wi.a part, cast(floor({ratio('wi.a', 'wi.b', 'lcs')}) as integer) r, i from wi join fl2 using (a, b)),
+be as (select whole_a, word, case when r > 0 then part else ' ' end part, r from (select *, row_number() over (partition by whole_a, word order by r desc, i) k from br) where k = 1),
+fw as (select test_index, title_id, fp.a, fp.b, pos, length(word) len, ln((select count(*) from t) * 1.0e0 / df) idf, coalesce(be.r, 0) best, coalesce(be.part, ' ') part, len(string_split(fp.b, ' ')) n from fp join tw using (title_id) join wdf using (word) left join be on be.whole_a = fp.a and be.word = tw.word where pos < 15),
+fx as (select *, 1 + (max(idf) over (partition by test_index, title_id) - idf) / n rnk from fw),
+fr as (select test_index, title_id, b, string_agg(part, ' ' order by pos) a, {{wide}} from fx group by all),
+{{l3}}, feat as (select fp.test_index, fp.title_id, length(fp.a)::double title_chars, length(fp.b)::double truth_chars, len(string_split(fp.a, ' '))::double title_words, len(string_split(fp.b, ' '))::double truth_words, floor({ratio('fp.a', 'fp.b', 'fl1.lcs')}) ratio, floor({ratio('fr.a', 'fr.b', 'fl3.lcs')}) rebuilt_ratio, {{names}}
+  from fp join fl1 on fl1.a = fp.a and fl1.b = fp.b join fr on fr.test_index = fp.test_index and fr.title_id = fp.title_id join fl3 on fl3.a = fr.a and fl3.b = fr.b)"""
+    kinds = {"best": "best", "length": "len", "idf": "idf", "rank": "rnk"}
+    wide = ", ".join(f"coalesce(max({c}) filter (pos = {i - 1}), -1)::double {k}_{i}" for k, c in kinds.items() for i in range(1, 16))
+    wide_names = ", ".join(f"{k}_{i}" for k in kinds for i in range(1, 16))
+    table = table.format(l1=lcs("fp", "fl1"), l2=lcs("wi", "fl2"), l3=lcs("fr", "fl3"), wide=wide, names=wide_names)
+    scored = f"mp as (select test_index, title_id, 1 / (1 + exp(-({stumps}))) p from feat)"
+    rest = f"fp as (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= {TOP} and test_index not in (select test_index from ex) and test_index not in (select test_index from nr))"
+    model = f"mm as (select test_index, max(title_id) title_id from (select *, rank() over (partition by test_index order by p desc) k from mp where p > 0.9) where k = 1 group by test_index having count(*) = 1)"
+    cascade = FINAL[: FINAL.index(", fin as (")]
+    rounded = ", ".join(f"round({c}, 6) {c}" for c in [*("title_chars truth_chars title_words truth_words ratio rebuilt_ratio".split()), *wide_names.split(", ")])
+    out["pair_feature_table"] = f"{near3}, fp as (select * from p3), {table} select test_index, title_id, {rounded} from feat"
+    out["frozen_model_predictions"] = f"{cascade}, {rest}, {table}, {scored}, {model} select coalesce(ex.title_id, nr.title_id, mm.title_id, -1) title_id, test_index from q left join ex using (test_index) left join nr using (test_index) left join mm using (test_index)"
+    out["frozen_model_evaluation"] = f"""{TRAINING}, {EVALUATED}, fp as (select row_number() over () test_index, title a, truth_title b, title_id, target, is_eval from ev), {table}, {scored},
+sc2 as (select is_eval, p, target y from fp join mp using (test_index, title_id)),
+au as (select is_eval, sum(up * (below + down / 2)) / (sum(up)::double * sum(down)) area from (select *, coalesce(sum(down) over (partition by is_eval order by p rows between unbounded preceding and 1 preceding), 0) below from (select is_eval, p, count(*) filter (y = 1) up, count(*) filter (y = 0) down from sc2 group by is_eval, p)) group by is_eval)
+select is_eval, count(*) filter (p > 0.9 and y = 1) true_positives, count(*) filter (p <= 0.9 and y = 0) true_negatives, count(*) filter (p > 0.9 and y = 0) false_positives, count(*) filter (p <= 0.9 and y = 1) false_negatives, count(*) filter (p <= 0.9 and y = 1) + {BETA}::double * count(*) filter (p > 0.9 and y = 0) custom_error, any_value(au.area) area from sc2 join au using (is_eval) group by is_eval"""
+    out["area_under_curve"] = f"with {SCORED} select round((select sum((a.p > b.p)::int + 0.5 * (a.p = b.p)::int) from (select p, count(*) c from sco where y = 1 group by p) g(p, c), lateral (select g.p p from range(g.c)) a, (select p from sco where y = 0) b) / (count(*) filter (y = 1) * count(*) filter (y = 0)::double), 9) area from sco"
+    line = "split_part(text, chr(10), 1)"
+    title = f"{cut('w', DEFAULT.max_characters)}"
+    load = f"x as (select *, {norm('line')} w from (select doc_id, n_chars % 7 owner, {line} line from documents)), z as (select *, {title} s from x)"
+    derived = "line title, s transformed_title, cast(len(string_split(s, ' ')) as integer) number_of_words"
+    out["load_truth"] = f"with {load} select doc_id title_id, {derived} from z"
+    out["load_train"] = f"with {load} select doc_id train_index, owner title_id, {derived} from z"
+    out["load_test"] = f"with {load} select doc_id test_index, {derived} from z"
+    out["load_actuals"] = f"with {load} select doc_id test_index, owner title_id from z"
     return out

@@ -12,6 +12,7 @@ from titleweave.functions.normalize import encode_title, transform_title
 from titleweave.functions.similarity import indel_ratio, indel_ratio_truncated, length_bound, token_sort_ratio
 from titleweave.operators import candidates, evaluate, features, frequency, matching, misspell, training
 from titleweave.plans import cascade, oracles
+from titleweave.plans.frozen import frozen_model
 from titleweave.sources import titles
 
 #: Added to the ids of made-up test rows, so that they meet no document's.
@@ -31,25 +32,25 @@ def _closest(spark, d, k=DEFAULT.top_n_predicting):
 
 
 def _pairs(spark, d):
-    """The three closest reference titles of each test title, with both titles."""
-    return matching.with_titles(_closest(spark, d, 3).select("test_index", "title_id"), _test(spark, d), _truth(spark, d))
+    """The closest reference titles of each test title, as many as training draws from, with both titles."""
+    found = candidates.closest_pairs(_test(spark, d), candidates.build_index(_truth(spark, d)), DEFAULT.top_n_training)
+    return found.select("test_index", "title_id", "title", "match")
 
 
-def _made_titles(spark, d, every: int):
-    made = training.generated_pairs(_truth(spark, d)).filter(F.col("title_id") % every == 0)
-    return titles.with_derived(made.select("title_id", "title"))
+def _made_titles(spark, d):
+    return titles.with_derived(training.generated_pairs(_truth(spark, d)).select("title_id", "title"))
 
 
 def cascade_test(spark, d):
-    """The test titles, and misspellings of every seventh reference title."""
-    made = _made_titles(spark, d, 7).withColumn("test_index", F.col("title_id") + MADE)
+    """The test titles, and a misspelling of every reference title that is long enough."""
+    made = _made_titles(spark, d).withColumn("test_index", F.col("title_id") + MADE)
     own = _test(spark, d)
     return own.unionByName(made.select(own.columns))
 
 
 def train_titles(spark, d):
-    """Misspellings of every fifth long reference title with its id, and test titles that no reference title equals with -1."""
-    made = _made_titles(spark, d, 5).withColumn("train_index", F.col("title_id"))
+    """Misspellings of all long enough reference titles with their ids, and test titles that no reference title equals with -1."""
+    made = _made_titles(spark, d).withColumn("train_index", F.col("title_id"))
     test = _test(spark, d)
     none = matching.remaining(test, matching.exact_matches(test, _truth(spark, d))).withColumn("train_index", F.col("test_index") + MADE).withColumn("title_id", F.lit(-1).cast("long"))
     return made.unionByName(none.select(made.columns))
@@ -69,6 +70,38 @@ def _model(spark, d):
     return cascade.train_matcher(train_titles(spark, d), truth)
 
 
+def _frozen_evaluation(spark, d):
+    truth = _truth(spark, d)
+    index = candidates.build_index(truth)
+    pairs = cascade.labelled_pairs(train_titles(spark, d), truth, index=index)
+    return cascade.evaluate_model(frozen_model, pairs, truth, index.n)
+
+
+def _trained_evaluation(spark, d):
+    truth = _truth(spark, d)
+    index = candidates.build_index(truth)
+    pairs = cascade.labelled_pairs(train_titles(spark, d), truth, index=index)
+    return cascade.evaluate_model(training.train_model(pairs, truth, index.n), pairs, truth, index.n)
+
+
+def _feature_table(spark, d):
+    truth = _truth(spark, d)
+    made = training.feature_table(_pairs(spark, d), truth, frequency.number_of_titles(truth))
+    return made.select("test_index", "title_id", *[F.round(c, 6).alias(c) for c in features.names()])
+
+
+def _loaded(kind, source):
+    """A table of a kind from columns of other names and types, its titles normalised."""
+
+    def query(spark, d):
+        docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("no"), F.split("text", "\n", 2)[0].alias("line"), (F.col("n_chars") % 7).cast("string").alias("owner"))
+        of = {"title_id": "owner" if kind in ("train", "actuals") else "no", "title": "line"}
+        out = source(docs, mapping={name: (of.get(name, "no"), type_) for name, (_, type_) in titles.KINDS[kind].items()})
+        return out.select(*[c for c in out.columns if c not in ("words", "n_grams")])
+
+    return query
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closest(spark, sf_dir, 1)
 
@@ -87,8 +120,7 @@ def _accuracy(spark, d):
 def _near(spark, d):
     test, truth = cascade_test(spark, d), _truth(spark, d)
     rest = matching.remaining(test, matching.exact_matches(test, truth))
-    near_by = candidates.closest_matches(rest, candidates.build_index(truth))
-    return matching.near_exact_matches(matching.with_titles(near_by.select("test_index", "title_id"), test, truth))
+    return matching.near_exact_matches(candidates.closest_pairs(rest, candidates.build_index(truth)))
 
 
 def _word_features(spark, d):
@@ -114,9 +146,7 @@ def _round_trip(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/titles-{uuid.uuid4().hex}"
     titles.write_delimited(_test(spark, d).select("test_index", F.col("title").alias("name")), path)
-    from dataclasses import replace
-
-    return titles.read_delimited(spark, path, "test", config=replace(DEFAULT, max_characters=80)).select("test_index", "title", "transformed_title")
+    return titles.read_delimited(spark, path, "test").select("test_index", "title", "transformed_title")
 
 
 def _model_predictions(spark, d):
@@ -169,6 +199,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "single_title_search": lambda s, d: cascade.search_title(s, "The and attion to thenedble the anea, erinr thanea and more", _truth(s, d)),
         "delimited_round_trip": _round_trip,
         "model_predictions": _model_predictions,
+        "frozen_model_predictions": lambda s, d: cascade.generate_predictions(cascade_test(s, d), _truth(s, d), frozen_model),
+        "frozen_model_evaluation": _frozen_evaluation,
+        "model_evaluation": _trained_evaluation,
+        "pair_feature_table": _feature_table,
+        "load_truth": _loaded("truth", titles.truth),
+        "load_train": _loaded("train", titles.train),
+        "load_test": _loaded("test", titles.test),
+        "load_actuals": _loaded("actuals", lambda df, **o: titles.from_frame(df, "actuals", **o)),
+        "area_under_curve": lambda s, d: evaluate.area_under_curve(_scored(s, d)).select(F.round("area", 9).alias("area")),
         "feature_importance": lambda s, d: evaluate.feature_importance(_model(s, d), s),
     }
     return out

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleweave.config import DEFAULT, Config
-from titleweave.functions.normalize import n_grams, number_of_words, opaque, transform_title, words
+from titleweave.functions.normalize import n_grams, number_of_words, transform_title, words
 
 #: Internal name to (file column, type), for each kind of table.
 TRUTH = {"title_id": ("company_id", "long"), "title": ("name", "string")}
 TRAIN = {"train_index": ("train_index", "long"), "title": ("name", "string"), "title_id": ("company_id", "long")}
 TEST = {"test_index": ("test_index", "long"), "title": ("name", "string")}
 ACTUALS = {"test_index": ("test_index", "long"), "title_id": ("company_id", "long")}
+#: How delimited text is read and written: quotes are doubled, blanks stay, an empty field is null and a quoted one an empty text.
+FORMAT = {"quote": '"', "escape": '"', "charToEscapeQuoteEscaping": "\0", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: What the reader puts in place of a quoted empty field, for it would take "" for null.
+EMPTY = "\0empty\0"
 KINDS = {"truth": TRUTH, "train": TRAIN, "test": TEST, "actuals": ACTUALS}
 
 
 def with_derived(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """df with transformed_title, words, number_of_words and n_grams; a null title has nulls."""
-    out = df.withColumn("transformed_title", opaque(transform_title(F.col("title"), config.max_characters, config.n_grams)))
+    out = df.withColumn("transformed_title", transform_title(F.col("title"), config.max_characters, config.n_grams))
     t = F.col("transformed_title")
     return out.withColumns({"words": words(t), "number_of_words": number_of_words(t), "n_grams": F.when(t.isNotNull(), n_grams(t, config.n_grams))})
 
@@ -35,7 +39,8 @@ def from_frame(df: DataFrame, kind: str, mapping: dict[str, tuple[str, str]] | N
 
 def read_delimited(spark: SparkSession, path: str, kind: str, mapping: dict[str, tuple[str, str]] | None = None, config: Config = DEFAULT) -> DataFrame:
     """Delimited text with a header, compressed or not."""
-    raw = spark.read.csv(path, sep=config.delimiter, header=True, quote='"', escape='"', multiLine=True)
+    raw = spark.read.options(**FORMAT, emptyValue=EMPTY).csv(path, sep=config.delimiter, header=True, multiLine=True)
+    raw = raw.select([F.when(F.col(f"`{c}`") == EMPTY, "").otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return from_frame(raw, kind, mapping, config)
 
 
@@ -61,15 +66,13 @@ def single_title(spark: SparkSession, title: str, config: Config = DEFAULT) -> D
 def write_delimited(df: DataFrame, path: str, order: str = "test_index", config: Config = DEFAULT, single_file: bool = False) -> None:
     """Sorted by order: a folder of parts in order, or one part, for results small enough to be a single file."""
     ordered = df.coalesce(1).sortWithinPartitions(order) if single_file else df.orderBy(order)
-    ordered.write.csv(path, sep=config.delimiter, header=True, mode="overwrite")
+    ordered.write.options(**FORMAT).csv(path, sep=config.delimiter, header=True, mode="overwrite")
 
 
 def first_lines(spark: SparkSession, sf_dir: str, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, title, derived columns): the first line of each document, 80 characters of it at most once normalised."""
-    from dataclasses import replace
-
+    """(doc_id, title, derived columns): the first line of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", "\n", 2)[0].alias("title"))
-    return with_derived(docs, replace(config, max_characters=80))
+    return with_derived(docs, config)
 
 
 def truth_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
