@@ -28,12 +28,13 @@ def test_normalisation_equals_a_plain_version(spark):
     assert got == [plain_transform(t) for t in texts]
 
 
-def test_expected_values(spark):
-    df = spark.createDataFrame([(["first", "second", "first", "third", "first"],), (["first", "first"],), (["fifth"],)], "words array<string>")
-    assert {r["word"]: r["df"] for r in frequency.word_frequency(df).collect()} == {"first": 2, "second": 1, "third": 1, "fifth": 1}
-    assert round(math.log(3 / 2), 5) == round(spark.range(1).select(frequency.idf(F.lit(2), 3)).first()[0], 5)
-    code = spark.range(1).select(normalize.encode_title(F.lit("coolblue bv"))).first()[0]
-    assert code == [4, 16, 16, 13, 3, 13, 22, 6, 1, 3, 23]
+def test_word_frequencies_and_codes(spark):
+    lists = [["elm", "oak", "elm"], ["oak"], ["ash", "oak", "ash", "fir"], []]
+    df = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    assert {r["word"]: r["df"] for r in frequency.word_frequency(df).collect()} == {w: sum(w in x for x in lists) for x in lists for w in x}
+    assert spark.range(1).select(frequency.idf(F.lit(3), 8)).first()[0] == pytest.approx(math.log(8 / 3))
+    code = spark.range(1).select(normalize.encode_title(F.lit("az 09-"))).first()[0]
+    assert code == [2, 27, 1, 28, 37, 0]
 
 
 def test_null_and_short_titles(spark):
@@ -53,8 +54,11 @@ def table_lcs(a, b):
 
 def test_lcs_and_ratios(spark):
     r = random.Random(2)
-    pairs = [("".join(r.choice("abc ") for _ in range(r.randint(0, 90))), "".join(r.choice("abcd") for _ in range(r.randint(0, 70)))) for _ in range(300)]
-    assert all(similarity.lcs_length(a, b) == table_lcs(a, b) for a, b in pairs)
+    pairs = [("".join(r.choice("abc é😀") for _ in range(r.randint(0, 200))), "".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 63, 64, 65, 128, 129, 200, r.randint(0, 255)])))) for _ in range(300)]
+    assert similarity.lcs_lengths(*map(list, zip(*pairs, strict=True))).tolist() == [table_lcs(a, b) for a, b in pairs]
+    assert similarity.lcs_lengths([], []).tolist() == []
+    nulls = spark.createDataFrame([(None, "a"), ("a", None), ("ab", "b")], "a string, b string")
+    assert [x[0] for x in nulls.select(similarity.lcs(F.col("a"), F.col("b"))).collect()] == [None, None, 1]
     table = [("coolblue bv", "colblue b v", 91, 90, 82), ("ab", "ac", 50, 50, 50), ("kitten", "sitting", 62, 61, 62), ("abcdefghijklmnopqrst", "abcdefghijklmnopqrs", 97, 97, 97), ("bv coolblue", "coolblue bv", 73, 72, 100)]
     df = spark.createDataFrame([x[:2] for x in table], "a string, b string")
     got = df.select(similarity.indel_ratio(F.col("a"), F.col("b")), similarity.indel_ratio_truncated(F.col("a"), F.col("b")), similarity.token_sort_ratio(F.col("a"), F.col("b"))).collect()
@@ -69,7 +73,28 @@ def test_worked_pair_features(spark):
     assert [r["length_1"], r["length_2"]] == [8, 2]
     assert [round(r[c], 6) for c in ("idf_1", "idf_2", "rank_1", "rank_2")] == [6.907755, 2.995732, 1.0, 2.956012]
     assert len(features.names()) == 66
-    assert similarity.best_matches("colblue b v", "coolblue bv", 15)[1] == "colblueb bv"
+    assert similarity.word_stretches(["colblue b v"], ["coolblue bv"], 15) == ([[87, 100]], ["colblueb bv"])
+
+
+def test_stretches_of_words_equal_their_definition(spark):
+    r = random.Random(4)
+    made = lambda letters, sizes, n: " ".join("".join(r.choice(letters) for _ in range(r.choice(sizes))) for _ in range(n))
+    pairs = [(made("abcde", [1, 2, 5, 8], r.randint(1, 6)), made("abcdez", [1, 3, 7, 9, 70], r.randint(1, 6))) for _ in range(150)] + [("   ", "ab"), ("ab", ""), ("zzz", "qq a")]
+
+    def whole(title, truth, limit):
+        solid, ratios, parts = title.replace(" ", ""), [], []
+        for word in truth.split(" ")[:limit]:
+            every = [solid[i : i + len(word)] for i in range(len(solid) if word else 0)]
+            ratio = [int(2 * table_lcs(x, word) / (len(x) + len(word)) * 100) for x in every]
+            top = max(ratio, default=0)
+            ratios.append(top)
+            parts.append(every[ratio.index(top)] if top else " ")
+        return ratios, " ".join(parts)
+
+    ratios, rebuilt = similarity.word_stretches([a for a, _ in pairs], [b for _, b in pairs], 4)
+    assert list(zip(ratios, rebuilt, strict=True)) == [whole(a, b, 4) for a, b in pairs]
+    df = spark.createDataFrame([("ab", None), (None, "ab"), ("ab c", "abc")], "a string, b string")
+    assert [x[0] and tuple(x[0]) for x in df.select(similarity.word_matches(F.col("a"), F.col("b"), 15)).collect()] == [(None, None), (None, None), ([100], "abc")]
 
 
 def test_worked_likeness(spark):
@@ -79,19 +104,49 @@ def test_worked_likeness(spark):
     assert {r["title_id"]: r["score"] for r in got.collect()} == {0: 0.605661, 1: 0.256325, 2: 0.094139, 3: 0.091149}
 
 
-def test_top_k_equals_brute_force_with_ties_and_copies(spark):
+@pytest.mark.parametrize("look", [1, 30, 4096])
+@pytest.mark.parametrize("cell", [7, 50_000])
+def test_top_k_equals_brute_force_with_ties_and_copies(spark, monkeypatch, look, cell):
+    monkeypatch.setattr(candidates, "FIRST_LOOK", look)
+    monkeypatch.setattr(candidates, "CELL_TITLES", cell)
     r = random.Random(3)
     names = ["".join(r.choice("abcde ") for _ in range(r.randint(3, 9))) for _ in range(40)]
     truth = titles.with_derived(spark.createDataFrame([(i, r.choice(names)) for i in range(120)], "title_id long, title string"))
     query = titles.with_derived(spark.createDataFrame([(i, r.choice(names)) for i in range(30)], "test_index long, title string"))
     index = candidates.build_index(truth)
+    grams = {x["title_id"]: set(x["n_grams"]) for x in truth.collect()}
+    weight = lambda g: round(math.log(len(grams) / sum(g in x for x in grams.values())) * 1e6)
+    w = {g: weight(g) for x in grams.values() for g in x}
     scores = {}
-    for x in candidates.jaccard_scores(query, index).collect():
-        scores.setdefault(x["test_index"], []).append((-x["score"], -x["title_id"]))
-    want = sorted((q, -t, n) for q, own in scores.items() for n, (_, t) in enumerate(sorted(own)[:7], 1))
-    for block in (20_000, 5):
-        got = candidates.closest_matches(query, index, 7, block)
-        assert sorted((x["test_index"], x["title_id"], x["rn"]) for x in got.collect()) == want
+    for x in query.collect():
+        for t, own in grams.items():
+            shared = sum(w[g] for g in own & set(x["n_grams"]))
+            total = sum(w.get(g, max(w.values())) for g in x["n_grams"]) + sum(w[g] for g in own)
+            if shared:
+                scores.setdefault(x["test_index"], []).append((-math.floor(1e6 * shared / (total - shared) + 0.5), -t))
+    assert sorted((x["test_index"], round(-1e6 * x["score"]), -x["title_id"]) for x in candidates.jaccard_scores(query, index).collect()) == sorted((q, *y) for q, own in scores.items() for y in own)
+    for k in (1, 7):
+        want = sorted((q, -t, n) for q, own in scores.items() for n, (_, t) in enumerate(sorted(own)[:k], 1))
+        assert sorted((x["test_index"], x["title_id"], x["rn"]) for x in candidates.closest_matches(query, index, k).collect()) == want
+
+
+def test_search_verifies_a_part_of_the_titles(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(candidates, "FIRST_LOOK", 100)
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(400)]
+    names = sorted({" ".join(r.choice(words) for _ in range(r.randint(2, 6))) for _ in range(3000)})
+    gram, df = np.unique(candidates.title_grams(names, 3)[1], return_counts=True)
+    cell = candidates.Cell(names, np.arange(len(names)), gram, np.round(np.log(len(names) / df) * 1e6).astype(np.int64), 3)
+    asked = [n.replace("a", "", 1) for n in names[::100]]
+    got = [cell.search(q, 10) for q in asked]
+    pruned, cell.scored = cell.scored, 0
+    for q, (at, score) in zip(asked, got, strict=True):
+        every, whole = cell.search(q, None)
+        best = np.lexsort((-every, -whole))[:10]
+        assert (at.tolist(), score.tolist()) == (every[best].tolist(), whole[best].tolist())
+    assert pruned < 0.5 * cell.scored
 
 
 def test_unique_argmax_drops_ties(spark):
@@ -153,6 +208,28 @@ def test_accuracy_needs_a_prediction_for_every_row(spark):
         evaluate.accuracy_report(a, a.filter("test_index = 1")).collect()
 
 
+def test_delimited_text_comes_back_as_it_was(spark, tmp_path):
+    odd = ['a "quoted" name', '"', '""', "\\", "a\\", 'b\\"c', '\\"', "a|b", "|", " led", "trailed ", " ", "", None, "two\nlines", "tab\t", "é北\r", 'token = "x"']
+    df = spark.createDataFrame(list(enumerate(odd)), "test_index long, name string")
+    titles.write_delimited(df, f"file://{tmp_path}/odd")
+    got = {r["test_index"]: r["title"] for r in titles.read_delimited(spark, f"file://{tmp_path}/odd", "test").collect()}
+    assert got == dict(enumerate(odd))
+
+
+def test_evaluation_of_a_model(spark):
+    r = random.Random(8)
+    rows = [(r.random() < 0.3, r.randint(0, 40) / 40, r.randint(0, 1)) for _ in range(400)]
+    got = {x["is_eval"]: x for x in evaluate.evaluation(spark.createDataFrame(rows, "is_eval boolean, p double, y int")).collect()}
+    for part in (True, False):
+        own = [(p, y) for e, p, y in rows if e == part]
+        up, down = [p for p, y in own if y], [p for p, y in own if not y]
+        x = got[part]
+        assert x["area"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down))
+        assert (x["true_positives"], x["false_positives"]) == (sum(p > 0.9 for p in up), sum(p > 0.9 for p in down))
+        assert x["custom_error"] == x["false_negatives"] + 5 * x["false_positives"] and x["true_negatives"] == sum(p <= 0.9 for p in down)
+    assert evaluate.area_under_curve(spark.createDataFrame([(0.5, 1)], "p double, y int")).first()["area"] is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text('company_id|name|more\n1|"A ""quoted"" name"|x\n2|Plain|y\n')
     got = titles.read_delimited(spark, f"file://{tmp_path}/t.csv", "truth")
@@ -172,3 +249,31 @@ def test_stream(spark, tmp_path):
     found = []
     match_stream(stream, truth, lambda df, n: found.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r["test_index"], r["title_id"]) for r in found) == [(1, 1), (2, -1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from titleweave import cli, timing
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    names = [" ".join(word() for _ in range(3)) for _ in range(40)]
+    paths = {k: f"file://{tmp_path}/{k}" for k in ("truth.csv", "train.csv", "test.csv", "actuals.csv", "model", "out")}
+    table = lambda head, rows: head + "\n" + "".join("|".join(map(str, x)) + "\n" for x in rows)
+    (tmp_path / "truth.csv").write_text(table("company_id|name", enumerate(names)))
+    (tmp_path / "train.csv").write_text(table("train_index|name|company_id", [(i, n.replace("a", "", 1), i) for i, n in enumerate(names[:20])] + [(90, "nothing alike", -1)]))
+    (tmp_path / "test.csv").write_text(table("test_index|name", [(1, names[3].upper()), (2, names[5][:-1]), (3, "zzz zzz")]))
+    (tmp_path / "actuals.csv").write_text(table("test_index|company_id", [(1, 3), (2, 5), (3, -1)]))
+
+    def called(*argv):
+        return cli.run(spark, cli.parser().parse_args(argv))
+
+    assert called("generate-predictions", "--test", paths["test.csv"], "--truth", paths["truth.csv"], "--output", paths["out"]) == [paths["out"]]
+    assert called("get-predictions-accuracy", "--actuals", paths["actuals.csv"], "--predictions", paths["out"]) == ["correctly_matched=2, incorrectly_matched=0, correctly_not_found=1, incorrectly_not_found=0, custom_error=0.0"]
+    assert called("closest-search-single-title", "-t", names[7], "--truth", paths["truth.csv"]) == [f"title_id=7, match={names[7]}, prediction=1.0"]
+    lines = called("train-model", "--train", paths["train.csv"], "--truth", paths["truth.csv"], "--model", paths["model"])
+    assert len(lines) == 2 and all("area=" in x for x in lines)
+    assert called("closest-search-single-title", "-t", names[7], "--truth", paths["truth.csv"], "--model", paths["model"]) == [f"title_id=7, match={names[7]}, prediction=1.0"]
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--version"])
+    assert "titleweave" in capsys.readouterr().out
+    assert (timing.spelt(0.26), timing.spelt(61), timing.spelt(7384.5)) == ("0.3 s", "1 min 1.0 s", "2 h 3 min 4.5 s")
