@@ -1,9 +1,12 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is read as pieces: its runs of non-blanks (ASCII white space parts them) in stretches of PIECE code points, and those
-of over LONG_RUN code points, as of texts without blanks, one by one, so that a passage in them has the same pieces wherever it
-stands. Each K consecutive pieces are hashed; of each WINDOW consecutive hashes the least is kept, the rightmost of equal ones, with its
-position. Two texts that share WINDOW + K - 1 consecutive pieces share a mark.
+Each K consecutive code points of a text are hashed; of each WINDOW consecutive hashes the least is kept, the rightmost of
+equal ones, with its position. Two texts that share K + WINDOW - 1 consecutive code points share a mark, wherever they stand.
+
+Array functions would work out each character by interpreted lambdas. So a text is cut into stretches of STRETCH windows,
+each with what follows as far as its last window reaches; a stretch is a row, and each of its hashes and minima a column of
+compiled code. Hashes of K code points are put together from those of fewer by rotating and xor, minima of WINDOW from those
+of fewer, the width doubling each time. The rows of a text stay in its task and are gathered there.
 """
 
 from __future__ import annotations
@@ -11,54 +14,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleweave.llm.common import materialize
+from titleweave.llm.common import materialize, unused
 
-PIECE, K, WINDOW = 4, 4, 8
-#: Longest run that is cut from its beginning: an ordinary word.
-LONG_RUN = 16
-#: A mark is one long: the hash's low HASH_BITS, then the position counted down, so that the least mark is the rightmost.
-HASH_BITS, PLACE_BITS = 36, 27
-LAST = (1 << PLACE_BITS) - 1
+#: Code points of a hash, those of the first hashes, hashes of a window.
+K, FIRST, WINDOW = 16, 4, 16
+#: Windows of a stretch. More than 100 columns are compiled in many small methods, which is what makes them fast.
+STRETCH, CUT = 128, 16
+REACH = K + WINDOW - 2
+#: By how many bits the first half of a hash of so many code points is turned.
+TURN = {8: 13, 16: 29}
 
 
+def _with_stretches(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """df with a column for each of texts: its stretches in order, each with what follows; none for an empty text.
+
+    Two steps, so that a text isn't cut again for each stretch.
+    """
+    cut = df.withColumns({name: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)) for name, text in texts.items()})
+    beside = lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, REACH), F.lit(""))))
+    return cut.withColumns({name: beside(F.col(name)) for name in texts})
 
-def append_marks(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """df with out array<long>: the marks of text_col in order of their windows. No pieces (null, empty, blank): no marks.
 
-    Fewer than K pieces have one hash over all of them; fewer than WINDOW hashes are one window. No prefix, no cap but
-    the 2**27 pieces whose positions a mark has room for.
+def _stretch_marks(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """(kept columns, i, marks array<long>) of rows(kept columns, i, s): marks of the i-th stretch s of a text.
+
+    A mark's high 56 bits are the hash, its low byte 255 less its place in the stretch. A text of fewer than K code points
+    has one hash over all of them; fewer than WINDOW hashes are one window; null has no marks.
     """
-    r, p, h = f"__{out}_runs", f"__{out}_pieces", f"__{out}_hashes"
-    pack = lambda x, i: F.shiftleft(x.bitwiseAND((1 << HASH_BITS) - 1), PLACE_BITS) + (F.lit(LAST) - i).cast("long")
-    runs = df.withColumn(r, F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(rf"\S{{{LONG_RUN + 1},}}|\S{{1,{PIECE}}}"), F.lit(0)))
-    is_long = lambda x: F.length(x) > PIECE
-    points = F.flatten(F.transform(r, lambda x: F.when(is_long(x), F.regexp_extract_all(x, F.lit(r"\S"), F.lit(0))).otherwise(F.array(x))))
-    cut = runs.withColumn(p, F.when(F.exists(r, is_long), points).otherwise(F.col(r))).drop(r)
-    n = F.size(p)
-    grams = F.transform(F.sequence(F.lit(0), n - K), lambda i: pack(F.xxhash64(*[F.get(p, i + j) for j in range(K)]), i))
-    some = F.when(n >= K, grams).when(n > 0, F.array(pack(F.xxhash64(F.col(p)), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-    done, width = cut.withColumn(f"{h}1", some), 1
-    while width < WINDOW:  # minima of twice the width from two that lie side by side
-        a, b = f"{h}{width}", f"{h}{2 * width}"
-        done = done.withColumn(b, F.zip_with(F.col(a), F.slice(a, width + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.least(x, y))).drop(a)
-        width *= 2
-    last = f"{h}{width}"
-    done = done.withColumn(out, F.array_distinct(F.slice(last, 1, F.greatest(F.size(last) - WINDOW + 1, F.lit(1)))))
-    return done.drop(p, last)
-
-
-def positions(marks: Column) -> Column:
-    """array<struct<hash, position>> of marks."""
-    return F.transform(marks, lambda m: F.struct(F.shiftright(m, PLACE_BITS).alias("hash"), (F.lit(LAST) - m.bitwiseAND(LAST)).alias("position")))
+    carried = [f"`{c}`" for c in kept] + ["i"]
+    n = STRETCH + REACH
+    df = rows.selectExpr(*carried, "length(s) n", "(shiftleft(xxhash64(s), 8) | 255) whole", *[f"substring(s, {b * CUT + 1}, {CUT + FIRST - 1}) p{b}" for b in range(-(-n // CUT))])
+    carried += ["n", "whole"]
+    width, n = FIRST, n - FIRST + 1
+    df = df.selectExpr(*carried, *[f"xxhash64(substring(p{j // CUT}, {j % CUT + 1}, {FIRST})) h{width}_{j}" for j in range(n)])
+    while width < K:
+        old, width = width, 2 * width
+        n -= old
+        turned = lambda x: f"(shiftleft({x}, {TURN[width]}) | shiftrightunsigned({x}, {64 - TURN[width]}))"  # noqa: B023, E731
+        df = df.selectExpr(*carried, *[f"{turned(f'h{old}_{j}')} ^ h{old}_{j + old} h{width}_{j}" for j in range(n)])
+    df = df.selectExpr(*carried, *[f"if(n >= {j + K}, shiftleft(h{K}_{j}, 8) | {255 - j}, {2**63 - 1}L) m1_{j}" for j in range(n)])
+    width = 1
+    while width < WINDOW:
+        old, width = width, 2 * width
+        n -= old
+        df = df.selectExpr(*carried, *[f"least(m{old}_{j}, m{old}_{j + old}) m{width}_{j}" for j in range(n)])
+    every = ", ".join(f"m{width}_{j}" for j in range(n))
+    windows = f"least(greatest(n - {REACH}, if(i = 0, 1, 0)), {STRETCH})"
+    some = f"if(n is null, cast(array() as array<bigint>), if(n < {K} and i = 0, array(whole), array_distinct(slice(array({every}), 1, {windows}))))"
+    return df.selectExpr(*carried[:-2], f"{some} marks")
 
 
-def hashes(marks: Column) -> Column:
-    return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, PLACE_BITS)))
+def append_marks(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """df with out array<struct<hash, position>>: the marks of text_col in order of position, none for a null or empty text.
+
+    Fewer than K code points have one hash over all of them; fewer than WINDOW hashes are one window. No prefix, no cap.
+    """
+    no, s, row = unused(df, "__no"), unused(df, "__s"), unused(df, "__row")
+    packed = df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias(row), F.monotonically_increasing_id().alias(no))
+    cut = _with_stretches(packed, {s: F.coalesce(F.col(row).getField(text_col).cast("string"), F.lit(""))})
+    rows = cut.select(no, F.posexplode_outer(s).alias("i", "s")).withColumn("i", F.coalesce("i", F.lit(0)))
+    placed = F.transform("marks", lambda m: F.struct((F.col("i").cast("long") * STRETCH + 255 - m.bitwiseAND(255)).alias("position"), F.shiftright(m, 8).alias("hash")))
+    found = _stretch_marks(rows, [no]).select(no, placed.alias("marks")).groupBy(no).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"))
+    joined = packed.join(found, no)
+    ordered = F.transform("marks", lambda m: F.struct(m.hash.alias("hash"), m.position.alias("position")))
+    return joined.select([F.col(row).getField(c).alias(c) for c in df.columns if c != out] + [ordered.alias(out)])
 
 
-def short_hashes(marks: Column) -> Column:
-    """The set of 32 bits of each hash, half the size of hashes()."""
-    return F.array_distinct(F.transform(marks, lambda m: F.shiftright(m, PLACE_BITS).bitwiseAND(0xFFFFFFFF).bitwiseXOR(1 << 31) - (1 << 31)).cast("array<int>"))
+def hashes(marks: Column) -> Column:
+    """The set of hashes of marks from append_marks()."""
+    return F.array_distinct(F.transform(marks, lambda m: m.hash))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,12 +91,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def _name(marks: Column) -> Column:
-    return F.lpad(F.lower(F.hex(F.xxhash64(marks))), 16, "0")
+def name(hash_set: Column) -> Column:
+    """A fingerprint as 16 hex digits."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(F.sort_array(hash_set)))), 16, "0")
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """For ids(doc_id distinct, share): (doc_id, prev_id, prev_share) of the row before in ascending doc_id, null first.
+    """For ids(doc_id distinct): (doc_id, prev_id) of the row before in ascending doc_id, null first.
 
     The first row follows the last. Rows are dealt by ranges of doc_id; only one row of each range meets in one task.
     """
@@ -80,13 +105,18 @@ def followers(ids: DataFrame) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(ids.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "ranges")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first())
-    inside = dealt.withColumn("at", F.row_number().over(order)).withColumn("p", F.lag(F.struct("doc_id", "share")).over(order))
-    ends = dealt.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "share")).alias("end"))
+    inside = dealt.withColumn("at", F.row_number().over(order)).withColumn("p", F.lag(F.struct("doc_id")).over(order))
+    ends = dealt.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("end"))
     whole = Window.orderBy("range")  # one row for each range
     before = ends.withColumn("b", F.lag("end").over(whole)).withColumn("b", F.coalesce("b", F.last("end").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    joined = inside.join(F.broadcast(before.select("range", F.struct(F.col("b.doc_id").alias("doc_id"), F.col("b.share").alias("share")).alias("b"))), "range")
+    joined = inside.join(F.broadcast(before.select("range", F.struct(F.col("b.doc_id").alias("doc_id")).alias("b"))), "range")
     prev = F.when(F.col("at") == 1, F.col("b")).otherwise(F.col("p"))
-    return joined.select("doc_id", prev["doc_id"].alias("prev_id"), prev["share"].alias("prev_share"))
+    return joined.select("doc_id", prev["doc_id"].alias("prev_id"))
+
+
+def _key(doc_id: Column) -> list[Column]:
+    """Columns by which doc_id can be joined and grouped, null being like null."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("k1"), doc_id.isNull().alias("k2")]
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,19 +124,28 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs.
     Null texts count as empty. The next document is that of the next larger doc_id (after the largest: the least; null
-    is least); rows that share a doc_id share a next one, and stand for it with the least of their beginnings. Other columns are
+    is least); rows that share a doc_id share a next one, and the least of their texts stands for them. Other columns are
     not read; no rows give no rows.
+
+    Windows that lie before the edit are the text's own, and are not worked out twice.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    linked = followers(base.groupBy("doc_id").agg(F.max(quarter).alias("share")))
-    known = base.join(linked.withColumnRenamed("doc_id", "key"), F.col("doc_id").eqNullSafe(F.col("key"))).drop("key")
-    marked = append_marks(known, "text", "marks")
-    lent = marked.select(F.col("prev_id").alias("to_id"), F.struct(F.expr("substring(text, 1, prev_share)").alias("head"), short_hashes(F.col("marks")).alias("hashes")).alias("lent"))
-    first = lent.groupBy("to_id").agg(F.min("lent").alias("lent"))
-    met = known.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("to_id")))
-    n = F.length("text")
-    changed = append_marks(met, "text", "marks").select("doc_id", "marks", n.cast("long").alias("n_chars"), F.col("lent.hashes").alias("next_hashes"), F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)), substring(lent.head, 1, cast(floor(length(text) / 4) as int)))").alias("edited"))
-    both = append_marks(changed, "edited", "edited_marks")
-    sets = both.withColumn("own", hashes(F.col("marks")))
-    return sets.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _name(F.col("marks")).alias("fingerprint"), _name(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("own"), hashes(F.col("edited_marks"))).alias("near_edited"), likeness(short_hashes(F.col("marks")), F.col("next_hashes")).alias("near_next"))
+    keyed = base.select(*_key(F.col("doc_id")), "doc_id", "text")
+    linked = followers(base.select("doc_id").distinct())
+    known = keyed.join(linked.select(*_key(F.col("doc_id")), "prev_id"), ["k1", "k2"])
+    lent = known.select(*_key(F.col("prev_id")), F.col("text").alias("next_text")).groupBy("k1", "k2").agg(F.min("next_text").alias("next_text"))
+    met = keyed.join(lent, ["k1", "k2"])
+    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    sized = met.withColumns({"n_chars": n.cast("long"), "kept": n - quarter, "head": F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))"), "no": F.monotonically_increasing_id()})
+    sized = sized.withColumn("same", F.greatest(F.floor((F.col("kept") - REACH) / STRETCH), F.lit(0)).cast("int"))
+    told = sized.withColumn("sha", F.sha2(F.expr("concat(substring(text, 1, kept), head)").cast("binary"), 256))
+    cut = _with_stretches(told, {"own_s": F.col("text"), "edited_s": F.expr(f"concat(substring(text, same * {STRETCH} + 1, kept - same * {STRETCH}), head)"), "next_s": F.col("next_text")})
+    tagged = lambda side, stretches, first: F.transform(stretches, lambda s, i: F.struct(F.lit(side).alias("side"), (i + first).alias("i"), s.alias("s")))
+    about = ["k1", "k2", "no", "doc_id", "n_chars", "sha", "same"]
+    every = cut.select(*about, F.explode_outer(F.concat(tagged(0, "own_s", F.lit(0)), tagged(1, "edited_s", F.col("same")), tagged(2, "next_s", F.lit(0)))).alias("r"))
+    rows = every.select(*about, F.coalesce("r.side", F.lit(3)).alias("side"), F.coalesce("r.i", F.lit(0)).alias("i"), "r.s")
+    found = _stretch_marks(rows, [*about, "side"]).withColumn("hashes", F.transform("marks", lambda m: F.shiftright(m, 8)))
+    side = lambda which: F.array_distinct(F.flatten(F.collect_list(F.when(which, F.col("hashes")))))
+    own, tail, after = F.col("side") == 0, F.col("side") == 1, F.col("side") == 2
+    sets = found.groupBy("k1", "k2", "no").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_chars", "sha")], side(own).alias("own"), side(tail | (own & (F.col("i") < F.col("same")))).alias("edited"), side(after).alias("next"))
+    return sets.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), name(F.col("own")).alias("fingerprint"), name(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
