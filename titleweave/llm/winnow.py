@@ -18,6 +18,8 @@ from titleweave.llm.common import materialize, unused
 
 #: Code points of a hash, those of the first hashes, hashes of a window.
 K, FIRST, WINDOW = 16, 4, 16
+#: Consecutive documents that are worked on together.
+BLOCK = 64
 #: Windows of a stretch. More than 100 columns are compiled in many small methods, which is what makes them fast.
 STRETCH, CUT = 128, 16
 REACH = K + WINDOW - 2
@@ -41,7 +43,7 @@ def _stretch_marks(rows: DataFrame, kept: list[str]) -> DataFrame:
     A mark's high 56 bits are the hash, its low byte 255 less its place in the stretch. A text of fewer than K code points
     has one hash over all of them; fewer than WINDOW hashes are one window; null has no marks.
     """
-    carried = [f"`{c}`" for c in kept] + ["i"]
+    carried = [f"`{c}`" for c in kept] + ["i"]  # not text, but for one stretch of it
     n = STRETCH + REACH
     df = rows.selectExpr(*carried, "length(s) n", "(shiftleft(xxhash64(s), 8) | 255) whole", *[f"substring(s, {b * CUT + 1}, {CUT + FIRST - 1}) p{b}" for b in range(-(-n // CUT))])
     carried += ["n", "whole"]
@@ -96,27 +98,40 @@ def name(hash_set: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.xxhash64(F.sort_array(hash_set)))), 16, "0")
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """For ids(doc_id distinct): (doc_id, prev_id) of the row before in ascending doc_id, null first.
+def blocks(ids: DataFrame) -> DataFrame:
+    """(doc_id, block, at, extra) of ids(doc_id distinct): runs of BLOCK consecutive ids, null first, and each id's place.
 
-    The first row follows the last. Rows are dealt by ranges of doc_id; only one row of each range meets in one task.
+    The first id of each block stands, extra, at the end of the block before too, that of the first block at the end of the
+    last one. Ids are dealt by ranges; only one row of each range meets in one task.
     """
-    spark = ids.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(ids.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "ranges")
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first())
-    inside = dealt.withColumn("at", F.row_number().over(order)).withColumn("p", F.lag(F.struct("doc_id")).over(order))
-    ends = dealt.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("end"))
+    ranges = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = materialize(ids.repartitionByRange(ranges, first).withColumn("range", F.spark_partition_id()), "ranges")
+    placed = dealt.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(first)) - 1)
+    number = lambda r, at: F.shiftleft(r.cast("long"), 40) + F.floor(at / BLOCK)
+    ends = dealt.groupBy("range").agg((F.count("*") - 1).alias("end"))
     whole = Window.orderBy("range")  # one row for each range
-    before = ends.withColumn("b", F.lag("end").over(whole)).withColumn("b", F.coalesce("b", F.last("end").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    joined = inside.join(F.broadcast(before.select("range", F.struct(F.col("b.doc_id").alias("doc_id")).alias("b"))), "range")
-    prev = F.when(F.col("at") == 1, F.col("b")).otherwise(F.col("p"))
-    return joined.select("doc_id", prev["doc_id"].alias("prev_id"))
+    last = number(F.col("range"), F.col("end"))
+    before = ends.withColumn("b", F.coalesce(F.lag(last).over(whole), F.last(last).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("range", "b")
+    known = placed.join(F.broadcast(before), "range").withColumn("own", number(F.col("range"), F.col("at")))
+    place = lambda block, at, extra: F.struct(block.alias("block"), at.cast("long").alias("at"), F.lit(extra).alias("extra"))
+    own, again = place(F.col("own"), F.col("at"), False), place(F.when(F.col("at") == 0, F.col("b")).otherwise(F.col("own") - 1), F.lit(1 << 62), True)
+    return known.select("doc_id", F.explode(F.when(F.col("at") % BLOCK == 0, F.array(own, again)).otherwise(F.array(own))).alias("p")).select("doc_id", "p.*")
 
 
-def _key(doc_id: Column) -> list[Column]:
-    """Columns by which doc_id can be joined and grouped, null being like null."""
-    return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("k1"), doc_id.isNull().alias("k2")]
+def _hash_lists(df: DataFrame, key: list[str], stretches: str, about: Column) -> DataFrame:
+    """(key, about, parts array<struct<i, hashes>>) of df: the hashes of each of its stretches. key tells rows apart and begins
+    with the columns by which df is partitioned, so nothing moves; about goes with one stretch only.
+    """
+    rows = df.withColumn("about", about).select(*key, "about", F.posexplode_outer(stretches).alias("i", "s"))
+    once = rows.withColumns({"i": F.coalesce("i", F.lit(0)), "about": F.when(F.coalesce("i", F.lit(0)) == 0, F.col("about"))})
+    marked = _stretch_marks(once, [*key, "about"])
+    part = F.struct("i", F.transform("marks", lambda m: F.shiftright(m, 8)).alias("hashes"))
+    return marked.groupBy(*key).agg(F.first("about", ignorenulls=True).alias("about"), F.collect_list(part).alias("parts"))
+
+
+def _set(parts: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: p.hashes)))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,25 +142,24 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     is least); rows that share a doc_id share a next one, and the least of their texts stands for them. Other columns are
     not read; no rows give no rows.
 
-    Windows that lie before the edit are the text's own, and are not worked out twice.
+    Documents meet their next ones in blocks of consecutive ids, so each text is worked out once, and of its edited text
+    the windows that don't lie before the edit.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    keyed = base.select(*_key(F.col("doc_id")), "doc_id", "text")
-    linked = followers(base.select("doc_id").distinct())
-    known = keyed.join(linked.select(*_key(F.col("doc_id")), "prev_id"), ["k1", "k2"])
-    lent = known.select(*_key(F.col("prev_id")), F.col("text").alias("next_text")).groupBy("k1", "k2").agg(F.min("next_text").alias("next_text"))
-    met = keyed.join(lent, ["k1", "k2"])
-    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    sized = met.withColumns({"n_chars": n.cast("long"), "kept": n - quarter, "head": F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))"), "no": F.monotonically_increasing_id()})
+    places = blocks(base.select("doc_id").distinct()).withColumnRenamed("doc_id", "key")
+    dealt = base.join(places, F.col("doc_id").eqNullSafe(F.col("key"))).drop("key").repartition("block").withColumn("no", F.monotonically_increasing_id())
+    key = ["block", "at", "no"]
+    own = _hash_lists(_with_stretches(dealt, {"stretches": F.col("text")}), key, "stretches", F.struct("doc_id", "text", "extra"))
+    known = own.select(*key, "about.*", "parts", _set(F.col("parts")).alias("own"))
+    order = Window.partitionBy("block").orderBy("at", "text")
+    follows = known.withColumn("after", F.when(F.lead("at").over(order) > F.col("at"), F.lead(F.struct("text", "own")).over(order)))
+    met = follows.withColumn("after", F.first("after", ignorenulls=True).over(Window.partitionBy("block", "at"))).filter(~F.col("extra"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    sized = met.withColumns({"kept": F.length("text") - quarter, "head": F.expr("substring(after.text, 1, cast(floor(length(text) / 4) as int))")})
     sized = sized.withColumn("same", F.greatest(F.floor((F.col("kept") - REACH) / STRETCH), F.lit(0)).cast("int"))
-    told = sized.withColumn("sha", F.sha2(F.expr("concat(substring(text, 1, kept), head)").cast("binary"), 256))
-    cut = _with_stretches(told, {"own_s": F.col("text"), "edited_s": F.expr(f"concat(substring(text, same * {STRETCH} + 1, kept - same * {STRETCH}), head)"), "next_s": F.col("next_text")})
-    tagged = lambda side, stretches, first: F.transform(stretches, lambda s, i: F.struct(F.lit(side).alias("side"), (i + first).alias("i"), s.alias("s")))
-    about = ["k1", "k2", "no", "doc_id", "n_chars", "sha", "same"]
-    every = cut.select(*about, F.explode_outer(F.concat(tagged(0, "own_s", F.lit(0)), tagged(1, "edited_s", F.col("same")), tagged(2, "next_s", F.lit(0)))).alias("r"))
-    rows = every.select(*about, F.coalesce("r.side", F.lit(3)).alias("side"), F.coalesce("r.i", F.lit(0)).alias("i"), "r.s")
-    found = _stretch_marks(rows, [*about, "side"]).withColumn("hashes", F.transform("marks", lambda m: F.shiftright(m, 8)))
-    side = lambda which: F.array_distinct(F.flatten(F.collect_list(F.when(which, F.col("hashes")))))
-    own, tail, after = F.col("side") == 0, F.col("side") == 1, F.col("side") == 2
-    sets = found.groupBy("k1", "k2", "no").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_chars", "sha")], side(own).alias("own"), side(tail | (own & (F.col("i") < F.col("same")))).alias("edited"), side(after).alias("next"))
+    told = sized.withColumns({"sha": F.sha2(F.expr("concat(substring(text, 1, kept), head)").cast("binary"), 256), "before": _set(F.filter("parts", lambda p: p.i < F.col("same")))})
+    tail = _with_stretches(told, {"stretches": F.expr(f"concat(substring(text, same * {STRETCH} + 1, kept - same * {STRETCH}), head)")})
+    about = F.struct("doc_id", F.length("text").cast("long").alias("n_chars"), "sha", "own", "before", F.col("after.own").alias("next"))
+    done = _hash_lists(tail, key, "stretches", about)
+    sets = done.select("about.*", F.array_distinct(F.concat("about.before", _set(F.col("parts")))).alias("edited"))
     return sets.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), name(F.col("own")).alias("fingerprint"), name(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
