@@ -529,6 +529,7 @@ def test_chat_round_trip(spark):
     r = random.Random(11)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "[SEP]", "[ROLE]", "[/ROLE]", "\\", "<", "[", "]", " ", "\n", "x", "é", "😀", "[\\INST]", "<\\\\/s>", "/s>", "$1"]
     rows = [(c, t, r.choice(["user", "assistant", "system", "assistant", None, "[SEP]"]), None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randint(0, 8)))) for c in range(60) for t in range(r.randint(1, 12))]
+    rows += [(97, t, "user" if t % 3 else "assistant", f"turn {t}") for t in range(1500)]
     rows += [(None, 1, "user", "a"), (99, None, "assistant", "b"), (99, 0, "user", "c"), (98, 1, "user", "d"), (98, 1, "user", "d"), (98, 1, "assistant", "e")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, formatted string")
     by = {}

@@ -57,19 +57,26 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     merged = cut.withColumn("blocks", F.transform(F.sequence(F.lit(1), F.size("starts")), block))
     body = F.transform("blocks", lambda b: F.concat(_opening(b.role), F.array_join(b.texts, INNER), _closing(b.role)))
-    n = len(INNER)
-
-    def spans(state: Column, b: Column) -> Column:
-        first = state.at + F.length(_opening(b.role)).cast("long")
-        inside = F.aggregate(
-            b.texts,
-            F.struct(first.alias("at"), state.spans.alias("spans")),
-            lambda s, t: F.struct((s.at + F.length(t) + n).alias("at"), F.when(b.role == "assistant", F.array_append(s.spans, F.struct(s.at.alias("from"), (s.at + F.length(t)).alias("to")))).otherwise(s.spans).alias("spans")),
-        )
-        return F.struct((inside.at - n + F.length(_closing(b.role))).alias("at"), inside.spans.alias("spans"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from: bigint, to: bigint>>").alias("spans"))
-    return merged.select("conv_id", F.array_join(body, "").alias("formatted"), F.aggregate("blocks", zero, spans, lambda s: s.spans).alias("loss"))
+    # what stands before, in and behind each text
+    told = F.transform("blocks", lambda b: F.transform(b.texts, lambda t, k: F.struct(F.when(k == 0, F.length(_opening(b.role))).otherwise(len(INNER)).cast("long").alias("before"), F.length(t).cast("long").alias("n"), F.when(k == F.size(b.texts) - 1, F.length(_closing(b.role))).otherwise(0).cast("long").alias("behind"), (b.role == "assistant").alias("learnt"))))
+    sized = merged.withColumn("told", F.flatten(told)).withColumn("sizes", F.transform("told", lambda x: x.before + x.n + x.behind))
+    spans = F.zip_with("told", "ends", lambda x, end: F.when(x.learnt, F.struct((end - x.behind - x.n).alias("from"), (end - x.behind).alias("to"))))
+    return _with_ends(sized).select("conv_id", F.array_join(body, "").alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
+
+
+def _grown(sizes: Column, first: Column, after: bool) -> Column:
+    """For each of some sizes, first and those before it added up, and its own too where after."""
+    return F.aggregate(sizes, F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda s, x: F.struct((s.at + x).alias("at"), F.array_append(s.out, s.at + x if after else s.at).alias("out")), lambda s: s.out)
+
+
+def _with_ends(df: DataFrame, step: int = 256) -> DataFrame:
+    """df(sizes array<bigint>) with ends: the sums up to each size. A growing array is copied whole each time, so it is grown in
+    stretches; they are columns, as an expression in a lambda would be worked out for each element.
+    """
+    cut = df.withColumn("parts", F.transform(F.sequence(F.lit(1), F.size("sizes"), F.lit(step)), lambda i: F.slice("sizes", i, step)))
+    zero = F.lit(0).cast("long")
+    firsts = _grown(F.transform("parts", lambda p: F.aggregate(p, zero, lambda s, x: s + x)), zero, False)
+    return cut.withColumn("ends", F.flatten(F.zip_with("parts", firsts, lambda p, first: _grown(p, first, True))))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
