@@ -205,6 +205,7 @@ be as (select test_index, title_id, whole, pos, case when r > 0 then part else '
         "single_title_search": f"{BASE.replace(', ' + Q, '')}, q as (select 0 test_index, 'the and attion to thenedble the anea erinr thanea and more' s), {GRAMS}, {SCORES} select title_id, s \"match\", score prediction from rk join t using (title_id) where rn = 1",
         "delimited_round_trip": f"{b} select id test_index, title, s transformed_title from titles join (select doc_id id, split_part(text, chr(10), 1) title from documents) using (id) where id % 10 = 0",
     }
+    out["delimited_gzip_round_trip"] = out["delimited_round_trip"]
     stumps = " + ".join(f"case when {f} >= {least} then {up}::double else {down}::double end" for f, least, up, down in STUMPS)
     # all 66 features of pairs fp(test_index, title_id, a, b)
     table = f"""{WORDS}, {WDF}, {{l1}}, wi as (select distinct a whole_a, word b, i, substr(replace(a, ' ', ''), i, length(word)) a from fp join tw using (title_id), unnest(range(1, length(replace(a, ' ', '')) + 1)) u(i) where pos < 15),

@@ -139,13 +139,13 @@ def _edit(name):
     return query
 
 
-def _round_trip(spark, d):
+def _round_trip(spark, d, compression="none"):
     """Test titles written as delimited text and read again."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/titles-{uuid.uuid4().hex}"
-    titles.write_delimited(_test(spark, d).select("test_index", F.col("title").alias("name")), path)
+    titles.write_delimited(_test(spark, d).select("test_index", F.col("title").alias("name")), path, compression=compression)
     return titles.read_delimited(spark, path, "test").select("test_index", "title", "transformed_title")
 
 
@@ -198,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "accuracy_report": _accuracy,
         "single_title_search": lambda s, d: cascade.search_title(s, "The and attion to thenedble the anea, erinr thanea and more", _truth(s, d)),
         "delimited_round_trip": _round_trip,
+        "delimited_gzip_round_trip": lambda s, d: _round_trip(s, d, "gzip"),
         "model_predictions": _model_predictions,
         "frozen_model_predictions": lambda s, d: cascade.generate_predictions(cascade_test(s, d), _truth(s, d), frozen_model),
         "frozen_model_evaluation": _frozen_evaluation,

@@ -63,10 +63,10 @@ def single_title(spark: SparkSession, title: str, config: Config = DEFAULT) -> D
     return with_derived(spark.createDataFrame([(0, title.strip())], "test_index long, title string"), config)
 
 
-def write_delimited(df: DataFrame, path: str, order: str = "test_index", config: Config = DEFAULT, single_file: bool = False) -> None:
+def write_delimited(df: DataFrame, path: str, order: str = "test_index", config: Config = DEFAULT, single_file: bool = False, compression: str = "none") -> None:
     """Sorted by order: a folder of parts in order, or one part, for results small enough to be a single file."""
     ordered = df.coalesce(1).sortWithinPartitions(order) if single_file else df.orderBy(order)
-    ordered.write.options(**FORMAT).csv(path, sep=config.delimiter, header=True, mode="overwrite")
+    ordered.write.options(**FORMAT).csv(path, sep=config.delimiter, header=True, mode="overwrite", compression=compression)
 
 
 def first_lines(spark: SparkSession, sf_dir: str, config: Config = DEFAULT) -> DataFrame:
