@@ -50,9 +50,8 @@ def number_of_words(transformed: Column) -> Column:
 
 
 def n_grams(transformed: Column, n: int = DEFAULT.n_grams) -> Column:
-    """Distinct character n-grams; none for a text shorter than n."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(transformed) - n + 1, F.lit(1))), lambda i: F.substring(transformed, i, F.lit(n)))
-    return F.when(F.length(transformed) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams; none for a text shorter than n. No lambda, in which a text would be worked out for each."""
+    return F.array_distinct(F.regexp_extract_all(transformed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def encode_title(transformed: Column) -> Column:

@@ -207,27 +207,33 @@ be as (select test_index, title_id, whole, pos, case when r > 0 then part else '
     }
     out["delimited_gzip_round_trip"] = out["delimited_round_trip"]
     stumps = " + ".join(f"case when {f} >= {least} then {up}::double else {down}::double end" for f, least, up, down in STUMPS)
-    # all 66 features of pairs fp(test_index, title_id, a, b)
-    table = f"""{WORDS}, {WDF}, {{l1}}, wi as (select distinct a whole_a, word b, i, substr(replace(a, ' ', ''), i, length(word)) a from fp join tw using (title_id), unnest(range(1, length(replace(a, ' ', '')) + 1)) u(i) where pos < 15),
-{{l2}}, br as (select whole_a, wi.b word, wi.a part, cast(floor({ratio('wi.a', 'wi.b', 'lcs')}) as integer) r, i from wi join fl2 using (a, b)),
+    kinds = {"best": "best", "length": "len", "idf": "idf", "rank": "rnk"}
+    spread = lambda some: ", ".join(f"coalesce(max({kinds[k]}) filter (pos = {i - 1}), -1)::double {k}_{i}" for k in some for i in range(1, 16))
+    names_of = lambda some: ", ".join(f"{k}_{i}" for k in some for i in range(1, 16))
+    plain = f"length(fp.a)::double title_chars, length(fp.b)::double truth_chars, len(string_split(fp.a, ' '))::double title_words, len(string_split(fp.b, ' '))::double truth_words, floor({ratio('fp.a', 'fp.b', 'fl1.lcs')}) ratio"
+    # features of pairs fp(test_index, title_id, a, b): those of words and lengths, and with the stretches of words all 66
+    lean = f"""{WORDS}, {WDF}, {lcs("fp", "fl1")},
+fw as (select test_index, title_id, pos, length(word) len, ln((select count(*) from t) * 1.0e0 / df) idf, len(string_split(fp.b, ' ')) n from fp join tw using (title_id) join wdf using (word) where pos < 15),
+fx as (select *, 1 + (max(idf) over (partition by test_index, title_id) - idf) / n rnk from fw),
+fr as (select test_index, title_id, {spread(("length", "idf", "rank"))} from fx group by all),
+feat as (select fp.test_index, fp.title_id, {plain}, {names_of(("length", "idf", "rank"))} from fp join fl1 on fl1.a = fp.a and fl1.b = fp.b join fr on fr.test_index = fp.test_index and fr.title_id = fp.title_id)"""
+    table = f"""{WORDS}, {WDF}, {lcs("fp", "fl1")}, wi as (select distinct a whole_a, word b, i, substr(replace(a, ' ', ''), i, length(word)) a from fp join tw using (title_id), unnest(range(1, length(replace(a, ' ', '')) + 1)) u(i) where pos < 15),
+{lcs("wi", "fl2")}, br as (select whole_a, wi.b word, wi.a part, cast(floor({ratio('wi.a', 'wi.b', 'lcs')}) as integer) r, i from wi join fl2 using (a, b)),
 be as (select whole_a, word, case when r > 0 then part else ' ' end part, r from (select *, row_number() over (partition by whole_a, word order by r desc, i) k from br) where k = 1),
 fw as (select test_index, title_id, fp.a, fp.b, pos, length(word) len, ln((select count(*) from t) * 1.0e0 / df) idf, coalesce(be.r, 0) best, coalesce(be.part, ' ') part, len(string_split(fp.b, ' ')) n from fp join tw using (title_id) join wdf using (word) left join be on be.whole_a = fp.a and be.word = tw.word where pos < 15),
 fx as (select *, 1 + (max(idf) over (partition by test_index, title_id) - idf) / n rnk from fw),
-fr as (select test_index, title_id, b, string_agg(part, ' ' order by pos) a, {{wide}} from fx group by all),
-{{l3}}, feat as (select fp.test_index, fp.title_id, length(fp.a)::double title_chars, length(fp.b)::double truth_chars, len(string_split(fp.a, ' '))::double title_words, len(string_split(fp.b, ' '))::double truth_words, floor({ratio('fp.a', 'fp.b', 'fl1.lcs')}) ratio, floor({ratio('fr.a', 'fr.b', 'fl3.lcs')}) rebuilt_ratio, {{names}}
+fr as (select test_index, title_id, b, string_agg(part, ' ' order by pos) a, {spread(kinds)} from fx group by all),
+{lcs("fr", "fl3")}, feat as (select fp.test_index, fp.title_id, {plain}, floor({ratio('fr.a', 'fr.b', 'fl3.lcs')}) rebuilt_ratio, {names_of(kinds)}
   from fp join fl1 on fl1.a = fp.a and fl1.b = fp.b join fr on fr.test_index = fp.test_index and fr.title_id = fp.title_id join fl3 on fl3.a = fr.a and fl3.b = fr.b)"""
-    kinds = {"best": "best", "length": "len", "idf": "idf", "rank": "rnk"}
-    wide = ", ".join(f"coalesce(max({c}) filter (pos = {i - 1}), -1)::double {k}_{i}" for k, c in kinds.items() for i in range(1, 16))
-    wide_names = ", ".join(f"{k}_{i}" for k in kinds for i in range(1, 16))
-    table = table.format(l1=lcs("fp", "fl1"), l2=lcs("wi", "fl2"), l3=lcs("fr", "fl3"), wide=wide, names=wide_names)
+    wide_names = names_of(kinds)
     scored = f"mp as (select test_index, title_id, 1 / (1 + exp(-({stumps}))) p from feat)"
-    rest = f"fp as (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= {TOP} and test_index not in (select test_index from ex) and test_index not in (select test_index from nr))"
+    rest = f"fp as materialized (select test_index, title_id, q.s a, t.s b from rk join q using (test_index) join t using (title_id) where rn <= {TOP} and test_index not in (select test_index from ex) and test_index not in (select test_index from nr))"
     model = f"mm as (select test_index, max(title_id) title_id from (select *, rank() over (partition by test_index order by p desc) k from mp where p > 0.9) where k = 1 group by test_index having count(*) = 1)"
     cascade = FINAL[: FINAL.index(", fin as (")]
     rounded = ", ".join(f"round({c}, 6) {c}" for c in [*("title_chars truth_chars title_words truth_words ratio rebuilt_ratio".split()), *wide_names.split(", ")])
-    out["pair_feature_table"] = f"{near3}, fp as (select * from p3), {table} select test_index, title_id, {rounded} from feat"
-    out["frozen_model_predictions"] = f"{cascade}, {rest}, {table}, {scored}, {model} select coalesce(ex.title_id, nr.title_id, mm.title_id, -1) title_id, test_index from q left join ex using (test_index) left join nr using (test_index) left join mm using (test_index)"
-    out["frozen_model_evaluation"] = f"""{TRAINING}, {EVALUATED}, fp as (select row_number() over () test_index, title a, truth_title b, title_id, target, is_eval from ev), {table}, {scored},
+    out["pair_feature_table"] = f"{near3}, fp as materialized (select * from p3), {table} select test_index, title_id, {rounded} from feat"
+    out["frozen_model_predictions"] = f"{cascade}, {rest}, {lean}, {scored}, {model} select coalesce(ex.title_id, nr.title_id, mm.title_id, -1) title_id, test_index from q left join ex using (test_index) left join nr using (test_index) left join mm using (test_index)"
+    out["frozen_model_evaluation"] = f"""{TRAINING}, {EVALUATED}, fp as materialized (select row_number() over () test_index, title a, truth_title b, title_id, target, is_eval from ev), {lean}, {scored},
 sc2 as (select is_eval, p, target y from fp join mp using (test_index, title_id)),
 au as (select is_eval, sum(up * (below + down / 2)) / (sum(up)::double * sum(down)) area from (select *, coalesce(sum(down) over (partition by is_eval order by p rows between unbounded preceding and 1 preceding), 0) below from (select is_eval, p, count(*) filter (y = 1) up, count(*) filter (y = 0) down from sc2 group by is_eval, p)) group by is_eval)
 select is_eval, count(*) filter (p > 0.9 and y = 1) true_positives, count(*) filter (p <= 0.9 and y = 0) true_negatives, count(*) filter (p > 0.9 and y = 0) false_positives, count(*) filter (p <= 0.9 and y = 1) false_negatives, count(*) filter (p <= 0.9 and y = 1) + {BETA}::double * count(*) filter (p > 0.9 and y = 0) custom_error, any_value(au.area) area from sc2 join au using (is_eval) group by is_eval"""
