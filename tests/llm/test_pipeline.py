@@ -53,12 +53,30 @@ def test_stages(spark, small):
     assert {r["doc_id"] for r in ran.collect()} == set(after)
 
 
-def test_stages_with_awkward_rows(spark, small):
+def test_tables_on_the_way_go(spark, small):
+    from pathlib import Path
+
+    from titleweave.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "titleweave"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = corpus_pipeline.run(spark, small)
+    assert out.count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["stage-4"]
+
+
+@pytest.mark.parametrize("lang", [None, "xx"])
+def test_stages_with_awkward_rows(spark, small, lang):
+    from pyspark.sql import functions as F
+
     for rows in (awkward(), []):
-        docs = make(spark, rows) if rows else spark.createDataFrame([], SCHEMA)
+        docs = (make(spark, rows) if rows else spark.createDataFrame([], SCHEMA)).withColumn("lang", F.lit(lang))
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            if k:  # nothing to learn a language from
-                out = stage(spark, docs, small)
-                assert out.count() <= len(rows)
-                if k < 4:
-                    assert out.columns == docs.columns
+            out = stage(spark, docs, small)
+            kept = [(r["doc_id"], r["text"]) for r in out.collect()] if k == 0 else None
+            assert out.count() <= len(rows)
+            if k < 4:
+                assert out.columns == docs.columns
+            if k == 0:  # without a language to learn all are undetermined; with one, every text that has a letter is kept
+                want = [(i, t) for i, t in rows if lang and t and any(c.isalpha() for c in t)]
+                assert sorted(kept, key=str) == sorted(want, key=str)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -102,6 +103,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._titleweave_path = path
+    if (made := getattr(_making, "tables", None)) is not None:
+        made.append(out)
+    return out
+
+
+_making = threading.local()
+
+
+def written(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """materialize(make(), label); the tables that make() has written on the way go, as nothing reads them any more."""
+    before, _making.tables = getattr(_making, "tables", None), []
+    try:
+        out = materialize(make(), label)
+        for other in _making.tables[:-1]:
+            discard(other)
+    finally:
+        _making.tables = before
     return out
 
 
