@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleweave.llm import bpe, decontam, langid, linededup, simhash
-from titleweave.llm.common import materialize, table, unused
+from titleweave.llm.common import discard, table, unused, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; each one's rows are written to the shared folder as Parquet and read again."""
+    """All stages over sf_dir's documents; each one's rows are written to the shared folder as Parquet and read again.
+
+    What a stage reads and what it has written on the way goes when its own rows are there.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else materialize(out, f"stage-{k + 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
