@@ -19,11 +19,12 @@ from zlib import crc32
 import numpy as np
 
 MAGIC = b"TWRC\x01"
-BLOCK, LANES = 4096, 384
+BLOCK, LANES = 4096, 1024
 SYMBOLS, STEP = 1 << 16, 64  # order-0: alphabet, and what an id's frequency gains each time
 ORDER2, ORDER1, SURE = 13, 12, 15  # bits of the context tables; the highest confidence
 TOP, BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
 EIGHT = np.uint64(8)
+PLACES = np.arange(64, dtype=np.uint16)
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64)
 
@@ -32,9 +33,9 @@ class _Model:
     """The state of n blocks side by side; every method takes the lanes it is about."""
 
     def __init__(self, n: int):
-        self.tree = np.tile(np.concatenate([[0], np.arange(1, SYMBOLS + 1) & -np.arange(1, SYMBOLS + 1)]).astype(np.uint32), n)
-        self.base = np.arange(n) * (SYMBOLS + 1)
+        # order 0: how often each id came, and frequencies of runs of 32 ids and of 1,024
         self.count = np.zeros(n * SYMBOLS, np.uint16)
+        self.low, self.mid, self.top = self.count.reshape(n, -1, 32), np.full((n, 64, 32), 32, np.int32), np.full((n, 64), 1024, np.int32)
         self.cbase = np.arange(n) * SYMBOLS
         self.total = np.full(n, SYMBOLS, np.int64)
         self.id2, self.sure2 = np.zeros(n << ORDER2, np.uint16), np.zeros(n << ORDER2, np.uint8)
@@ -86,31 +87,28 @@ class _Model:
 
     def below(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order 0's frequency of all smaller ids, and of the ids."""
-        base, i, s = self.base[lane], ids.copy(), np.zeros(len(ids), np.int64)
-        while i.any():
-            s += self.tree[base + i]
-            i &= i - 1
-        return s, 1 + STEP * self.count[self.cbase[lane] + ids].astype(np.int64)
-
-    def find(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
-        base, at, left = self.base[lane], np.zeros(len(lane), np.int64), value.copy()
-        for k in range(15, -1, -1):
-            f = self.tree[base + at + (1 << k)]
-            take = f <= left
-            left -= np.where(take, f, 0)
-            at += take << k
-        return at
+        a, c = ids >> 10, ids & 31
+        seen = self.low[lane, ids >> 5]
+        s = (self.top[lane] * (PLACES < a[:, None])).sum(1) + (self.mid[lane, a] * (PLACES[:32] < (ids >> 5 & 31)[:, None])).sum(1)
+        return s + c + STEP * (seen * (PLACES[:32] < c[:, None])).sum(1, dtype=np.int64), 1 + STEP * seen[self.lane[: len(c)], c].astype(np.int64)
+
+    def find(self, lane: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at which order 0's frequencies add up to value, and below() of them."""
+        row, left, out = self.lane[: len(lane)], value, 0
+        for level in (lambda: self.top[lane], lambda: self.mid[lane, out], lambda: 1 + STEP * self.low[lane, out].astype(np.int32)):
+            size = level()
+            ends = np.cumsum(size, 1, dtype=np.int32)
+            at = (ends <= left[:, None]).sum(1)
+            left, size = left - ends[row, at] + size[row, at], size[row, at]
+            out = out * 32 + at
+        return out, value - left, size.astype(np.int64)
 
     def saw(self, k: int, ids: np.ndarray) -> None:
         """Learn the first k lanes' ids."""
-        lane, base, i = self.lane[:k], self.base[:k], ids + 1
+        lane = self.lane[:k]
         self.count[self.cbase[:k] + ids] += 1
-        while len(i):
-            self.tree[base + i] += STEP
-            i = i + (i & -i)
-            inside = i <= SYMBOLS
-            if not inside.all():
-                i, base = i[inside], base[inside]
+        self.mid[lane, ids >> 10, ids >> 5 & 31] += STEP
+        self.top[lane, ids >> 10] += STEP
         self.total[lane] += STEP
         for at, table, sure, was, conf in ((self.at2, self.id2, self.sure2, self.c2, self.s2), (self.at1, self.id1, self.sure1, self.c1, self.s1)):
             right = was == ids
@@ -231,8 +229,7 @@ def _decode(data: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
                 wrong = rest[~found[rest]]
             if len(wrong):
                 v, r = c.value(wrong, m.total[wrong])
-                own = m.find(wrong, v)
-                below, size = m.below(wrong, own)
+                own, below, size = m.find(wrong, v)
                 c.narrow(wrong, below, size, r)
                 ids[wrong] = own
         grid[:k, t] = ids
