@@ -697,3 +697,18 @@ def test_new_columns_replace_those_of_their_name(docs):
 
     out = append_columns(docs, lambda: lambda texts: [list(range(len(texts)))], [("score", IntegerType())])
     assert sorted(out.columns) == sorted(docs.columns) and out.count() == len(awkward())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from titleweave.llm.common import shared_dir
+
+    spark = MagicMock()
+    spark.conf.get.return_value = spark.sparkContext.getConf().get.return_value = None
+    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    spark.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_dir(spark)
+    spark.conf.get.return_value = "hdfs:///shared"
+    assert shared_dir(spark) == "hdfs:///shared"
