@@ -176,6 +176,8 @@ def test_cascade_covers_every_row_once(spark):
     got = {r["test_index"]: r["title_id"] for r in cascade.generate_predictions(test, truth).collect()}
     assert got == {10: 2, 70: 3, 30: -1, 5: -1}
     assert cascade.search_title(spark, "Some Other Company Name", truth).first().asDict() == {"title_id": 3, "match": "some other company name", "prediction": 1.0}
+    twice = cascade.generate_predictions(test.union(test), truth).collect()
+    assert sorted((r["test_index"], r["title_id"]) for r in twice) == sorted(2 * list(got.items()))
     with pytest.raises(ValueError):
         cascade.search_title(spark, "  ", truth)
     assert cascade.generate_predictions(test.limit(0), truth).count() == 0

@@ -53,8 +53,10 @@ def near_exact_matches(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def final_output(test: DataFrame, *predictions: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(title_id, test_index) of every test row: the first prediction(test_index, title_id) that has it, or not found."""
-    out = test.select("test_index", F.lit(None).cast("long").alias("title_id"))
+    """(title_id, test_index) of every test row: its own title_id where it has one, or that of the first
+    prediction(test_index, title_id) that has the row, or not found. A prediction has each test_index once.
+    """
+    out = test.select("test_index", F.col("title_id") if "title_id" in test.columns else F.lit(None).cast("long").alias("title_id"))
     for p in predictions:
         own = p.select("test_index", F.col("title_id").alias("__own"))
         out = out.join(own, "test_index", "left").select("test_index", F.coalesce("title_id", "__own").alias("title_id"))

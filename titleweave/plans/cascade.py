@@ -41,22 +41,21 @@ def model_matches(pairs: DataFrame, truth: DataFrame, model: Model, n: int, conf
 
 
 def generate_predictions(test: DataFrame, truth: DataFrame, model: Model | None = None, config: Config = DEFAULT, index: Index | None = None) -> DataFrame:
-    """(title_id, test_index): every test row once. Each stage sees only rows that none before it has matched.
+    """(title_id, test_index): every test row once. Each stage sees only rows that none before it has matched; repeated rows
+    are searched once and each give a row.
 
     Without a model the cascade ends after the near-exact stage. With one, the candidates, which two stages read, are kept.
     """
     index = index or build_index(truth, config.n_grams)
     exact = with_exact(test, truth).select("test_index", "transformed_title", "title_id")
-    pairs = closest_pairs(exact.filter("title_id is null"), index, config.top_n_predicting)
+    pairs = closest_pairs(exact.filter("title_id is null").distinct(), index, config.top_n_predicting)
     if model is not None:
         pairs = pairs.persist()
     near = near_exact_matches(pairs, config)
     found = [near]
     if model is not None:
         found.append(model_matches(remaining(pairs, near), truth, model, index.n, config))
-    rest = final_output(exact.drop("title_id"), *found, config=config)
-    done = exact.select("test_index", F.col("title_id").alias("__exact"))
-    return rest.join(done, "test_index").select(F.coalesce("__exact", "title_id").alias("title_id"), "test_index")
+    return final_output(exact, *found, config=config)
 
 
 def search_title(spark: SparkSession, title: str, truth: DataFrame, model: Model | None = None, config: Config = DEFAULT, index: Index | None = None) -> DataFrame:
