@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import time
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,6 +155,42 @@ def test_range_coder_round_trip_and_checksums():
         rangecoder.compress(np.array([70_000]))
 
 
+def test_range_coder_learns_across_blocks_and_is_quick():
+    r = np.random.default_rng(3)
+    ids = r.permutation(5000)[np.minimum(r.geometric(0.002, 400_000), 4999)]
+    ids[200_000:] = np.tile(ids[:2_000], 100)  # stretches that come in other blocks again
+    before = time.process_time()
+    blob = rangecoder.compress(ids)
+    assert (rangecoder.decompress(blob) == ids).all()
+    assert time.process_time() - before < 3  # CPU seconds; with tables of each block's own it took 11.8
+    assert len(blob) < 400_000
+    for at in (-1, -2, len(blob) // 2, 30):
+        bad = bytearray(blob)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            rangecoder.decompress(bytes(bad))
+    with pytest.raises(ValueError):
+        rangecoder.decompress(blob[:-9])
+
+
+@pytest.mark.parametrize("cache", [10, 100_000])
+def test_words_are_those_of_the_library(monkeypatch, cache):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "CACHE_SIZE", cache)
+    with open(tokenfile.default_vocabulary(), encoding="utf-8") as f:
+        told = f.read()
+    t, words, r = Tokenizer.from_str(told), tokenfile.Words(told), random.Random(4)
+    bits = ["The", "the.", "THE!?", "don't", "'s.", "x'LL,", "<|endoftext|>", "<|ENDOFTEXT|>.", "a<|endoftext|>b", "e.g.", "1st.", "a-1", "É", "É!", "naïve,", "E\u0301.", "\u0130.", "ΣΑΣ.", "中.", "ª.", "a\x1cb", "\x85", "\u3000x", "a\u0338", "a=\u0338", "<", "a<b", "!" * 70, "ab" + "!" * 70, "A" * 70 + ".", "q" * 3000]
+    texts = [None, "", " ", " a ", *("".join(r.choice(bits) + r.choice([" ", "\n", "\t ", "\x0b", "\x0c", ""]) for _ in range(12)) for _ in range(400))]
+    for k in range(0, len(texts), 101):
+        some = texts[k : k + 101]
+        ids, sizes = words.encode(pa.array(some, pa.string()), [2])
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in some]
+        assert len(words.starts) == len(words.rows) + 1 and not any(len(w) > tokenfile.CACHED for w in words.rows)
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -7,21 +7,34 @@ are ordered by (shard, chunk).
 
 from __future__ import annotations
 
+import re
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from titleweave.llm.common import fresh_path, held, texts_in
+from titleweave.llm.common import fresh_path, held, texts_in, trim
 from titleweave.llm.rangecoder import BLOCK, LANES, compress, decompress
 
 END = 2
 #: Ids that make a chunk full; a longer document is a chunk by itself.
 CHUNK = BLOCK * LANES
-#: Words remembered by a Python worker; longer ones than CACHED bytes are encoded each time.
-CACHE_SIZE, CACHED = 200_000, 64
+#: Words remembered by a Python worker; longer ones than CACHED bytes are encoded each time. Bytes of text split at a time.
+CACHE_SIZE, CACHED, STEP = 800_000, 64, 8 << 20
+#: With the steps of FOLDS and PARTS before its model, a vocabulary sees these letters in lower case, and never as one with the TAIL
+#: characters after them.
+LETTERS, TAIL = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+EACH = "".join(chr(i) for i in range(256) if re.match(f"[{LETTERS}]", chr(i)))
+FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Words of printable ASCII without what begins a contraction or an added token, and their parts.
+ASCII, PIECES = re.compile(rb"[!-&(-;=-~]+").fullmatch, re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 def default_vocabulary() -> str:
@@ -30,48 +43,121 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """Ids (as little-endian unsigned 32-bit bytes) by word, made by the tokenizers library.
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin at starts, in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Words:
+    """Ids by word, made by the tokenizers library; texts are split and put together in Arrow and numpy.
 
     The vocabulary's pre-tokenizer must drop white space, so that no token crosses it and a text's ids are those of its words in
-    turn; a vocabulary of which that isn't true is refused.
+    turn; a vocabulary of which that isn't true is refused. Where the vocabulary has the steps of FOLDS and PARTS, a word of LETTERS
+    is remembered in lower case and apart from the TAIL after it, and other words of printable ASCII by their parts.
     """
 
     def __init__(self, vocabulary: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if ids(" a \t\n b\x0b\x0c\r") != ids("a") + ids("b"):
             raise ValueError("the vocabulary's tokens cross white space")
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [x.split() if x else [] for x in texts]
-        every = set().union(*words)
-        long = {w for w in every if len(w) > CACHED}
-        new = every - self.keys() - long
-        if len(self) + len(new) > CACHE_SIZE:
+        told = json.loads(vocabulary)
+        first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        apart = (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": PARTS}, "Removed", True)
+        marks = all("<" in x["content"] for x in told.get("added_tokens") or [])
+        self.folds = apart and marks and (told.get("normalizer") or {}).get("normalizers") == FOLDS
+        self.clear()
+
+    def clear(self) -> None:
+        """rows: a word's row; a row's ids are those of pool from its start to the next one's."""
+        self.rows, self.pool, self.starts = {b"": 0}, np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def encode(self, texts: pa.Array, last: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in turn, each followed by last, and how many are whose."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        each = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        kinds = coded.dictionary
+        stem = pc.ascii_rtrim(kinds, characters=TAIL)
+        plain = pc.match_substring_regex(stem, f"^[{LETTERS}]+$") if self.folds else pa.array(np.zeros(len(kinds), bool))
+        parts = [pc.utf8_lower(stem.filter(plain)), pc.utf8_ltrim(kinds.filter(plain), characters=EACH), kinds.filter(pc.invert(plain))]
+        parts = [x.dictionary_encode() for x in parts]
+        keys = [x.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist() for x in parts]
+        long = self.learn(*keys)
+        rows, at = np.zeros((len(kinds), 2), np.int64), plain.to_numpy(zero_copy_only=False)
+        for (lane, side), own, x in zip(((at, 0), (at, 1), (~at, 0)), keys, parts, strict=True):
+            rows[lane, side] = np.fromiter(map(self.rows.__getitem__, own), np.int64, len(own))[x.indices.to_numpy()]
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        own = np.append(self.pool[_spread(self.starts[rows].ravel(), sizes.ravel())], np.array(last, np.uint32))
+        if long:
+            self.forget(long)
+        ends = np.cumsum(np.append(sizes.sum(1), len(last)))
+        lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), own)
+        word = np.insert(coded.indices.to_numpy(), np.cumsum(each), len(kinds))  # last is one more kind, after each text
+        found = lists.take(pa.array(word))
+        return found.flatten().to_numpy(), np.diff(found.offsets.to_numpy()[np.cumsum(each + 1)], prepend=0).astype(np.int64)
+
+    def learn(self, stems: list[bytes], tails: list[bytes], others: list[bytes]) -> list[bytes]:
+        """Rows for words. Returns those to forget after use, whose rows are the last."""
+        if len(self.rows) + sum(w not in self.rows for x in (stems, tails, others) for w in x) > CACHE_SIZE:
             self.clear()
-            new = every - long
-        self.learn(list(new))
-        self.learn(list(long))
-        try:
-            return [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in words]
-        finally:
-            for w in long:
-                del self[w]
-
-    def learn(self, words: list[bytes]) -> None:
+        long = list({w for x in (stems, tails, others) for w in x if len(w) > CACHED})
+        self.add(self.together([w for w in stems if w not in self.rows and len(w) <= CACHED]))
+        self.add(self.apart([w for w in tails if w not in self.rows and len(w) <= CACHED]))
+        others = [w for w in others if w not in self.rows and len(w) <= CACHED]
+        taken = [w for w in others if self.folds and ASCII(w)]
+        if taken:
+            split = [PIECES(w.lower()) for w in taken]
+            new = set().union(*split) - self.rows.keys()
+            self.add(self.apart([w for w in new if not w.isalpha()]))
+            self.add(self.together([w for w in new if w.isalpha()]))
+            ids = {w: self.pool[self.starts[i] : self.starts[i + 1]].tolist() for w in set().union(*split) for i in (self.rows[w],)}
+            self.add([(w, [i for x in own for i in ids[x]]) for w, own in zip(taken, split, strict=True) if w not in self.rows])
+        self.add(self.apart([w for w in others if w not in self.rows]))
+        self.add(self.apart(long))
+        return long
+
+    def add(self, found: list[tuple[bytes, list[int]]]) -> None:
+        if found:
+            sizes = [len(x) for _, x in found]
+            self.rows.update(zip((w for w, _ in found), range(len(self.starts) - 1, len(self.starts) - 1 + len(found)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(x for _, x in found), np.uint32, sum(sizes))])
+
+    def forget(self, words: list[bytes]) -> None:
+        for w in words:
+            del self.rows[w]
+        self.starts = self.starts[: len(self.starts) - len(words)]
+        self.pool = self.pool[: self.starts[-1]]
+
+    def apart(self, words: list[bytes]) -> list[tuple[bytes, list[int]]]:
+        found = []
         for k in range(0, len(words), 10_000):
             some = words[k : k + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self[word] = np.array(e.ids, "<u4").tobytes()
+            found += zip(some, (e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)), strict=True)
+        return found
+
+    def together(self, words: list[bytes]) -> list[tuple[bytes, list[int]]]:
+        """Of words of letters, each of which is one word to the library, too."""
+        found = []
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            e = self.tokenizer.encode(b" ".join(some).decode("utf-8"), add_special_tokens=False)
+            ids, whose = e.ids, np.array(e.word_ids)
+            cuts = np.searchsorted(whose, np.arange(len(some) + 1)).tolist()
+            if len(some) != whose[-1] + 1:
+                raise ValueError("the vocabulary takes words apart that it was not to")
+            found += [(w, ids[i:j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False)]
+        return found
 
 
 def words_of(vocabulary: str) -> Words:
@@ -97,23 +183,33 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         encoder, shard, chunk = words_of(told.value), TaskContext.get().partitionId(), 0
         names, sizes, parts, total = [], [], [], 0
-        last = np.array([] if end is None else [end], "<u4")
+        last = [] if end is None else [end]
 
         def blob():
             columns = [pa.array([shard]), pa.array([chunk]), pa.array([total]), pa.array([names], pa.list_(arrow_id) if arrow_id else None), pa.array([sizes], pa.list_(pa.int64())), pa.array([compress(np.concatenate(parts))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "chunk", "n_ids", "doc_ids", "sizes", "data"])
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary())
-            for k in range(0, len(ids), 256):
-                for doc_id, own in zip(ids[k : k + 256], encoder.encode(texts.slice(k, 256).to_pylist()), strict=True):
-                    if total and total + len(own) + len(last) > CHUNK:
+            took = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // STEP
+            cuts = [0, *(np.flatnonzero(np.diff(took)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                ids, texts = b.column(0).slice(start, stop - start).to_pylist(), b.column(1).slice(start, stop - start)
+                own, own_sizes = encoder.encode(texts, last)
+                ends = np.cumsum(own_sizes)
+                i = done = 0
+                while i < len(ids):
+                    j = int(np.searchsorted(ends, done + CHUNK - total, "right"))
+                    if j <= i and total:
                         yield blob()
                         names, sizes, parts, total, chunk = [], [], [], 0, chunk + 1
-                    names.append(doc_id)
-                    sizes.append(len(own) + len(last))
-                    parts += [own, last]
-                    total += sizes[-1]
+                        continue
+                    j = max(j, i + 1)
+                    names += ids[i:j]
+                    sizes += own_sizes[i:j].tolist()
+                    parts.append(own[done : ends[j - 1]])
+                    total += int(ends[j - 1]) - done
+                    i, done = j, int(ends[j - 1])
+            trim()
         if names:
             yield blob()
 
@@ -137,9 +233,10 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 if ends[-1] != len(found):
                     raise ValueError("a chunk's sizes don't fit its ids")
                 parts = [found[e - n : e] for e, n in zip(ends.tolist(), sizes, strict=True)]
-                columns = [pa.array(names, b.schema.field(2).type.value_type), pa.array([shard] * len(names)), pa.array([chunk] * len(names)), pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()), pa.array([crc32(x.tobytes()) for x in parts], pa.int64())]
+                columns = [pa.array(names, b.schema.field(2).type.value_type), pa.array([shard] * len(names)), pa.array([chunk] * len(names)), pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()), pa.array([crc32(x) for x in parts], pa.int64())]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found.astype(np.int32))))
+                trim()
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "chunk", "at", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
     return chunks.select("shard", "chunk", "doc_ids", "sizes", "data").mapInArrow(run, fields)
