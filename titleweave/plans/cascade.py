@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleweave.config import DEFAULT, Config
-from titleweave.operators.candidates import Index, build_index, closest_pairs
+from titleweave.operators.candidates import Index, build_index, closest_pairs, near_pairs
 from titleweave.operators.evaluate import evaluation
 from titleweave.operators.matching import exact_matches, final_output, near_exact_matches, near_ratio, remaining, unique_argmax, with_exact
 from titleweave.operators.training import Model, evaluation_split, feature_table, predict, train_model, training_pairs
@@ -29,7 +29,12 @@ def evaluate_model(model: Model, pairs: DataFrame, truth: DataFrame, n: int, con
     """(true_positives, true_negatives, false_positives, false_negatives, custom_error, area) of a model, one row for the
     evaluation rows of pairs (is_eval) and one for the others.
     """
-    scored = predict(model, feature_table(pairs, truth, n, config)).select("is_eval", F.col("prediction").alias("p"), F.col("target").alias("y"))
+    return evaluate_table(model, feature_table(pairs, truth, n, config), config)
+
+
+def evaluate_table(model: Model, table: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """evaluate_model() of a feature table that is there."""
+    scored = predict(model, table).select("is_eval", F.col("prediction").alias("p"), F.col("target").alias("y"))
     return evaluation(scored, config)
 
 
@@ -44,17 +49,18 @@ def generate_predictions(test: DataFrame, truth: DataFrame, model: Model | None
     """(title_id, test_index): every test row once. Each stage sees only rows that none before it has matched; repeated rows
     are searched once and each give a row.
 
-    Without a model the cascade ends after the near-exact stage. With one, the candidates, which two stages read, are kept.
+    Without a model the cascade ends after the near-exact stage. With one, candidates of all that is left are searched; the
+    near-exact matches, which tell what that is, are kept.
     """
     index = index or build_index(truth, config.n_grams)
-    exact = with_exact(test, truth).select("test_index", "transformed_title", "title_id")
-    pairs = closest_pairs(exact.filter("title_id is null").distinct(), index, config.top_n_predicting)
-    if model is not None:
-        pairs = pairs.persist()
-    near = near_exact_matches(pairs, config)
+    exact = with_exact(test, truth).select("test_index", "transformed_title", "title_id").persist()
+    rest = exact.filter("title_id is null").distinct()
+    near = near_exact_matches(near_pairs(rest, index, config.top_n_predicting, config.ratio_threshold), config)
     found = [near]
     if model is not None:
-        found.append(model_matches(remaining(pairs, near), truth, model, index.n, config))
+        found[0] = near = near.persist()
+        pairs = closest_pairs(remaining(rest, near), index, config.top_n_predicting)
+        found.append(model_matches(pairs, truth, model, index.n, config))
     return final_output(exact, *found, config=config)
 
 
