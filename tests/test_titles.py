@@ -357,3 +357,14 @@ def test_positional_search_takes_the_k_best_and_their_ties_from_each_cell():
         assert sorted(got.tolist()) == sorted(every[whole >= kth - 2].tolist()) and len(got) >= 10
         floor = cell.search(q, 10, int(kth) + 1)
         assert sorted(floor[1].tolist()) == sorted(whole[whole > kth].tolist())
+
+
+def test_model_evaluation_works_out_the_features_once(spark, small, monkeypatch):
+    from titleweave.plans import registry
+    from titleweave.plans.frozen import frozen_model
+
+    made, table = [], training.feature_table
+    for place in (training, cascade):
+        monkeypatch.setattr(place, "feature_table", lambda *a: made.append(1) or table(*a))
+    monkeypatch.setattr(training, "fit_model", lambda table: frozen_model)
+    assert registry.queries()["model_evaluation"](spark, small).count() == 2 and len(made) == 1

@@ -108,14 +108,19 @@ def train_model(pairs: DataFrame, truth: DataFrame, n: int, config: Config = DEF
     """Boosted trees on the pairs' features; is_eval rows decide when to stop. Negatives weigh as much as the penalty says,
     which makes the loss the weighted log-loss.
     """
-    rows = feature_table(pairs, truth, n, config).withColumn("weight", F.when(F.col("target") == 1, 1.0).otherwise(config.false_positive_penalty)).withColumn("label", F.col("target").cast("double"))
-    rows = rows.persist()
-    gather = VectorAssembler(inputCols=names(config.words), outputCol="features")
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=config.depth, stepSize=config.step, maxIter=config.rounds, seed=7, validationIndicatorCol="is_eval")
+    table = feature_table(pairs, truth, n, config).persist()
     try:
-        return Pipeline(stages=[gather, trees]).fit(rows)
+        return fit_model(table, config)
     finally:
-        rows.unpersist()
+        table.unpersist()
+
+
+def fit_model(table: DataFrame, config: Config = DEFAULT) -> PipelineModel:
+    """train_model() of a feature table that is there; it is read several times."""
+    rows = table.withColumn("weight", F.when(F.col("target") == 1, 1.0).otherwise(config.false_positive_penalty)).withColumn("label", F.col("target").cast("double"))
+    gather = VectorAssembler(inputCols=names(config.words), outputCol="features")
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=config.depth, stepSize=config.step, maxIter=config.rounds, seed=7, validationIndicatorCol="is_eval")
+    return Pipeline(stages=[gather, trees]).fit(rows)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -81,7 +81,8 @@ def _trained_evaluation(spark, d):
     truth = _truth(spark, d)
     index = candidates.build_index(truth)
     pairs = cascade.labelled_pairs(train_titles(spark, d), truth, index=index)
-    return cascade.evaluate_model(training.train_model(pairs, truth, index.n), pairs, truth, index.n)
+    table = training.feature_table(pairs, truth, index.n).persist()  # for fitting and for what the model makes of it
+    return cascade.evaluate_table(training.fit_model(table), table)
 
 
 def _feature_table(spark, d):
