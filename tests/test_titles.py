@@ -368,3 +368,46 @@ def test_model_evaluation_works_out_the_features_once(spark, small, monkeypatch)
         monkeypatch.setattr(place, "feature_table", lambda *a: made.append(1) or table(*a))
     monkeypatch.setattr(training, "fit_model", lambda table: frozen_model)
     assert registry.queries()["model_evaluation"](spark, small).count() == 2 and len(made) == 1
+
+
+def test_wide_cell_finds_what_a_cell_finds(monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 700)
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    names = sorted({" ".join(r.choice(words) for _ in range(r.randint(2, 40)))[:250].strip() for _ in range(2000)} | {"the end", "000", "of the end of the end"})
+    gram, df = np.unique(candidates.title_grams(names, 3)[1], return_counts=True)
+    made = names, np.random.default_rng(1).permutation(len(names)), gram, np.round(np.log(len(names) / df) * 1e6).astype(np.int64), 3
+    cell, wide = candidates.Cell(*made), candidates.WideCell(*made)
+    assert len(wide.blocks) == 3 and 0 < wide.wide.shape[1] < len(gram)
+    asked = [n.replace("a", "", 1) for n in names[::25]] + ["zzz", "", "ab", "the end", "z" * 255]
+    for k, slack in ((10, 0), (100, 0), (10, 2), (5000, 0)):
+        for q, (rows, score) in zip(asked, wide.search(asked, k, slack), strict=True):
+            at, whole = cell.search(q, k, slack=slack)
+            assert (rows.tolist(), score.tolist()) == (at.tolist(), whole.tolist())
+
+
+@pytest.mark.parametrize("part", [40, 200_000])
+def test_closest_rows_leave_a_cell_ranked(spark, monkeypatch, part):
+    monkeypatch.setattr(candidates, "WIDE_TITLES", part)
+    names, asked = _near_titles()
+    truth = titles.with_derived(spark.createDataFrame([(i, n) for i, n in enumerate(names + names[:30] * 2)], "title_id long, title string"))
+    test = titles.with_derived(spark.createDataFrame([(i, n) for i, n in enumerate(asked + asked[:9])] + [(900, None)], "test_index long, title string"))
+    index = candidates.build_index(truth)
+    scores: dict = {}
+    for x in candidates.jaccard_scores(test, index).collect():
+        scores.setdefault(x.test_index, []).append((-x.score, -x.title_id))
+    title, match = ({r[0]: r.transformed_title for r in x.collect()} for x in (test, truth))
+    for k in (10, 25):
+        want = sorted((q, -t, title[q], match[-t], -s, n) for q, own in scores.items() for n, (s, t) in enumerate(sorted(own)[:k], 1))
+        found = candidates.closest_pairs(test, index, k)
+        assert sorted(map(tuple, found.collect())) == want
+        assert sorted(map(tuple, candidates.closest_matches(test, index, k).collect())) == [(q, t, s, n) for q, t, _, _, s, n in want]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Window" in plan) == (part == 40) and "Join" not in plan.split("MapInArrow")[0]
+
+
+def test_latest_rows_are_read_once(spark):
+    rows = [(1, 5, "a"), (2, 5, "b"), (3, 6, "c"), (4, -1, "d"), (5, -1, "e"), (5, -1, "f"), (6, None, "g")]
+    got = training.latest_per_title(spark.createDataFrame(rows, "train_index long, title_id long, transformed_title string"))
+    assert sorted(map(tuple, got.collect())) == sorted(rows[1:6])
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # titles that are dear to make are made once

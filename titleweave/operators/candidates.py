@@ -33,6 +33,11 @@ NEAR_SIZE, FURTHER = 6, 24
 OWNER = 21
 #: Rows of a batch of pairs.
 PAIRS = 1 << 16
+#: Titles of a cell that searches many at once, of a block in it, and the least k that this is for.
+WIDE_TITLES, BLOCK, MANY = 160_000, 25_000, 10
+FEW = 2048  # titles whose n-grams are taken at a time
+#: An n-gram that at least this share of the titles has is a column of a block's matrix, of which there are no more than MATRIX.
+COMMON, MATRIX = 0.08, 1024
 
 
 @dataclass
@@ -88,12 +93,39 @@ def occurrences(title: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(sum(data[i : len(data) - size + 1 + i] << 8 * (size - 1 - i) for i in range(size)), return_counts=True)
 
 
-class Cell:
+class Weights:
+    """The n-grams of all reference titles and what they weigh."""
+
+    def __init__(self, grams: np.ndarray, weights: np.ndarray, size: int):
+        self.grams, self.weights, self.size = grams, weights, size
+        self.heaviest = int(weights.max(initial=0))
+        self.asked = np.zeros(len(grams), np.int64)
+
+    def score(self, shared: np.ndarray, total: np.ndarray, own: int) -> np.ndarray:
+        """Millionths, halves up."""
+        rest = np.maximum(own + total - shared, 1)
+        return (2 * SCALE * shared + rest) // (2 * rest)
+
+    def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams some reference title has, and the places of those."""
+        if not len(self.grams):
+            return np.zeros(len(code), bool), code[:0]
+        place = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+        there = self.grams[place] == code
+        return there, place[there]
+
+    def weight(self, code: np.ndarray) -> tuple[np.ndarray, int]:
+        """The places of the n-grams that weigh something, and the weight of all; one that no title has weighs the most."""
+        there, known = self.known(code)
+        return known[self.weights[known] > 0], int(self.weights[known].sum()) + (len(code) - len(known)) * self.heaviest
+
+
+class Cell(Weights):
     """The n-gram index of some titles, and the search of it."""
 
     def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int):
-        self.titles, self.grams, self.weights, self.size, self.top_ids = titles, grams, weights, size, top_ids
-        self.heaviest = int(weights.max(initial=0))
+        super().__init__(grams, weights, size)
+        self.titles, self.top_ids = titles, top_ids
         owner, code = title_grams(titles, size)
         gram = np.searchsorted(grams, code)
         use = weights[gram] > 0  # n-grams that all titles have weigh nothing
@@ -102,15 +134,9 @@ class Cell:
         self.total = np.bincount(owner, weights[self.gram_of], len(titles)).astype(np.int64)
         by_gram = np.argsort(self.gram_of, kind="stable")
         self.posted, self.from_gram = owner[by_gram], np.searchsorted(self.gram_of[by_gram], np.arange(len(grams) + 1))
-        self.asked = np.zeros(len(grams), np.int64)
         self.near: list[Near] = []
         self.scored = 0  # pairs worked out whole
 
-    def score(self, shared: np.ndarray, total: np.ndarray, own: int) -> np.ndarray:
-        """Millionths, halves up."""
-        rest = np.maximum(own + total - shared, 1)
-        return (2 * SCALE * shared + rest) // (2 * rest)
-
     def add(self, sums: np.ndarray, grams: np.ndarray) -> None:
         parts = [self.posted[self.from_gram[g] : self.from_gram[g + 1]] for g in grams.tolist()]
         if parts:
@@ -129,19 +155,6 @@ class Cell:
         self.asked[grams] = 0
         return out
 
-    def known(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams some reference title has, and the places of those."""
-        if not len(self.grams):
-            return np.zeros(len(code), bool), code[:0]
-        place = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
-        there = self.grams[place] == code
-        return there, place[there]
-
-    def weight(self, code: np.ndarray) -> tuple[np.ndarray, int]:
-        """The places of the n-grams that weigh something, and the weight of all; one that no title has weighs the most."""
-        there, known = self.known(code)
-        return known[self.weights[known] > 0], int(self.weights[known].sum()) + (len(code) - len(known)) * self.heaviest
-
     def search(self, title: str, k: int | None, least: int = 0, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The best k titles (all that share a weight where k is None) by score, then by the larger top_id; and the scores.
 
@@ -311,10 +324,114 @@ def _letters(text: str) -> np.ndarray:
     return np.bincount(np.frombuffer(text.encode("ascii"), np.uint8), minlength=128)
 
 
-def _cells(queries: DataFrame, index: Index, answer: Callable[[Cell, pa.Table, pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
+class Block:
+    """Some titles of a WideCell: a matrix for the n-grams that many titles have, postings for the others."""
+
+    def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int, column: np.ndarray):
+        self.top_ids, n = top_ids, len(titles)
+        owners, of, kind = [np.zeros(0, np.int32)], [], np.uint16 if len(grams) <= 1 << 16 else np.int32
+        for first in range(0, n, FEW):  # for a part's numbers take more room than what is kept of them
+            owner, code = title_grams(titles[first : first + FEW], size)
+            gram = np.searchsorted(grams, code)
+            use = weights[gram] > 0  # n-grams that all titles have weigh nothing
+            owners.append((owner[use] + first).astype(np.int32))
+            of.append(gram[use].astype(kind))
+        owner, gram = np.concatenate(owners), np.concatenate([np.zeros(0, kind), *of])
+        self.from_title = np.searchsorted(owner, np.arange(n + 1))
+        self.total = np.bincount(owner, weights[gram], n).astype(np.int64)
+        self.near_total = self.total.astype(np.float32)
+        self.gram_of, at = gram, column[gram]
+        self.matrix = np.zeros((n, int(column.max(initial=-1)) + 1), np.uint8)
+        self.matrix[owner[at >= 0], at[at >= 0]] = 1
+        owner, gram = owner[at < 0], gram[at < 0]
+        by_gram = np.argsort(gram, kind="stable")
+        self.posted, self.from_gram = owner[by_gram], np.searchsorted(gram[by_gram], np.arange(len(grams) + 1))
+
+
+class WideCell(Weights):
+    """The best k of many titles for many queries at once. Weights that a query shares with all titles of a block are summed in
+    single precision, those of common n-grams by a product of matrices; whatever may be among the best k, by the error that such
+    sums can have, is scored again on integers.
+    """
+
+    def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int):
+        super().__init__(grams, weights, size)
+        common = np.flatnonzero((weights > 0) & (weights <= -np.log(COMMON) * SCALE))
+        common = common[np.argsort(weights[common], kind="stable")[:MATRIX]]
+        self.column = np.full(len(grams), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.blocks = [Block(titles[i : i + BLOCK], top_ids[i : i + BLOCK], grams, weights, size, self.column) for i in range(0, len(titles), BLOCK)]
+        self.wide = np.empty((min(BLOCK, len(titles)), len(common)), np.float32)
+
+    def search(self, titles: list[str], k: int, slack: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cell.search() of each title."""
+        asked = [self.weight(occurrences(t, self.size)[0]) for t in titles]
+        rows, sums = np.zeros((len(titles), self.wide.shape[1]), np.float32), np.empty((len(titles), len(self.wide)), np.float32)
+        for row, (grams, _) in zip(rows, asked, strict=True):
+            at = self.column[grams]
+            row[at[at >= 0]] = self.weights[grams[at >= 0]]
+        rare = [grams[self.column[grams] < 0] for grams, _ in asked]
+        none = np.zeros(0, np.int64)
+        found, first = [(none, none, none)] * len(titles), 0
+        for block in self.blocks:
+            n = len(block.total)
+            np.copyto(self.wide[:n], block.matrix)
+            shared = np.matmul(rows, self.wide[:n].T, out=sums[:, :n] if n == len(self.wide) else None)
+            for i, (grams, own) in enumerate(asked):
+                near = self.near_scores(block, shared[i], rare[i], own)
+                before = found[i]
+                least = int(before[1].min()) / SCALE if len(before[1]) >= k else 0.0
+                some = self.possible(near, k, least, slack, len(grams))
+                if not len(some):
+                    continue
+                score = self.exact(block, some, grams, own)
+                found[i] = best_of(*[np.concatenate(x) for x in zip(before, (some + first, score, block.top_ids[some]), strict=True)], k, slack)
+            first += n
+        return [(x, s) for x, s, _ in found]
+
+    def near_scores(self, block: Block, shared: np.ndarray, rare: np.ndarray, own: int) -> np.ndarray:
+        """Scores of all titles of a block in single precision; 0 where nothing is shared. shared: the sums of common n-grams."""
+        begin, end = block.from_gram[rare], block.from_gram[rare + 1]
+        if len(rare) and (end > begin).any():
+            places = np.concatenate([block.posted[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            np.add.at(shared, places, np.repeat(self.weights[rare].astype(np.float32), end - begin))
+        rest = block.near_total + np.float32(own)
+        rest -= shared
+        np.maximum(rest, 1, out=rest)
+        return np.divide(shared, rest, out=rest)
+
+    def possible(self, near: np.ndarray, k: int, least: float, slack: int, grams: int) -> np.ndarray:
+        """Titles that may be among the best k, or no more than slack under them."""
+        groups = min(6 * k, len(near))
+        if groups >= k:  # k groups have a title each that is no worse than the k-th best group's best
+            tops = near[: len(near) // groups * groups].reshape(-1, groups).max(0)
+            least = max(least, float(np.partition(tops, groups - k)[groups - k]))
+        least -= (grams + 16) * 2.0**-21 * least + (2 + slack) / SCALE
+        return np.flatnonzero(near >= least if least > 0 else near > 0)
+
+    def exact(self, block: Block, titles: np.ndarray, grams: np.ndarray, own: int) -> np.ndarray:
+        self.asked[grams] = self.weights[grams]
+        start = block.from_title[titles]
+        sizes = block.from_title[titles + 1] - start
+        begin = np.cumsum(sizes) - sizes
+        shared = np.add.reduceat(self.asked[block.gram_of[np.arange(sizes.sum()) + np.repeat(start - begin, sizes)]], begin)
+        self.asked[grams] = 0
+        return self.score(shared, block.total[titles], own)
+
+
+def best_of(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k by score, then by the larger id; with slack all that are no more than that under the k-th best score."""
+    if len(rows) > k and slack:
+        near = score >= -np.partition(-score, k - 1)[k - 1] - slack
+        rows, score, ids = rows[near], score[near], ids[near]
+    order = np.lexsort((-ids, -score))[: None if slack else k]
+    return rows[order], score[order], ids[order]
+
+
+def _cells(queries: DataFrame, index: Index, answer: Callable[[Cell, pa.Table, pa.RecordBatch], Iterator[list]], schema: str, kind: type = Cell, most: int = 0) -> DataFrame:
     """What answer() makes of the queries(qid, title, ...) of each cell, some at a time, and the cell's reference rows."""
     spark = queries.sparkSession
-    parts = max(1, -(-index.distinct // CELL_TITLES))
+    parts = max(1, -(-index.distinct // (most or CELL_TITLES)))
     columns = min(QUERY_PARTS, max(1, -(-2 * spark.sparkContext.defaultParallelism // parts)))
     told = spark.sparkContext.broadcast((index.grams, index.weights))
     size, names = index.size, [x.split(" ")[0] for x in schema.split(", ")]
@@ -333,7 +450,8 @@ def _cells(queries: DataFrame, index: Index, answer: Callable[[Cell, pa.Table, p
                 continue
             if cell is None:
                 held = pa.Table.from_batches(rows).combine_chunks()
-                cell = Cell(held["title"].to_pylist(), held["number"].to_numpy(), *told.value, size)
+                rows = [held]
+                cell = kind(held["title"].to_pylist(), held["number"].to_numpy(), *told.value, size)
             for at in range(first, len(whole), 256):
                 for made in answer(cell, held, whole.slice(at, 256)):
                     yield pa.RecordBatch.from_arrays(made, names=names)
@@ -369,12 +487,17 @@ def _distinct(queries: DataFrame) -> DataFrame:
     return queries.filter("transformed_title is not null").select(_uid().alias("qid"), F.col("transformed_title").alias("title")).distinct()
 
 
+def _asked_rows(queries: DataFrame) -> DataFrame:
+    """(qid, title, rows): distinct titles and the test rows of each."""
+    named = queries.filter("transformed_title is not null").select(_uid().alias("qid"), F.col("transformed_title").alias("title"), F.col("test_index").cast("long").alias("test_index"))
+    return named.groupBy("qid", "title").agg(F.collect_list("test_index").alias("rows"))
+
+
 def jaccard_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(test_index, title_id, score) of every pair that shares an n-gram with weight. Cells know the rows of each title, so
     that pairs come out of them as they are, a bounded number at a time, and are neither joined nor shuffled.
     """
     rows = index.members.groupBy("uid").agg(F.collect_list("title_id").alias("rows"))
-    asked = queries.filter("transformed_title is not null").groupBy(_uid().alias("qid"), F.col("transformed_title").alias("title")).agg(F.collect_list("test_index").alias("rows"))
 
     def answer(cell: Cell, held: pa.Table, some: pa.RecordBatch) -> Iterator[list]:
         lists = held["rows"].chunk(0)
@@ -390,7 +513,7 @@ def jaccard_scores(queries: DataFrame, index: Index) -> DataFrame:
                     some_ids = title_ids[at : at + PAIRS]
                     yield [pa.array(np.full(len(some_ids), test_index, np.int64)), pa.array(some_ids), pa.array(scores[at : at + PAIRS])]
 
-    return _cells(asked, replace(index, titles=index.titles.join(rows, "uid").select("uid", "top_id", "title", "rows")), answer, "test_index long, title_id long, score double")
+    return _cells(_asked_rows(queries), replace(index, titles=index.titles.join(rows, "uid").select("uid", "top_id", "title", "rows")), answer, "test_index long, title_id long, score double")
 
 
 def closest_pairs(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting) -> DataFrame:
@@ -400,8 +523,51 @@ def closest_pairs(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predi
     The best k rows lie within the best k distinct titles, ranked by score and by their largest title_id, and within the k
     largest title_ids of each.
     """
-    asked = _asked(queries)
-    return _named(asked).join(_ranked(_distinct(asked), index, k), "qid").select("test_index", "title_id", "title", "match", "score", "rn")
+    return _closest(queries, index, k, True)
+
+
+def _closest(queries: DataFrame, index: Index, k: int, titles: bool) -> DataFrame:
+    """closest_pairs(), with both titles or without. Cells know the rows of each title, on either side, and rank them; only
+    where there are several parts of reference titles are their ranks put together.
+    """
+    kind, most = (WideCell, WIDE_TITLES) if k >= MANY else (Cell, CELL_TITLES)
+    last = index.members.groupBy("uid").agg(F.slice(F.sort_array(F.collect_list("title_id"), False), 1, k).alias("rows"))
+
+    def answer(cell: Cell | WideCell, held: pa.Table, some: pa.RecordBatch) -> Iterator[list]:
+        lists, asked, texts = held["rows"].chunk(0), some.column("rows"), some.column("title").to_pylist()
+        ids, begin = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = cell.search(texts, k) if isinstance(cell, WideCell) else [cell.search(t, k) for t in texts]
+        made, many = [], 0
+
+        def told() -> list:
+            own, title_ids, place, score, text, row = (np.concatenate(x) for x in zip(*made, strict=True))
+            both = [some.column("title").take(pa.array(text)), held["title"].chunk(0).take(pa.array(row))] if titles else []
+            return [pa.array(own), pa.array(title_ids), *both, pa.array(score / SCALE), pa.array(place)]
+
+        for i, (rows, score) in enumerate(found):
+            sizes = begin[rows + 1] - begin[rows]
+            places = np.arange(sizes.sum()) + np.repeat(begin[rows] - (np.cumsum(sizes) - sizes), sizes)
+            title_ids, score, row = ids[places], np.repeat(score, sizes), np.repeat(rows, sizes)
+            best = np.lexsort((-title_ids, -score))[:k]
+            own = asked[i].values.to_numpy()
+            for at in range(0, len(own) if len(best) else 0, max(1, PAIRS // k)):
+                part = own[at : at + max(1, PAIRS // k)]
+                again = np.tile(best, len(part))
+                made.append((np.repeat(part, len(best)), title_ids[again], np.tile(np.arange(1, len(best) + 1, dtype=np.int32), len(part)), score[again], np.full(len(again), i), row[again]))
+                many += len(again)
+                if many >= PAIRS:
+                    yield told()
+                    made, many = [], 0
+        if made:
+            yield told()
+
+    both = "title string, match string, " if titles else ""
+    known = replace(index, titles=index.titles.join(last, "uid").select("uid", "top_id", "title", "rows"))
+    out = _cells(_asked_rows(queries), known, answer, f"test_index long, title_id long, {both}score double, rn int", kind, most)
+    if index.distinct > most:
+        order = Window.partitionBy("test_index").orderBy(F.col("score").desc(), F.col("title_id").desc())
+        out = out.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    return out
 
 
 def _last_members(index: Index, k: int) -> DataFrame:
@@ -434,7 +600,7 @@ def near_pairs(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicti
 
 def closest_matches(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting) -> DataFrame:
     """(test_index, title_id, score, rn): see closest_pairs."""
-    return closest_pairs(queries, index, k).select("test_index", "title_id", "score", "rn")
+    return _closest(queries, index, k, False)
 
 
 def closest_matches_positional(queries: DataFrame, index: Index, k: int = DEFAULT.top_n_predicting, slack: float = 1 / SCALE) -> DataFrame:

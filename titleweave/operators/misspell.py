@@ -30,6 +30,9 @@ def neighbour_strings() -> dict[str, str]:
     return {a: "".join(b for b in sorted(KEYBOARD) if a != b and abs(KEYBOARD[a][0] - KEYBOARD[b][0]) + abs(KEYBOARD[a][1] - KEYBOARD[b][1]) <= 1) for a in sorted(KEYBOARD)}
 
 
+NEAR = neighbour_strings()
+
+
 class Dice:
     def __init__(self, key: Column, seed: str):
         self.key, self.seed = key, seed
@@ -112,13 +115,16 @@ def misspell_text(text: str, key: str, seed: str) -> str:
     from hashlib import md5
 
     roll = lambda op: int(md5(f"{seed}|{op}|{key}".encode()).hexdigest()[:7], 16)
-    near = neighbour_strings()
+    near = NEAR
 
-    def at(x: str, op: str, fits) -> int | None:
-        places = [i for i in range(len(x)) if fits(x, i)]
-        return places[roll(op) % len(places)] if places else None
-
-    letter = lambda x, i: "a" <= x[i] <= "z"
+    def places(x: str, op: str) -> list[int]:
+        if op == "remove_letter":
+            return [i for i, c in enumerate(x) if c != " "]
+        if op == "remove_space":
+            return [i for i, c in enumerate(x) if c == " "]
+        if op == "add_space":
+            return [i for i, (a, b, c) in enumerate(zip(x, x[1:], x[2:], strict=False), 1) if a != " " != b and c != " "]
+        return [i for i, c in enumerate(x) if "a" <= c <= "z"]
 
     def edit(x: str, op: str) -> str:
         if op == "swap_word":
@@ -126,14 +132,10 @@ def misspell_text(text: str, key: str, seed: str) -> str:
             a, b = roll(op) % len(words), roll("swap_word_with") % len(words)
             words[a], words[b] = words[b], words[a]
             return " ".join(words)
-        fits = {
-            "remove_letter": lambda x, i: x[i] != " ",
-            "add_space": lambda x, i: 0 < i < len(x) - 1 and " " not in x[i - 1 : i + 2],
-            "remove_space": lambda x, i: x[i] == " ",
-        }.get(op, letter)
-        i = at(x, op, fits)
-        if i is None:
+        some = places(x, op)
+        if not some:
             return x
+        i = some[roll(op) % len(some)]
         if op in ("remove_letter", "remove_space"):
             return x[:i] + x[i + 1 :]
         if op == "add_space":

@@ -30,7 +30,7 @@ def sampled_neighbours(train: DataFrame, index: Index, config: Config = DEFAULT)
     near = closest_matches(rows, index, config.top_n_predicting)
     order = Window.partitionBy("test_index").orderBy(number_after_hash(config.seed, "neighbour", F.col("test_index"), F.col("title_id")), "title_id")
     some = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= config.top_n_training)
-    some = some.join(rows.select("test_index", "true_id"), "test_index")
+    some = some.join(rows.select("test_index", "true_id"), "test_index").persist()  # read twice, and a search to make
     whole = Window.partitionBy("test_index")
     told = some.withColumn("has", F.max(F.col("title_id") == F.col("true_id")).over(whole))
     kept = told.filter(~((F.col("true_id") != config.not_found) & ~F.col("has") & (F.col("place") == config.top_n_training)))
@@ -41,9 +41,9 @@ def sampled_neighbours(train: DataFrame, index: Index, config: Config = DEFAULT)
 
 def latest_per_title(train: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Of positive rows that share a title_id, the one with the largest train_index."""
-    last = Window.partitionBy("title_id").orderBy(F.col("train_index").desc())
-    positive = train.filter(F.col("title_id") != config.not_found).withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
-    return positive.unionByName(train.filter(F.col("title_id") == config.not_found))
+    none = F.col("title_id") == config.not_found
+    last = Window.partitionBy("title_id", F.when(none, F.col("train_index"))).orderBy(F.col("train_index").desc())
+    return train.filter("title_id is not null").withColumn("__n", F.row_number().over(last)).filter((F.col("__n") == 1) | none).drop("__n")
 
 
 def generated_pairs(truth: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -54,7 +54,7 @@ def generated_pairs(truth: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def training_pairs(train: DataFrame, truth: DataFrame, index: Index, config: Config = DEFAULT) -> DataFrame:
     """(kind, title, truth_title, title_id, target); title_id is the reference title's."""
-    rows = latest_per_title(train, config)
+    rows = latest_per_title(train.select("train_index", "title_id", "transformed_title"), config).persist()  # read several times, and dear to make
     near = sampled_neighbours(rows, index, config)
     a = rows.select("train_index", F.col("transformed_title").alias("title"))
     b = truth.select("title_id", F.col("transformed_title").alias("truth_title"))

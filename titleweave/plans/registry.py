@@ -37,23 +37,25 @@ def _pairs(spark, d):
     return found.select("test_index", "title_id", "title", "match")
 
 
-def _made_titles(spark, d):
-    return titles.with_derived(training.generated_pairs(_truth(spark, d)).select("title_id", "title"))
+def _kept(df, key):
+    """Normalised titles, worked out once for all that a query does with them."""
+    return titles.with_words(df.select(key, "transformed_title").persist())
 
 
-def cascade_test(spark, d):
-    """The test titles, and a misspelling of every reference title that is long enough."""
-    made = _made_titles(spark, d).withColumn("test_index", F.col("title_id") + MADE)
-    own = _test(spark, d)
-    return own.unionByName(made.select(own.columns))
+def cascade_test(spark, d, truth=None):
+    """(test_index, transformed_title): the test titles, and a misspelling of every reference title that is long enough."""
+    made = training.generated_pairs(truth or _truth(spark, d)).select((F.col("title_id") + MADE).alias("test_index"), F.col("title").alias("transformed_title"))
+    return _test(spark, d).select("test_index", "transformed_title").unionByName(made)
 
 
-def train_titles(spark, d):
-    """Misspellings of all long enough reference titles with their ids, and test titles that no reference title equals with -1."""
-    made = _made_titles(spark, d).withColumn("train_index", F.col("title_id"))
-    test = _test(spark, d)
-    none = matching.remaining(test, matching.exact_matches(test, _truth(spark, d))).withColumn("train_index", F.col("test_index") + MADE).withColumn("title_id", F.lit(-1).cast("long"))
-    return made.unionByName(none.select(made.columns))
+def train_titles(spark, d, truth=None):
+    """(train_index, title_id, transformed_title): misspellings of all long enough reference titles with their ids, and test titles
+    that no reference title equals with -1.
+    """
+    truth = truth or _truth(spark, d)
+    made = training.generated_pairs(truth).select(F.col("title_id").alias("train_index"), "title_id", F.col("title").alias("transformed_title"))
+    own = matching.with_exact(_test(spark, d).select("test_index", "transformed_title"), truth).filter("title_id is null")
+    return made.unionByName(own.select((F.col("test_index") + MADE).alias("train_index"), F.lit(-1).cast("long").alias("title_id"), "transformed_title"))
 
 
 def _scored(spark, d):
@@ -61,26 +63,26 @@ def _scored(spark, d):
 
 
 def _training_pairs(spark, d):
-    truth = _truth(spark, d)
-    return training.training_pairs(train_titles(spark, d), truth, candidates.build_index(truth))
+    truth = _kept(_truth(spark, d), "title_id")
+    return training.training_pairs(train_titles(spark, d, truth), truth, candidates.build_index(truth))
 
 
 def _model(spark, d):
-    truth = _truth(spark, d)
-    return cascade.train_matcher(train_titles(spark, d), truth)
+    truth = _kept(_truth(spark, d), "title_id")
+    return cascade.train_matcher(train_titles(spark, d, truth), truth)
 
 
 def _frozen_evaluation(spark, d):
-    truth = _truth(spark, d)
+    truth = _kept(_truth(spark, d), "title_id")
     index = candidates.build_index(truth)
-    pairs = cascade.labelled_pairs(train_titles(spark, d), truth, index=index)
+    pairs = cascade.labelled_pairs(train_titles(spark, d, truth), truth, index=index)
     return cascade.evaluate_model(frozen_model, pairs, truth, index.n)
 
 
 def _trained_evaluation(spark, d):
-    truth = _truth(spark, d)
+    truth = _kept(_truth(spark, d), "title_id")
     index = candidates.build_index(truth)
-    pairs = cascade.labelled_pairs(train_titles(spark, d), truth, index=index)
+    pairs = cascade.labelled_pairs(train_titles(spark, d, truth), truth, index=index)
     table = training.feature_table(pairs, truth, index.n).persist()  # for fitting and for what the model makes of it
     return cascade.evaluate_table(training.fit_model(table), table)
 

@@ -22,9 +22,13 @@ KINDS = {"truth": TRUTH, "train": TRAIN, "test": TEST, "actuals": ACTUALS}
 
 def with_derived(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """df with transformed_title, words, number_of_words and n_grams; a null title has nulls."""
-    out = df.withColumn("transformed_title", transform_title(F.col("title"), config.max_characters, config.n_grams))
+    return with_words(df.withColumn("transformed_title", transform_title(F.col("title"), config.max_characters, config.n_grams)), config)
+
+
+def with_words(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """What with_derived() tells of normalised titles that are there."""
     t = F.col("transformed_title")
-    return out.withColumns({"words": words(t), "number_of_words": number_of_words(t), "n_grams": F.when(t.isNotNull(), n_grams(t, config.n_grams))})
+    return df.withColumns({"words": words(t), "number_of_words": number_of_words(t), "n_grams": F.when(t.isNotNull(), n_grams(t, config.n_grams))})
 
 
 def from_frame(df: DataFrame, kind: str, mapping: dict[str, tuple[str, str]] | None = None, config: Config = DEFAULT) -> DataFrame:
