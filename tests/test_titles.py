@@ -411,3 +411,16 @@ def test_latest_rows_are_read_once(spark):
     got = training.latest_per_title(spark.createDataFrame(rows, "train_index long, title_id long, transformed_title string"))
     assert sorted(map(tuple, got.collect())) == sorted(rows[1:6])
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # titles that are dear to make are made once
+
+
+def test_building_a_cell_takes_little_more_room_than_the_cell():
+    import tracemalloc
+
+    r = random.Random(9)
+    names = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(6000)]
+    gram, df = np.unique(candidates.title_grams(names, 3)[1], return_counts=True)
+    tracemalloc.start()
+    cell = candidates.Cell(names, np.arange(len(names)), gram, np.round(np.log(len(names) / df) * 1e6).astype(np.int64), 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(cell.posted)  # bytes; 57 when all n-grams of a cell were told at once
