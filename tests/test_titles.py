@@ -424,3 +424,31 @@ def test_building_a_cell_takes_little_more_room_than_the_cell():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40 * len(cell.posted)  # bytes; 57 when all n-grams of a cell were told at once
+
+
+def _languages(r, n):
+    """Titles of three languages that share few n-grams, and words of two of them in some."""
+    words = [["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60)] for letters in ("abcdefgh", "ijklmnop", "qrstuvwa")]
+    of = lambda i: words[i % 3] + (words[(i + 1) % 3] if i % 17 == 0 else [])
+    return sorted({" ".join(r.choice(of(i)) for _ in range(r.randint(2, 40)))[:250].strip() for i in range(n)})
+
+
+@pytest.mark.parametrize("block", [250, 5000])
+def test_titles_and_queries_of_a_kind_meet_and_all_are_found(monkeypatch, block):
+    monkeypatch.setattr(candidates, "BLOCK", block)
+    monkeypatch.setattr(candidates, "LEAST_KINDS", 500)
+    names = _languages(random.Random(3), 2000)
+    gram, df = np.unique(candidates.title_grams(names, 3)[1], return_counts=True)
+    made = names, np.random.default_rng(1).permutation(len(names)), gram, np.round(np.log(len(names) / df) * 1e6).astype(np.int64), 3
+    cell, wide = candidates.Cell(*made), candidates.WideCell(*made)
+    asked = [n.replace("a", "", 1) for n in names[::9]] + ["zzz", "", "ab", names[0][:9], "z" * 255]
+    asked = [asked[i] for i in wide.sorted(asked)]
+    told = []
+    monkeypatch.setattr(np, "matmul", lambda a, b, out=None, f=np.matmul: told.append((a.shape[1] - 1, a.shape[0] * b.shape[1])) or f(a, b, out=out))
+    found = [x for i in range(0, len(asked), 64) for x in wide.search(asked[i : i + 64], 10)]
+    monkeypatch.undo()
+    for q, (rows, score) in zip(asked, found, strict=True):
+        at, whole = cell.search(q, 10)
+        assert (rows.tolist(), score.tolist()) == (at.tolist(), whole.tolist())
+    # a matrix holds the n-grams that both have, not all that are common somewhere
+    assert sum(d * pairs for d, pairs in told) < 0.6 * len(asked) * len(names) * (df >= 0.08 * len(names)).sum()

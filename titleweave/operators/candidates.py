@@ -34,10 +34,15 @@ OWNER = 21
 #: Rows of a batch of pairs.
 PAIRS = 1 << 16
 #: Titles of a cell that searches many at once, of a block in it, and the least k that this is for.
-WIDE_TITLES, BLOCK, MANY = 160_000, 25_000, 10
+WIDE_TITLES, BLOCK, MANY = 160_000, 40_000, 10
 FEW = 2048  # titles whose n-grams are taken at a time
-#: An n-gram that at least this share of the titles has is a column of a block's matrix, of which there are no more than MATRIX.
-COMMON, MATRIX = 0.08, 1024
+#: Nanoseconds or so to multiply and add in a product of matrices, to add a posting to a sum, and to look up an n-gram's postings.
+MULTIPLY, ADD, LOOK = 0.06, 5.0, 700.0
+#: A block has room for columns of the n-grams that at least this share of its titles has, but no more than MATRIX.
+COMMON, MATRIX = 0.05, 400
+#: Kinds that titles are told apart by, where there are so many; the n-grams that tell them, and the titles that kinds are learnt from.
+KINDS, LEAST_KINDS, KIND_GRAMS, SAMPLE = 6, 20_000, 600, 4000
+KIND_START = 80  # characters that tell a title's kind
 
 
 @dataclass
@@ -337,91 +342,201 @@ def _letters(text: str) -> np.ndarray:
 
 
 class Block:
-    """Some titles of a WideCell: a matrix for the n-grams that many titles have, postings for the others."""
+    """Some titles of a WideCell: which of them have each n-gram."""
 
-    def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int, column: np.ndarray):
-        self.top_ids, n = top_ids, len(titles)
-        owner, gram = weighty_grams(titles, grams, weights, size)
+    def __init__(self, titles: list[str], grams: np.ndarray, weights: np.ndarray, size: int):
+        n = len(titles)
+        owner, self.gram_of = weighty_grams(titles, grams, weights, size)
         self.from_title = np.searchsorted(owner, np.arange(n + 1))
-        self.total = np.bincount(owner, weights[gram], n).astype(np.int64)
+        self.total = np.bincount(owner, weights[self.gram_of], n).astype(np.int64)
         self.near_total = self.total.astype(np.float32)
-        self.gram_of, at = gram, column[gram]
-        self.matrix = np.zeros((n, int(column.max(initial=-1)) + 1), np.uint8)
-        self.matrix[owner[at >= 0], at[at >= 0]] = 1
-        owner, gram = owner[at < 0], gram[at < 0]
-        by_gram = np.argsort(gram, kind="stable")
-        self.posted, self.from_gram = owner[by_gram], np.searchsorted(gram[by_gram], np.arange(len(grams) + 1))
+        self.many = np.bincount(self.gram_of, minlength=len(grams))
+        self.from_gram = np.append(0, np.cumsum(self.many))
+        self.posted = owner[np.argsort(self.gram_of, kind="stable")].astype(np.uint16 if n <= 1 << 16 else np.int32)
+
+
+def kinds_of(titles: list[str], grams: np.ndarray, weights: np.ndarray, size: int, most: int) -> np.ndarray:
+    """A row for each n-gram, a column for each of some kinds of titles: those of a kind, of a language say, tend to share n-grams. Nothing
+    but time depends on it.
+    """
+    few = titles[:: max(1, len(titles) // SAMPLE)]
+    owner, gram = weighty_grams(few, grams, weights, size)
+    used = np.sort(np.argsort(-np.bincount(gram, minlength=len(grams)), kind="stable")[:KIND_GRAMS])
+    at = np.full(len(grams), -1)
+    at[used] = np.arange(len(used))
+    rows = np.zeros((len(few), len(used)), np.float32)
+    rows[owner[at[gram] >= 0], at[gram[at[gram] >= 0]]] = 1
+    rows /= np.maximum(np.sqrt(rows.sum(1, keepdims=True)), 1)
+    centre = rows.mean(0)
+    middles = [rows[np.argmax(rows @ centre)]]
+    while len(middles) < most:  # each next one far from those before, but not from all titles
+        nearest = (rows @ np.array(middles).T).max(1)
+        middles.append(rows[np.argmax(rows @ centre - nearest)])
+    middles = np.array(middles)
+    for _ in range(8):
+        of = (rows @ middles.T).argmax(1)
+        middles = np.array([rows[of == j].mean(0) if (of == j).any() else middles[j] for j in range(most)])
+        middles /= np.maximum(np.sqrt((middles**2).sum(1, keepdims=True)), 1e-6)
+    wide = np.zeros((len(grams), most), np.float32)
+    wide[used] = middles.T
+    return wide
 
 
 class WideCell(Weights):
     """The best k of many titles for many queries at once. Weights that a query shares with all titles of a block are summed in
-    single precision, those of common n-grams by a product of matrices; whatever may be among the best k, by the error that such
-    sums can have, is scored again on integers.
+    single precision, those of n-grams common in both by a product of matrices; whatever may be among the best k, by the error that
+    such sums can have, is scored again on integers.
+
+    Titles are dealt in blocks by their kind, and so are queries in batches: n-grams of one language are common in few blocks. Once
+    k titles are known, a column of weights under their worst score is part of the product, so that one look tells what is better.
     """
 
     def __init__(self, titles: list[str], top_ids: np.ndarray, grams: np.ndarray, weights: np.ndarray, size: int):
         super().__init__(grams, weights, size)
-        common = np.flatnonzero((weights > 0) & (weights <= -np.log(COMMON) * SCALE))
-        common = common[np.argsort(weights[common], kind="stable")[:MATRIX]]
+        self.kinds, self.order, ends = None, np.arange(len(titles)), [len(titles)]
+        if len(titles) >= LEAST_KINDS:
+            self.kinds = kinds_of(titles, grams, weights, size, KINDS)
+            of = self.kind_of(titles)
+            self.order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=KINDS)).tolist()
+        self.top_ids = top_ids[self.order]
+        begins = [0]
+        for end in ends:  # blocks of one kind, but for kinds that have few titles
+            while end - begins[-1] > BLOCK:
+                begins.append(begins[-1] + -(-(end - begins[-1]) // -(-(end - begins[-1]) // BLOCK)))
+            if end - begins[-1] >= BLOCK // 8 or end == len(titles) > begins[-1]:
+                begins.append(end)
+        parts = [self.order[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)]
+        self.blocks = [Block([titles[i] for i in part], grams, weights, size) for part in parts]
+        self.total = np.concatenate([np.zeros(0, np.int64), *[b.total for b in self.blocks]])
+        begin = np.cumsum([0, *[len(b.gram_of) for b in self.blocks]])
+        self.from_title = np.concatenate([*[b.from_title[:-1] + at for b, at in zip(self.blocks, begin.tolist(), strict=False)], begin[-1:]])
+        self.gram_of = np.concatenate([np.zeros(0, np.uint16), *[b.__dict__.pop("gram_of") for b in self.blocks]])
         self.column = np.full(len(grams), -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.blocks = [Block(titles[i : i + BLOCK], top_ids[i : i + BLOCK], grams, weights, size, self.column) for i in range(0, len(titles), BLOCK)]
-        self.wide = np.empty((min(BLOCK, len(titles)), len(common)), np.float32)
+        common = max([0, *[int((b.many > COMMON * len(b.total)).sum()) for b in self.blocks]])
+        self.wide = np.empty((max([0, *[len(p) for p in parts]]), min(common, MATRIX, max(len(grams) - 2, 0)) + 1), np.float32, order="F")
+
+    def kind_of(self, titles: list[str]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for first in range(0, len(titles), FEW):
+            owner, code = title_grams([t[:KIND_START] for t in titles[first : first + FEW]], self.size)
+            there, place = self.known(code)
+            owner, most = owner[there], min(FEW, len(titles) - first)
+            out.append(np.array([np.bincount(owner, self.kinds[place, j], most) for j in range(self.kinds.shape[1])]).argmax(0))
+        return np.concatenate(out)
+
+    def sorted(self, titles: list[str]) -> np.ndarray:
+        """The places of queries, so that those of a kind are searched together."""
+        return np.arange(len(titles)) if self.kinds is None else np.argsort(self.kind_of(titles), kind="stable")
 
     def search(self, titles: list[str], k: int, slack: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
         """Cell.search() of each title."""
         asked = [self.weight(occurrences(t, self.size)[0]) for t in titles]
-        rows, sums = np.zeros((len(titles), self.wide.shape[1]), np.float32), np.empty((len(titles), len(self.wide)), np.float32)
-        for row, (grams, _) in zip(rows, asked, strict=True):
-            at = self.column[grams]
-            row[at[at >= 0]] = self.weights[grams[at >= 0]]
-        rare = [grams[self.column[grams] < 0] for grams, _ in asked]
-        none = np.zeros(0, np.int64)
-        found, first = [(none, none, none)] * len(titles), 0
-        for block in self.blocks:
-            n = len(block.total)
-            np.copyto(self.wide[:n], block.matrix)
-            shared = np.matmul(rows, self.wide[:n].T, out=sums[:, :n] if n == len(self.wide) else None)
-            for i, (grams, own) in enumerate(asked):
-                near = self.near_scores(block, shared[i], rare[i], own)
-                before = found[i]
-                least = int(before[1].min()) / SCALE if len(before[1]) >= k else 0.0
-                some = self.possible(near, k, least, slack, len(grams))
-                if not len(some):
-                    continue
-                score = self.exact(block, some, grams, own)
-                found[i] = best_of(*[np.concatenate(x) for x in zip(before, (some + first, score, block.top_ids[some]), strict=True)], k, slack)
-            first += n
-        return [(x, s) for x, s, _ in found]
-
-    def near_scores(self, block: Block, shared: np.ndarray, rare: np.ndarray, own: int) -> np.ndarray:
-        """Scores of all titles of a block in single precision; 0 where nothing is shared. shared: the sums of common n-grams."""
-        begin, end = block.from_gram[rare], block.from_gram[rare + 1]
-        if len(rare) and (end > begin).any():
-            places = np.concatenate([block.posted[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-            np.add.at(shared, places, np.repeat(self.weights[rare].astype(np.float32), end - begin))
-        rest = block.near_total + np.float32(own)
-        rest -= shared
-        np.maximum(rest, 1, out=rest)
-        return np.divide(shared, rest, out=rest)
-
-    def possible(self, near: np.ndarray, k: int, least: float, slack: int, grams: int) -> np.ndarray:
-        """Titles that may be among the best k, or no more than slack under them."""
-        groups = min(6 * k, len(near))
+        sizes = np.array([len(grams) for grams, _ in asked])
+        gram, of = np.concatenate([np.zeros(0, np.int64), *[grams for grams, _ in asked]]), np.repeat(np.arange(len(titles)), sizes)
+        many = np.bincount(gram, minlength=len(self.grams))
+        sums = np.empty((len(titles), len(self.wide)), np.float32)
+        found = [Best(k, slack, own, len(grams)) for grams, own in asked]
+        first = np.cumsum([0, *[len(b.total) for b in self.blocks]]).tolist()
+        alike = [-float((many * self.weights) @ b.many) / len(b.total) for b in self.blocks]
+        for at in np.argsort(alike, kind="stable").tolist():
+            block = self.blocks[at]
+            shared, begin, end, from_query = self.shared(block, gram, of, many, found, sums)
+            for i, best in enumerate(found):
+                some = slice(from_query[i], from_query[i + 1])
+                places = [block.posted[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+                if places:
+                    rare = self.rare[some]
+                    np.add.at(shared[i], np.concatenate(places).astype(np.intp), np.repeat(rare, end[some] - begin[some]))
+                best.add(block, shared[i], first[at], self.possible)
+        return [self.whole(best, grams) for best, (grams, _) in zip(found, asked, strict=True)]
+
+    def shared(self, block: Block, gram: np.ndarray, of: np.ndarray, many: np.ndarray, found: list[Best], sums: np.ndarray) -> tuple:
+        """The weights that queries share with the titles of a block, of n-grams that enough of both have, less what their worst
+        title's score takes; and the postings of the other n-grams by query.
+        """
+        n, q = len(block.total), len(found)
+        gain = many * (block.many * ADD + LOOK) - MULTIPLY * q * n
+        common = np.flatnonzero((gain > 0) & (block.many > 0))
+        if len(common) >= self.wide.shape[1]:
+            common = common[np.argsort(-gain[common], kind="stable")[: self.wide.shape[1] - 1]]
+        d = len(common)
+        self.column[common] = np.arange(d)
+        at = self.column[gram]
+        self.column[common] = -1
+        rows, wide, dense = np.zeros((q, d + 1), np.float32), self.wide[:n, : d + 1], at >= 0
+        rows[of[dense], at[dense]] = self.weights[gram[dense]]
+        rows[:, d] = [-best.part for best in found]
+        wide[:, :d] = 0
+        for j, (a, b) in enumerate(zip(block.from_gram[common].tolist(), block.from_gram[common + 1].tolist(), strict=True)):
+            wide[:, j][block.posted[a:b]] = 1
+        wide[:, d] = block.near_total
+        shared = np.matmul(rows, wide.T, out=sums[:, :n] if n == sums.shape[1] else None)
+        rare, of = gram[~dense], of[~dense]
+        there = block.many[rare] > 0
+        rare, of = rare[there], of[there]
+        self.rare = self.weights[rare].astype(np.float32)
+        return shared, block.from_gram[rare], block.from_gram[rare + 1], np.searchsorted(of, np.arange(q + 1)).tolist()
+
+    def possible(self, near: np.ndarray, k: int, slack: int, grams: int) -> np.ndarray:
+        """Titles of a block that may be among the best k, or no more than slack under them; near: their scores in single precision."""
+        groups, least = min(6 * k, len(near)), 0.0
         if groups >= k:  # k groups have a title each that is no worse than the k-th best group's best
             tops = near[: len(near) // groups * groups].reshape(-1, groups).max(0)
-            least = max(least, float(np.partition(tops, groups - k)[groups - k]))
+            least = float(np.partition(tops, groups - k)[groups - k])
         least -= (grams + 16) * 2.0**-21 * least + (2 + slack) / SCALE
         return np.flatnonzero(near >= least if least > 0 else near > 0)
 
-    def exact(self, block: Block, titles: np.ndarray, grams: np.ndarray, own: int) -> np.ndarray:
+    def whole(self, best: Best, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of those that were possible, scored on integers."""
+        titles = best.left()
+        if not len(titles):
+            return titles, np.zeros(0, np.int64)
         self.asked[grams] = self.weights[grams]
-        start = block.from_title[titles]
-        sizes = block.from_title[titles + 1] - start
+        start = self.from_title[titles]
+        sizes = self.from_title[titles + 1] - start
         begin = np.cumsum(sizes) - sizes
-        shared = np.add.reduceat(self.asked[block.gram_of[np.arange(sizes.sum()) + np.repeat(start - begin, sizes)]], begin)
+        shared = np.add.reduceat(self.asked[self.gram_of[np.arange(sizes.sum()) + np.repeat(start - begin, sizes)]], begin)
         self.asked[grams] = 0
-        return self.score(shared, block.total[titles], own)
+        rows, score, _ = best_of(titles, self.score(shared, self.total[titles], best.own), self.top_ids[titles], best.k, best.slack)
+        return self.order[rows], score
+
+
+class Best:
+    """What may be among the best k titles of a query, as far as blocks have been looked through."""
+
+    def __init__(self, k: int, slack: int, own: int, grams: int):
+        self.k, self.slack, self.own, self.grams = k, slack, own, grams
+        self.least = self.part = 0.0  # the k-th best score is no less, and what a title must share of its own weight and the query's
+        self.rows, self.low, self.high = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def add(self, block: Block, shared: np.ndarray, first: int, possible: Callable) -> None:
+        """shared: of each title of a block what it shares with the query, less part of its weight; in single precision."""
+        error = (self.grams + 8) * 2.0**-23 * (self.own + self.part * float(block.total.max(initial=0)))
+        if self.part:
+            some = np.flatnonzero(shared >= self.part * self.own - error)
+        else:
+            rest = block.near_total + np.float32(self.own)
+            rest -= shared
+            np.maximum(rest, 1, out=rest)
+            some = possible(np.divide(shared, rest, out=rest), self.k, self.slack, self.grams)
+        if not len(some):
+            return
+        total = block.total[some]
+        sure = shared[some] + self.part * total
+        both = self.own + total
+        self.rows = np.concatenate([self.rows, some + first])
+        self.low = np.concatenate([self.low, (sure - error) / np.maximum(both - sure + error, 1)])
+        self.high = np.concatenate([self.high, (sure + error) / np.maximum(both - sure - error, 1)])
+        if len(self.low) >= self.k:
+            self.least = max(self.least, float(np.partition(self.low, len(self.low) - self.k)[len(self.low) - self.k]) - (2 + self.slack) / SCALE)
+            self.part = self.least / (1 + self.least)
+            if len(self.rows) > 2 * self.k:
+                kept = self.high >= self.least
+                self.rows, self.low, self.high = self.rows[kept], self.low[kept], self.high[kept]
+
+    def left(self) -> np.ndarray:
+        return self.rows[self.high >= self.least]
 
 
 def best_of(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -457,8 +572,11 @@ def _cells(queries: DataFrame, index: Index, answer: Callable[[Cell, pa.Table, p
                 held = pa.Table.from_batches(rows).combine_chunks()
                 rows = [held]
                 cell = kind(held["title"].to_pylist(), held["number"].to_numpy(), *told.value, size)
-            for at in range(first, len(whole), 256):
-                for made in answer(cell, held, whole.slice(at, 256)):
+            asked = whole.slice(first)
+            if kind is WideCell:
+                asked = asked.take(pa.array(cell.sorted(asked.column("title").to_pylist())))
+            for at in range(0, len(asked), 256):
+                for made in answer(cell, held, asked.slice(at, 256)):
                     yield pa.RecordBatch.from_arrays(made, names=names)
 
     return dealt.mapInArrow(run, schema)
