@@ -452,3 +452,11 @@ def test_titles_and_queries_of_a_kind_meet_and_all_are_found(monkeypatch, block)
         assert (rows.tolist(), score.tolist()) == (at.tolist(), whole.tolist())
     # a matrix holds the n-grams that both have, not all that are common somewhere
     assert sum(d * pairs for d, pairs in told) < 0.6 * len(asked) * len(names) * (df >= 0.08 * len(names)).sum()
+
+
+def test_evaluation_scores_each_pair_once(spark):
+    truth = titles.with_derived(spark.createDataFrame([(1, "the first title"), (2, "another one")], "title_id long, title string"))
+    pairs = spark.createDataFrame([("the frst title", "the first title", 1, 1, True), ("anothr", "the first title", 1, 0, True), ("another", "another one", 2, 1, False)], "title string, truth_title string, title_id long, target int, is_eval boolean")
+    told = cascade.evaluate_model(lambda f: F.col("ratio") / 100, pairs, truth, 2)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.is_eval: tuple(r)[1:] for r in told.collect()} == {True: (1, 1, 0, 0, 0.0, 1.0), False: (0, 0, 0, 1, 1.0, None)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titleweave.config import DEFAULT, Config
@@ -52,20 +52,33 @@ def feature_importance(model: PipelineModel, spark, config: Config = DEFAULT) ->
     return rows.withColumn("share", F.col("gain") / F.sum("gain").over(Window.partitionBy())).select("feature", "share").orderBy(F.col("share").desc(), "feature")
 
 
-def area_under_curve(scored: DataFrame, *by: str) -> DataFrame:
-    """(by, area) of scored(p, y): the share of (y = 1, y = 0) pairs that p orders right, ties counting half; null where one kind
-    is missing. Only distinct values of p meet in one task.
+def _by_value(scored: DataFrame, *by: str) -> DataFrame:
+    """(by, p, up, down, below): how many rows of scored(p, y) have each p, with y = 1 and y = 0, and how many with y = 0 a lower one.
+    Only distinct values of p meet in one task.
     """
     counts = scored.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("up"), F.count_if(F.col("y") == 0).alias("down"))
     below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("below", F.coalesce(F.sum("down").over(below), F.lit(0)))
+    return counts.withColumn("below", F.coalesce(F.sum("down").over(below), F.lit(0)))
+
+
+def _area() -> Column:
     pairs = F.sum("up").cast("double") * F.sum("down")
-    return placed.groupBy(*by).agg((F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)) / F.nullif(pairs, F.lit(0.0))).alias("area"))
+    return (F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)) / F.nullif(pairs, F.lit(0.0))).alias("area")
+
+
+def area_under_curve(scored: DataFrame, *by: str) -> DataFrame:
+    """(by, area) of scored(p, y): the share of (y = 1, y = 0) pairs that p orders right, ties counting half; null where one kind
+    is missing.
+    """
+    return _by_value(scored, *by).groupBy(*by).agg(_area())
 
 
 def evaluation(scored: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The error matrix, custom error and area under the curve of scored(is_eval, p, y), for evaluation rows and the others."""
-    hit, y = F.col("p") > config.probability_threshold, F.col("y")
-    sums = scored.groupBy("is_eval").agg(F.count_if(hit & (y == 1)).alias("true_positives"), F.count_if(~hit & (y == 0)).alias("true_negatives"), F.count_if(hit & (y == 0)).alias("false_positives"), F.count_if(~hit & (y == 1)).alias("false_negatives"))
-    told = sums.withColumn("custom_error", F.col("false_negatives") + config.false_positive_penalty * F.col("false_positives"))
-    return told.join(area_under_curve(scored, "is_eval"), "is_eval")
+    """The error matrix, custom error and area under the curve of scored(is_eval, p, y), for evaluation rows and the others. All
+    come of the counts of each p, so that what is dear to score is scored once.
+    """
+    hit = F.col("p") > config.probability_threshold
+    told = lambda where, n: F.sum(F.when(where, F.col(n)).otherwise(0))
+    wrong, missed = told(hit, "down"), told(~hit, "up")
+    error = (missed + config.false_positive_penalty * wrong).alias("custom_error")
+    return _by_value(scored, "is_eval").groupBy("is_eval").agg(told(hit, "up").alias("true_positives"), told(~hit, "down").alias("true_negatives"), wrong.alias("false_positives"), missed.alias("false_negatives"), error, _area())
