@@ -129,6 +129,27 @@ def test_links_connect_what_brute_force_does(spark, cell_limit):
     assert [got.get(x, x) for x in signed] == want
 
 
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    """A chain takes several rounds of shuffles over all partitions, each of them plans and tasks that the driver holds."""
+    from titleweave.llm import components as c
+
+    r = random.Random(5)
+    nodes = [r.getrandbits(64) - 2**63 for _ in range(300)]
+    chains = [nodes[:200], nodes[200:290], nodes[290:], [7, 7]]
+    edges = [e for chain in chains for e in zip(chain, chain[1:], strict=False)]
+    r.shuffle(edges)
+    made, materialize = [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda df, label: made.append(label) or materialize(df, label))
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {n: min(chain) for chain in chains[:3] for n in chain}
+    assert {(x["node"], x["root"]) for x in c.components(df).collect()} == set(want.items())
+    assert len(made) == 2
+    assert c.components(df.filter("false")).collect() == []
+    monkeypatch.setattr(c, "FEW_EDGES", -1)
+    assert {(x["node"], x["root"]) for x in c.components(df).collect()} == set(want.items())
+    assert c.components(df.filter("false")).collect() == []
+
+
 def test_thresholds_sum_and_cost():
     r = np.random.default_rng(1)
     fps = r.integers(0, 1 << 63, 50).astype(np.uint64)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleweave.llm.common import append_columns, held, texts_in, unused
+from titleweave.llm.common import append_columns, held, texts_in, trim, unused
 
 #: Bounds of the learning sample, chosen by a hash of doc_id: expected numbers of a language's documents and of their
 #: bytes; languages, the most frequent first.
@@ -292,7 +292,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = sample.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
-    return learn(sorted(zip(found["lang"].to_pylist(), found["word"].to_pylist(), found["n"].to_pylist(), strict=True)), vocabulary(path))
+    rows = sorted(zip(found["lang"].to_pylist(), found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
+    del found
+    model = learn(rows, vocabulary(path))
+    del rows
+    trim()  # the driver goes on
+    return model
 
 
 def append_language(docs: DataFrame, model: bytes, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep: list[str] | None = None) -> DataFrame:
