@@ -694,6 +694,22 @@ def test_no_piece_of_letters_is_left_out():
     assert max(map(len, langid.vocabulary())) == 16
 
 
+def test_learning_makes_no_python_object_of_a_row():
+    """The driver holds the words of a sample, not a tuple for each language and word."""
+    import tracemalloc
+
+    words = [f"w{i:05}" for i in range(5_000)]
+    rows = pa.table({"lang": [x for x in ("fr", "de", "en", "it") * 5 for _ in words], "word": words * 20, "n": np.arange(100_000) % 7})
+    tracemalloc.start()
+    langs, names, weight = langid.weights(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (langs, names) == (["de", "en", "fr", "it"], words)
+    assert weight[3, 0] == sum((5_000 * k + 3) % 7 for k in range(1, 20, 4)) and weight.sum() == (np.arange(100_000) % 7).sum()
+    assert most < 60 * 100_000  # three lists and a list of tuples took some 200 a row
+    assert [len(x) for x in langid.weights(rows.slice(0, 0))] == [0, 0, 0]
+
+
 def test_language_model_equals_brute_force():
     import math
 

@@ -233,11 +233,31 @@ def expected(own: np.ndarray, endings: list[list[np.ndarray]], logs: np.ndarray)
 
 def learn(counts: list[tuple[str, str, int]], pieces: list[str]) -> bytes:
     """A pickled (pieces, langs, table) from (lang, word, count) rows, by ROUNDS of expectation maximisation."""
-    langs, words = sorted({x[0] for x in counts}), sorted({x[1] for x in counts})
-    at_lang, at_word = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
-    weight = np.zeros((len(words), len(langs)))
-    for lang, word, n in counts:
-        weight[at_word[word], at_lang[lang]] += n
+    return learn_table(pa.table([pa.array(x, t) for x, t in zip(list(zip(*counts, strict=True)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"]), pieces)
+
+
+def weights(counts: pa.Table) -> tuple[list[str], list[str], np.ndarray]:
+    """Languages and words, both in order, and how often each word stands in each language. Of the rows themselves, which are
+    many times the words, none becomes a Python object.
+    """
+    names, at = [], []
+    for column in ("lang", "word"):
+        own = pa.concat_arrays([pa.nulls(0, pa.string()), *(x.cast(pa.string()) for x in counts[column].chunks)]).dictionary_encode()
+        found = own.dictionary.to_pylist()
+        order = sorted(range(len(found)), key=found.__getitem__)
+        place = np.zeros(len(found), np.int64)
+        place[order] = np.arange(len(found))
+        names.append([found[i] for i in order])
+        at.append(place[own.indices.to_numpy()])
+    weight = np.zeros((len(names[1]), len(names[0])))
+    np.add.at(weight, (at[1], at[0]), counts["n"].to_numpy())
+    return *names, weight
+
+
+def learn_table(counts: pa.Table, pieces: list[str]) -> bytes:
+    """learn() of a table with the columns lang, word and n."""
+    langs, words, weight = weights(counts)
+    at_word = {x: i for i, x in enumerate(words)}
     n, k = len(pieces), len(langs)
     table = np.full((n + 2, k), 1 / max(n, 1))
     table[n], table[n + 1] = UNSEEN, 0  # found -1 reads the last row: no such piece
@@ -291,11 +311,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    rows = sorted(zip(found["lang"].to_pylist(), found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
-    del found
-    model = learn(rows, vocabulary(path))
-    del rows
+    model = learn_table(counts.toArrow(), vocabulary(path))
     trim()  # the driver goes on
     return model
 
